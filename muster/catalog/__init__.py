@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["text", "rules"]
+AREAS = ["text", "rules", "aggregates", "selection"]
 
 
 def load():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
 from muster.functions import text as tx
-from muster.functions.similarity import length_compatible, partial_or_zero, token_sort_ratio
+from muster.functions.similarity import best_partial, length_compatible, token_sort_ratio
 
 
 def first_match(rules: list[tuple[Column, object]], default=None) -> Column:
@@ -171,18 +171,17 @@ def geo_fuzzy(location, threshold: float = fv.STATE_FUZZ_THRESHOLD, other: str =
             return low.rlike(r"\b" + tx.literal(token.lower()) + r"\b")
         return F.contains(low, F.lit(token.lower()))
 
-    exact, scored = [], []
-    for i, (state, tokens) in enumerate(states.items()):
+    exact = []
+    for state, tokens in states.items():
         hit = contained(tokens[0])
         for t in tokens[1:]:
             hit = hit | contained(t)
         exact.append((hit, state))
-        best = F.greatest(*[partial_or_zero(low, t.lower(), threshold) for t in tokens if len(t) > 2], F.lit(0.0))
-        scored.append(F.struct(best.alias("score"), F.lit(-i).alias("i"), F.lit(state).alias("state")))
-    fuzzy = tx.let(F.array_max(F.array(*scored)), lambda best: F.when(best["score"] >= threshold, best["state"]))
+    # A two-letter code reaches a high threshold only by being contained.
+    names = [(t.lower(), state) for state, tokens in states.items() for t in tokens if len(t) > 2 or threshold < 67]
     # An empty location matches nothing.
     return F.when(low == "", F.lit(other)).otherwise(
-        F.coalesce(first_match(exact), fuzzy, F.lit(other))
+        F.coalesce(first_match(exact), best_partial(low, names, threshold), F.lit(other))
     )
 
 

@@ -229,25 +229,44 @@ def length_compatible(a: Column, b: Column, threshold: float) -> Column:
     return 200 * F.least(la, lb) >= F.lit(threshold - 1e-9) * (la + lb)
 
 
-def partial_or_zero(c: Column, needle: str, threshold: float) -> Column:
-    """Partial score of ``c`` against a constant; 0 where it cannot reach a threshold.
+def best_partial(c: Column, needles: list[tuple[str, str]], threshold: float) -> Column:
+    """Label of the constant that best aligns with ``c``, null below threshold.
 
-    A window of ``c`` scoring at least the threshold differs from the needle by
+    ``needles`` pairs each constant with a label; earlier entries win ties.  A
+    window of ``c`` scoring at least the threshold differs from the needle by
     at most ``e`` single-character edits, so one of ``e + 1`` pieces of the
     needle must occur unchanged.  A value no longer than the needle is slid
     along it instead, and nearly all of its characters must occur in the
-    needle.  Only values passing these tests are aligned.
+    needle.  Only needles passing these tests are aligned.
     """
-    from muster.functions.text import any_of, literal
-
     t = threshold / 100.0
-    n = F.char_length(c)
-    edits = int((1 - t) * 2 * len(needle) + 1e-9)
-    longer = F.lit(True)
-    if edits + 1 < len(needle):
-        longer = c.rlike(any_of(literal(p) for p in _pieces(needle, edits + 1)))
-    alphabet = "".join(dict.fromkeys(needle))
-    foreign = F.char_length(F.translate(c, alphabet, ""))
-    shorter = (n <= len(needle)) & (foreign <= n * ((2 - 2 * t) / (2 - t)) + 1e-9)
-    possible = shorter | ((n >= len(needle)) & longer)
-    return F.when(possible, partial_ratio(F.lit(needle), c)).otherwise(F.lit(0.0))
+    entries = []
+    for i, (needle, label) in enumerate(needles):
+        edits = int((1 - t) * 2 * len(needle) + 1e-9)
+        pieces = _pieces(needle, edits + 1) if edits + 1 < len(needle) else [""]
+        entries.append(
+            F.struct(
+                F.lit(needle).alias("needle"),
+                F.lit("".join(dict.fromkeys(needle))).alias("alphabet"),
+                F.array(*[F.lit(p) for p in pieces]).alias("pieces"),
+                F.lit(-i).alias("i"),
+                F.lit(label).alias("label"),
+            )
+        )
+
+    def aligned(value: Column) -> Column:
+        n = F.char_length(value)
+
+        def possible(e: Column) -> Column:
+            size = F.char_length(e["needle"])
+            foreign = F.char_length(F.call_function("translate", value, e["alphabet"], F.lit("")))
+            shorter = (n <= size) & (foreign <= n * ((2 - 2 * t) / (2 - t)) + 1e-9)
+            return shorter | ((n >= size) & F.exists(e["pieces"], lambda p: F.contains(value, p)))
+
+        score = lambda e: F.struct(
+            partial_ratio(e["needle"], value).alias("score"), e["i"].alias("i"), e["label"].alias("label")
+        )
+        best = F.array_max(F.transform(F.filter(F.array(*entries), possible), score))
+        return let(best, lambda b: F.when(b["score"] >= threshold, b["label"]))
+
+    return let(c, aligned)

@@ -5,9 +5,11 @@ features that every pair reaching the threshold must share, so nothing is
 compared with everything and nothing above the threshold is missed:
 
 * character pairs: an alignment with few edits leaves most character pairs of
-  both strings intact, so the two must meet in the rarest few of each;
-* tokens (token set score only): if the shared tokens alone carry the score,
-  they include one of the rarest tokens of the string they nearly cover;
+  both strings intact.  Two such strings meet in the rarest few of each, and
+  the number they share in all is checked before anything is aligned;
+* tokens (token set score only): where the shared tokens alone carry the score
+  they include one of the rarest tokens of the string they nearly cover, and
+  the score follows from lengths without an alignment;
 * a string of one token scores 100 against every string holding that token; a
   lookup by token finds the preferred one without listing them all.
 
@@ -21,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import similarity as sim
-from muster.functions.text import let, words
+from muster.functions.text import let
+from muster.plans.storage import cut_lineage
 
 SCORERS = ("ratio", "token_sort", "token_set", "partial")
 # A feature listed by more rows than this is joined in several salted shares.
 SHARE = 4096
 MAX_SHARES = 64
+# Slack for thresholds that are not exact in binary; it can only add candidates.
+EPS = 1e-6
 
 
 def _canonical(key: Column, scorer: str) -> Column:
@@ -38,97 +43,147 @@ def _canonical(key: Column, scorer: str) -> Column:
     return key
 
 
-def _numbered(items: Column) -> Column:
-    """Tell repeated items apart, so that sets behave like multisets."""
-    nth = lambda x, i: F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x))
-    return F.transform(items, lambda x, i: F.concat(x, F.lit("\u0001"), nth(x, i).cast("string")))
-
-
 def _grams(s: Column, size: int) -> Column:
+    """Character n-grams as hashed ids; a repeat of a gram gets an id of its own.
+
+    Two grams sharing an id by accident can only add a candidate.
+    """
     n = F.char_length(s) - size + 1
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(size)))
-    return F.when(n >= 1, let(cut, _numbered)).otherwise(F.array().cast("array<string>"))
+
+    def ids(items: Column) -> Column:
+        nth = lambda x, i: F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x))
+        return F.transform(items, lambda x, i: F.xxhash64(x, nth(x, i)))
+
+    return F.when(n >= 1, let(cut, ids)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _lost_pairs(n: Column, t: float) -> Column:
     """Most character pairs of an ``n`` character string a match can lose."""
-    return n * (4 * (1 - t) / (2 - t)) + 1e-6
+    return F.floor(n * (4 * (1 - t) / (2 - t)) + EPS).cast("int")
 
 
 def _lost_chars(n: Column, t: float) -> Column:
-    return n * ((2 - 2 * t) / (2 - t)) + 1e-6
-
-
-def _features(keys: DataFrame, scorer: str, t: float) -> DataFrame:
-    """``(side, key, n, reach, feats)``: features and how many rarest to list."""
-    s = keys.withColumn("s", _canonical(F.col("key"), scorer)).withColumn("n", F.char_length("s"))
-    if scorer == "partial":
-        # The shorter string lists its rarest features, the longer one all of
-        # them.  Very short strings have too few character pairs to rely on.
-        pairs = F.transform(_grams(F.col("s"), 2), lambda g: F.concat(F.lit("2"), g))
-        singles = F.transform(_grams(F.col("s"), 1), lambda g: F.concat(F.lit("1"), g))
-        by_pairs = (F.floor(_lost_pairs(F.col("n"), t)) + 1 <= F.col("n") - 1) if t >= 2 / 3 else F.lit(False)
-        return s.withColumn("by_pairs", by_pairs).select(
-            "side", "key", "n", F.concat(pairs, singles).alias("feats"),
-            F.when(F.col("by_pairs"), F.floor(_lost_pairs(F.col("n"), t)) + 1)
-            .otherwise(F.floor(_lost_chars(F.col("n"), t)) + 1).cast("int").alias("reach"),
-            F.when(F.col("by_pairs"), "2").otherwise("1").alias("kind"),
-        )
-    if t >= 2 / 3:
-        padded = F.concat(F.lit(" "), F.col("s"), F.lit(" "))
-        feats, lost = _grams(padded, 2), _lost_pairs(F.col("n"), t)
-    else:
-        feats, lost = _grams(F.col("s"), 1), _lost_chars(F.col("n"), t)
-    return s.select("side", "key", "n", feats.alias("feats"), (F.floor(lost) + 1).cast("int").alias("reach"))
+    return F.floor(n * ((2 - 2 * t) / (2 - t)) + EPS).cast("int")
+
+
+def _shared_needed(ln: Column, rn: Column, t: float) -> Column:
+    """Least number of features two strings of these lengths must share."""
+    total = ln + rn
+    if t < 2 / 3:
+        return total * (t / 2) - EPS
+    # Edits of a pair have the parity of its total length.
+    most = F.floor(total * (1 - t) + EPS)
+    edits = most - F.pmod(most + total, F.lit(2))
+    return ln + 1 - F.floor((3 * edits + ln - rn) / 2)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _ranked(listed: DataFrame, *keep: str) -> DataFrame:
     """Features of each key, rarest first, as ``array<struct(df, f)>``."""
-    each = listed.select("side", "key", *keep, F.explode("feats").alias("f"))
+    each = listed.select("side", "key", "pos", *keep, F.explode("feats").alias("f"))
     freq = each.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
-    return each.join(freq, "f").groupBy("side", "key", *keep).agg(
+    # A key lists as many features as it has characters, so this stays small.
+    return each.join(freq, "f").groupBy("side", "key", "pos", *keep).agg(
         F.array_sort(F.collect_list(F.struct("df", "f"))).alias("feats")
     )
 
 
-def _side(df: DataFrame, side: int, feats: Column, *keep: str) -> DataFrame:
-    e = df.filter(F.col("side") == side).select("key", *keep, F.explode(feats).alias("e"))
-    return e.select("key", *keep, F.col("e.f").alias("f"), F.col("e.df").alias("df"))
+def _listed(ranked: DataFrame, side: int, chosen: Column, *keep: Column | str) -> DataFrame:
+    """One row per listed feature of each key of a side."""
+    p = "l" if side == 0 else "r"
+    cols = [F.col(c).alias(p + c) if isinstance(c, str) else c for c in keep]
+    each = ranked.filter(F.col("side") == side).select(
+        F.col("key").alias(p + "key"), F.col("pos").alias(p + "pos"), *cols, F.explode(chosen).alias("e")
+    )
+    return each.select("*", F.col("e.f").alias("f"), F.col("e.df").alias("df")).drop("e")
+
 
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of keys listing the same feature; frequent features are salted.
 
-def _meet(left: DataFrame, right: DataFrame, on_length: Column | None = None) -> DataFrame:
-    """Pairs of keys listing the same feature; frequent features are salted."""
+    The number of partitions is fixed because the work per row is an alignment,
+    which small row sizes would hide from adaptive coalescing.
+    """
     shares = F.least(F.ceil(F.col("df") / F.lit(SHARE)), F.lit(MAX_SHARES)).cast("int")
-    a = left.withColumn("salt", F.pmod(F.xxhash64("key"), shares).cast("int")).drop("df")
+    n = _partitions(left)
+    a = left.withColumn("salt", F.pmod(F.xxhash64("lkey"), shares).cast("int")).drop("df")
     b = right.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("df")
-    rename = lambda df, p: df.select("f", "salt", *[F.col(c).alias(p + c) for c in df.columns if c not in ("f", "salt")])
-    out = rename(a, "l").join(rename(b, "r"), ["f", "salt"])
-    return out if on_length is None else out.filter(on_length)
+    return a.repartition(n, "f", "salt").join(b.repartition(n, "f", "salt"), ["f", "salt"])
+
+
+def _enough(common: Column, needed: Column) -> Column:
+    """Keep a pair once, at the first feature it shares, if it shares enough."""
+    return let(common, lambda c: (F.size(c) >= needed) & (F.get(c, F.lit(0)) == F.col("f")))
+
+
+PAIR = ["lkey", "lpos", "rkey", "rpos"]
 
 
 def _gram_pairs(keys: DataFrame, scorer: str, t: float) -> DataFrame:
-    if scorer == "partial":
-        ranked = _ranked(_features(keys, scorer, t), "n", "reach", "kind")
-        own = F.slice(F.filter("feats", lambda e: F.startswith(e["f"], F.col("kind"))), F.lit(1), F.col("reach"))
-        short_l, full_r = _side(ranked, 0, own, "n"), _side(ranked, 1, F.col("feats"), "n")
-        full_l, short_r = _side(ranked, 0, F.col("feats"), "n"), _side(ranked, 1, own, "n")
-        a = _meet(short_l, full_r, F.col("ln") <= F.col("rn"))
-        b = _meet(full_l, short_r, F.col("ln") >= F.col("rn"))
-        return a.select("lkey", "rkey").unionByName(b.select("lkey", "rkey"))
-    ranked = _ranked(_features(keys, scorer, t), "n", "reach")
+    s = keys.withColumn("s", _canonical(F.col("key"), scorer)).withColumn("n", F.char_length("s")).filter("n > 0")
+    ids = F.transform("feats", lambda e: e["f"]).alias("ids")
+    if t >= 2 / 3:
+        feats, lost = _grams(F.concat(F.lit(" "), F.col("s"), F.lit(" ")), 2), _lost_pairs(F.col("n"), t)
+    else:
+        feats, lost = _grams(F.col("s"), 1), _lost_chars(F.col("n"), t)
+    ranked = _ranked(s.select("side", "key", "pos", "n", feats.alias("feats"), (lost + 1).alias("reach")), "n", "reach")
     rare = F.slice("feats", F.lit(1), F.col("reach"))
-    close = 2 * F.least("ln", "rn") >= F.lit(t - 1e-9) * (F.col("ln") + F.col("rn"))
-    return _meet(_side(ranked, 0, rare, "n"), _side(ranked, 1, rare, "n"), close).select("lkey", "rkey")
+    left = _listed(ranked, 0, rare, "n", ids.alias("lids"))
+    right = _listed(ranked, 1, rare, "n", ids.alias("rids"))
+    close = 2 * F.least("ln", "rn") >= F.lit(t - EPS) * (F.col("ln") + F.col("rn"))
+    common = F.array_intersect("lids", "rids")
+    return _meet(left, right).filter(close & _enough(common, _shared_needed(F.col("ln"), F.col("rn"), t))).select(*PAIR)
+
+
+def _partial_pairs(keys: DataFrame, t: float) -> DataFrame:
+    """The shorter string lists its rarest features, the longer one all of them.
+
+    Very short strings have too few character pairs to rely on and list single
+    characters instead.
+    """
+    s = keys.withColumn("n", F.char_length("key")).filter("n > 0")
+    pairs, chars = _grams(F.col("key"), 2), _grams(F.col("key"), 1)
+    by_pairs = (_lost_pairs(F.col("n"), t) < F.col("n") - 1) if t >= 2 / 3 else F.lit(False)
+    s = s.withColumn("pairs", pairs).withColumn("chars", chars).withColumn("by_pairs", by_pairs)
+    s = s.withColumn("feats", F.concat("pairs", "chars"))
+    s = s.withColumn("own", F.when(F.col("by_pairs"), F.col("pairs")).otherwise(F.col("chars")))
+    lost = F.when(F.col("by_pairs"), _lost_pairs(F.col("n"), t)).otherwise(_lost_chars(F.col("n"), t))
+    ranked = _ranked(s.withColumn("lost", lost), "n", "own", "lost")
+    mine = F.filter("feats", lambda e: F.array_contains("own", e["f"]))
+    ids = lambda a: F.transform(a, lambda e: e["f"])
+    rare = F.slice(mine, F.lit(1), F.col("lost") + 1)
+    needed = lambda p: F.size(p + "mine") - F.col(p + "lost")
+
+    def side(i: int, short: bool) -> DataFrame:
+        p = "l" if i == 0 else "r"
+        if short:
+            return _listed(ranked, i, rare, "n", "lost", ids(mine).alias(p + "mine"))
+        return _listed(ranked, i, F.col("feats"), "n", ids("feats").alias(p + "all"))
+
+    a = _meet(side(0, True), side(1, False)).filter(
+        (F.col("ln") <= F.col("rn")) & _enough(F.array_intersect("lmine", "rall"), needed("l"))
+    )
+    b = _meet(side(0, False), side(1, True)).filter(
+        (F.col("ln") > F.col("rn")) & _enough(F.array_intersect("rmine", "lall"), needed("r"))
+    )
+    return a.select(*PAIR).unionByName(b.select(*PAIR))
 
 
-def _token_pairs(keys: DataFrame, t: float, prefer: str | None) -> DataFrame:
-    """Pairs whose score rests on shared tokens."""
-    sets = keys.withColumn("feats", sim.token_set("key")).withColumn("size", F.size("feats")).filter("size > 0")
-    sets = sets.withColumn("n", F.char_length(F.array_join("feats", " ")))
-    many = _ranked(sets.filter("size > 1"), "n")
+def _token_scores(keys: DataFrame, t: float, prefer: str | None) -> DataFrame:
+    """Pairs whose score rests on shared tokens, with that part of the score.
+
+    A pair that scores more by alignment is also found by its character pairs.
+    """
+    sets = keys.withColumn("tokens", sim.token_set("key")).withColumn("size", F.size("tokens")).filter("size > 0")
+    sets = sets.withColumn("n", F.char_length(F.array_join("tokens", " ")))
+    many = _ranked(sets.filter("size > 1").withColumn("feats", F.col("tokens")), "n", "tokens")
     # Tokens that may all be missing have a bounded length; list rare tokens
     # until they are longer than that, at least one.
-    spare = F.col("n") * ((2 - 2 * t) / (2 - t)) + 1e-6
+    spare = F.col("n") * ((2 - 2 * t) / (2 - t)) + EPS
     seed = F.struct(F.lit(0).alias("used"), F.lit(0).alias("take"))
     counted = F.aggregate(
         "feats", seed,
@@ -139,134 +194,75 @@ def _token_pairs(keys: DataFrame, t: float, prefer: str | None) -> DataFrame:
     )
     rare = F.slice("feats", F.lit(1), counted["take"])
     every = F.col("feats")
-    pairs = _meet(_side(many, 0, rare), _side(many, 1, every)).select("lkey", "rkey").unionByName(
-        _meet(_side(many, 0, every), _side(many, 1, rare)).select("lkey", "rkey")
-    )
-    # One-token strings: at most one key per side and token.
-    tokens = sets.select("side", "key", "size", "pos", F.explode("feats").alias("f"))
-    single = tokens.filter("size = 1").select("side", F.col("key").alias("one"), "f")
-    holders = tokens.filter("size > 1")
-    left_one, right_one = single.filter("side = 0").drop("side"), single.filter("side = 1").drop("side")
-    in_left = holders.filter("side = 0").join(right_one, "f").select(F.col("key").alias("lkey"), F.col("one").alias("rkey"))
-    right_holders = holders.filter("side = 1")
+    side = lambda i, chosen: _listed(many, i, chosen, "n", "tokens")
+    met = _meet(side(0, rare), side(1, every)).unionByName(_meet(side(0, every), side(1, rare)))
+
+    def covered(same: Column) -> Column:
+        s = F.char_length(F.array_join(same, " "))
+        part = lambda n: sim.indel_percent(n - s, s + n)
+        subset = (F.size(same) == F.size("ltokens")) | (F.size(same) == F.size("rtokens"))
+        return F.when(subset, F.lit(100.0)).otherwise(F.greatest(part(F.col("ln")), part(F.col("rn"))))
+
+    scored = met.select(*PAIR, let(F.array_intersect("ltokens", "rtokens"), covered).alias("score"))
+    # Strings of one token: at most one such key per side and token.
+    tokens = sets.select("side", "key", "pos", "size", F.explode("tokens").alias("f"))
+    single, holders = tokens.filter("size = 1"), tokens.filter("size > 1")
+    as_side = lambda df, p: df.select("f", F.col("key").alias(p + "key"), F.col("pos").alias(p + "pos"))
+    l_one, r_one = as_side(single.filter("side = 0"), "l"), as_side(single.filter("side = 1"), "r")
+    r_hold = as_side(holders.filter("side = 1"), "r")
     if prefer is not None:
-        pick = F.min_by if prefer == "first" else F.max_by
-        right_holders = right_holders.groupBy("f").agg(pick("key", "pos").alias("key"))
-    in_right = right_holders.join(left_one, "f").select(F.col("one").alias("lkey"), F.col("key").alias("rkey"))
-    same = left_one.join(right_one.withColumnRenamed("one", "other"), "f").select(
-        F.col("one").alias("lkey"), F.col("other").alias("rkey")
-    )
-    return pairs.unionByName(in_left).unionByName(in_right).unionByName(same)
+        pick = F.min if prefer == "first" else F.max
+        r_hold = r_hold.groupBy("f").agg(pick(F.struct("rpos", "rkey")).alias("p")).select("f", "p.rkey", "p.rpos")
+    exact = as_side(holders.filter("side = 0"), "l").join(r_one, "f").select(*PAIR)
+    exact = exact.unionByName(l_one.join(r_hold, "f").select(*PAIR)).unionByName(l_one.join(r_one, "f").select(*PAIR))
+    return scored.unionByName(exact.withColumn("score", F.lit(100.0)))
 
 
-def candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
-               prefer: str | None = None) -> DataFrame:
-    """Distinct ``(lkey, rkey)`` holding every pair that reaches ``threshold``.
+SCORES = {
+    "ratio": sim.ratio,
+    "token_sort": sim.token_sort_ratio,
+    "token_set": sim.token_set_ratio,
+    "partial": sim.partial_ratio,
+}
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
+                 prefer: str | None = None) -> DataFrame:
+    """``(lkey, lpos, rkey, rpos, score)`` holding every pair that reaches ``threshold``.
 
-    ``left(key)`` and ``right(key, pos)`` hold distinct non-empty keys.  With
-    ``prefer`` ("first" or "last" by ``pos``) only the preferred of many equally
-    perfect partners of a one-token key is listed.
+    ``left(key, pos)`` and ``right(key, pos)`` hold distinct keys; empty ones
+    match nothing.  With ``prefer`` ("first" or "last" by ``pos``) only the
+    preferred of many perfect partners of a one-token key is listed.  Pairs
+    below the threshold and repeated pairs may occur: aggregate, then filter.
     """
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}")
     t = threshold / 100.0
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 100")
-    keys = left.select(F.lit(0).alias("side"), "key", F.lit(None).cast("bigint").alias("pos")).unionByName(
-        right.select(F.lit(1).alias("side"), "key", F.col("pos").cast("bigint").alias("pos"))
-    )
-    pairs = _gram_pairs(keys, scorer, t)
-    if scorer == "token_set":
-        pairs = pairs.unionByName(_token_pairs(keys, t, prefer))
-    # Everything after this works per left key, so it is shuffled by it once.
-    return pairs.repartition("lkey").dropDuplicates(["lkey", "rkey"])
-
-
-def _token_bits(s: Column) -> Column:
-    """Bits of the characters and of the following space, per token of a set."""
-
-    def step(acc: Column, tok: Column) -> Column:
-        size = F.char_length(tok)
-        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("bigint"), size) - 1, acc["at"])
-        space = F.call_function("shiftleft", F.lit(1).cast("bigint"), acc["at"] + size)
-        entry = F.struct(tok.alias("t"), F.struct(bits.alias("bits"), space.alias("space")).alias("v"))
-        return F.struct((acc["at"] + size + 1).alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    empty = F.array().cast("array<struct<t:string,v:struct<bits:bigint,space:bigint>>>")
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.map_from_entries(F.aggregate(s, seed, step, lambda acc: acc["out"]))
-
-
-def _prepared(left: DataFrame, scorer: str) -> DataFrame:
-    """Per left key, what scoring its pairs needs: computed once, not per pair."""
-    base = left.select(F.col("key").alias("lkey"))
-    if scorer == "partial":
-        return base
-    base = base.withColumn("ls", _canonical(F.col("lkey"), scorer)).withColumn("ln", F.char_length("ls"))
-    base = base.withColumn("lm", sim.position_masks(sim.chars("ls")))
-    if scorer == "token_set":
-        base = base.withColumn("lt", sim.token_set("lkey"))
-        base = base.withColumn("lbits", F.when(F.col("ln") <= sim.WORD, _token_bits(F.col("lt"))))
-    return base
-
-
-def _score(scorer: str) -> Column:
-    if scorer == "partial":
-        return sim.partial_ratio("lkey", "rkey")
-    if scorer == "token_set":
-        def lcs(rest: Column, ba: Column) -> Column:
-            # Positions of the left string outside its unshared tokens are masked out.
-            bits = F.aggregate(
-                rest, F.lit(0).cast("bigint"),
-                lambda acc, t: acc.bitwiseOR(F.col("lbits")[t]["bits"]).bitwiseOR(
-                    F.when(t == F.element_at(rest, -1), F.lit(0).cast("bigint")).otherwise(F.col("lbits")[t]["space"])
-                ),
-            )
-            return let(bits, lambda keep: sim.lcs_prepared(F.col("lm"), F.col("ln"), sim.chars(ba), keep))
-
-        def scored(tb: Column) -> Column:
-            rest = F.array_except("lt", tb)
-            fast = let(rest, lambda r: sim.token_set_score(F.col("lt"), tb, lambda ab, ba: lcs(r, ba)))
-            return F.when(F.col("lbits").isNotNull(), fast).otherwise(sim.token_set_score(F.col("lt"), tb))
-
-        return let(sim.token_set("rkey"), scored)
-    right = _canonical(F.col("rkey"), scorer)
-    return let(
-        sim.chars(right),
-        lambda cs: sim.indel_score(sim.lcs_prepared(F.col("lm"), F.col("ln"), cs), F.col("ln") + F.size(cs)),
-    )
-
-
-def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
-                 prefer: str | None = None) -> DataFrame:
-    """Candidate pairs with their score, before any threshold."""
-    pairs = candidates(left, right, scorer, threshold, prefer)
-    return pairs.join(_prepared(left, scorer), "lkey").select("lkey", "rkey", _score(scorer).alias("score"))
+    as_keys = lambda df, i: df.select(F.lit(i).alias("side"), "key", F.col("pos").cast("bigint").alias("pos"))
+    # Distinct keys may come from a scan of everything: compute them once.
+    keys = cut_lineage(as_keys(left, 0).unionByName(as_keys(right, 1)).filter("key <> ''"))
+    pairs = _partial_pairs(keys, t) if scorer == "partial" else _gram_pairs(keys, scorer, t)
+    scored = pairs.select(*PAIR, SCORES[scorer]("lkey", "rkey").alias("score"))
+    return scored.unionByName(_token_scores(keys, t, prefer)) if scorer == "token_set" else scored
 
 
 def similar_pairs(keys: DataFrame, scorer: str, threshold: float) -> DataFrame:
-    """All unordered pairs ``(lkey, rkey, score)`` of distinct keys, earlier first.
-
-    ``keys(key, pos)`` are distinct; ``pos`` decides which is earlier.
-    """
-    scored = scored_pairs(keys, keys, scorer, threshold).filter("lkey <> rkey")
-    # The score is computed in the projection below; filtering on an aggregate
-    # of it keeps the optimiser from evaluating it a second time.
-    best = scored.groupBy("lkey", "rkey").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    at = lambda side: keys.select(F.col("key").alias(side + "key"), F.col("pos").alias(side + "pos"))
-    return best.join(at("l"), "lkey").join(at("r"), "rkey").filter("lpos < rpos")
+    """All pairs of distinct keys at or above ``threshold``, earlier ``pos`` left."""
+    scored = scored_pairs(keys, keys, scorer, threshold).filter("lpos < rpos")
+    # Filtering an aggregate keeps the optimiser from scoring pairs twice.
+    return scored.groupBy(*PAIR).agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
 
 
 def best_match(left: DataFrame, right: DataFrame, scorer: str = "token_set", threshold: float = 88) -> DataFrame:
     """Per left key its best right key at or above ``threshold``.
 
-    Returns ``(key, match, pos, score)``; of equal scores the lowest ``pos`` wins.
+    ``left(key)``, ``right(key, pos)``.  Returns ``(key, match, pos, score)``; of
+    equal scores the lowest ``pos`` wins.
     """
-    scored = scored_pairs(left, right, scorer, threshold, "first")
-    placed = scored.join(right.select(F.col("key").alias("rkey"), "pos"), "rkey")
-    best = placed.groupBy("lkey").agg(
-        F.max(F.struct(F.col("score"), (-F.col("pos")).alias("neg"), F.col("rkey"))).alias("b")
-    )
+    scored = scored_pairs(left.select("key", F.lit(0).alias("pos")), right, scorer, threshold, "first")
+    best = scored.groupBy("lkey").agg(F.max(F.struct("score", (-F.col("rpos")).alias("neg"), "rkey")).alias("b"))
     return best.select(
         F.col("lkey").alias("key"), F.col("b.rkey").alias("match"), (-F.col("b.neg")).alias("pos"), F.col("b.score").alias("score")
     ).filter(F.col("score") >= threshold)
@@ -280,15 +276,17 @@ def best_match_any(left: DataFrame, right: DataFrame, scorer: str = "token_set",
     that are complete for its own threshold.  What no rung resolves shares no
     character with any right key: it scores 0, and the first right key stands.
     """
-    from muster.plans.storage import cut_lineage
-
-    found, rest = None, left.select("key")
+    right = cut_lineage(right.select("key", "pos"))
+    rest = cut_lineage(left.select("key").filter("key <> ''"))
+    found = None
     for threshold in ladder:
+        if rest.isEmpty():
+            break
         hits = cut_lineage(best_match(rest, right, scorer, threshold))
         found = hits if found is None else found.unionByName(hits)
-        rest = rest.join(hits.select("key"), "key", "left_anti")
+        rest = cut_lineage(rest.join(hits.select("key"), "key", "left_anti"))
     first = right.agg(F.min(F.struct("pos", "key")).alias("f")).scalar()
     nothing = rest.withColumn("f", first).filter(F.col("f").isNotNull()).select(
         "key", F.col("f.key").alias("match"), F.col("f.pos").alias("pos"), F.lit(0.0).alias("score")
     )
-    return found.unionByName(nothing)
+    return nothing if found is None else found.unionByName(nothing)

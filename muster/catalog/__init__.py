@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["text", "rules", "aggregates", "selection"]
+AREAS = ["text", "rules", "aggregates", "selection", "matching", "mapping", "files"]
 
 
 def load():

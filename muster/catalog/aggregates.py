@@ -75,10 +75,10 @@ GRID_VALUES = ", ".join(
     "agg_dense_grid",
     with_ctes(
         """SELECT g.state || ' - ' || g.kind || ' - ' || g.focus AS segment, count(c.row_id) AS count,
-          sum(CASE WHEN c.row_id IS NULL THEN 0 ELSE 0 END)::BIGINT + length('Hi {FirstName},' || chr(10) || chr(10) || 'I’m connecting with '
-            || CASE WHEN g.kind = 'Bank' THEN 'banking' ELSE 'credit union' END || ' leaders across ' || CASE WHEN g.state = 'Other States' THEN 'the US' ELSE g.state END
+          'Hi {FirstName},' || chr(10) || chr(10) || 'I’m connecting with ' || CASE WHEN g.kind = 'Bank' THEN 'banking' ELSE 'credit union' END
+            || ' leaders across ' || CASE WHEN g.state = 'Other States' THEN 'the US' ELSE g.state END
             || ' who are driving projects in AI, data and automation. It would be great to connect and share insights ahead of a summit in Charlotte this November.'
-            || chr(10) || chr(10) || 'Best regards, Mark') AS n_text
+            || chr(10) || chr(10) || 'Best regards, Mark' AS connection
         FROM grid g LEFT JOIN typed c USING (state, kind, focus) GROUP BY g.state, g.kind, g.focus""",
         CONTACTS_SQL, geo_fuzzy_sql("contacts", "location"),
         f"""typed AS (SELECT row_id, coalesce(state, 'Other States') AS state, {q.company_type('company')} AS kind, {q.focus('title')} AS focus
@@ -91,7 +91,7 @@ def agg_dense_grid(spark, sf):
         cl.geo_fuzzy("location").alias("state"), cl.company_type("company").alias("kind"), cl.focus("title").alias("focus")
     )
     grid = rp.dense_grid(df, "state", "kind", "focus", STATES)
-    return grid.select("segment", "count", F.char_length("connection").cast("bigint").alias("n_text"))
+    return grid.select("segment", "count", "connection")
 
 
 @query(

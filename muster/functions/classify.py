@@ -20,8 +20,9 @@ def first_match(rules: list[tuple[Column, object]], default=None) -> Column:
 
 
 def lookup(c: Column, table: dict, default) -> Column:
-    """Fixed label-to-value table as an ordered CASE."""
-    return first_match([(c == k, v) for k, v in table.items()], F.lit(default))
+    """Value of a label in a fixed table; the label is evaluated once."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[c], F.lit(default))
 
 
 # ------------------------------------------------------------- organisations

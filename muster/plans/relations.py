@@ -219,3 +219,23 @@ PRIOR_SQL = literal_pairs_sql("prior_mapping", PRIOR_MAPPING, "original", "stand
 
 def with_ctes(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+HEADERS = [
+    "First Name", "first name", "LinkedIn URL", "Company", "company_name", "Employer", "Job Title", "jobtitle",
+    "title", "Location", "City", "E-mail", "email", "Last  Name", "Surname", "lastName", "profileUrl",
+    "Profile URL", "Seniority", "level", "State", "state/region", "Country", "Focus Area", "Relevance",
+    "is relevant", "Organisation Type", "Compny Name", " Company  Name", "fullName", "Full Name", "name_full",
+    "industry", "timestmp", "owner", "Bank Size", "Segment",
+]
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header catalogue of many files: a file per customer, a header per order."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("pos"), pick(HEADERS, F.col("o_orderkey")).alias("header")
+    )
+
+
+HEADERS_SQL = f"""headers AS (
+  SELECT o_custkey AS file_id, o_orderkey AS pos, {sql_pick(HEADERS, 'o_orderkey')} AS header FROM orders)"""

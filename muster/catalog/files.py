@@ -24,13 +24,11 @@ def _cells(spark, sf):
     return rel.contacts(spark, sf).select(*CELLS)
 
 
-@query("src_csv_typed", with_ctes(f"SELECT {CELLS_SQL.replace('title', 'CASE WHEN trim(title) <> chr(0) THEN title END AS title')} FROM contacts", CONTACTS_SQL))
+@query("src_csv_typed", with_ctes(f"SELECT {CELLS_SQL} FROM contacts", CONTACTS_SQL))
 def src_csv_typed(spark, sf):
     path = scratch_path(spark, "typed")
     sk.write_csv(_cells(spark, sf), path)
-    return sr.read_typed(spark, path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).withColumn(
-        "row_id", F.col("row_id").cast("bigint")
-    )
+    return sr.read_typed(spark, path).withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
 @query("src_csv_text", with_ctes("SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(company, '') AS company, coalesce(url, '') AS url FROM contacts", CONTACTS_SQL))
@@ -138,9 +136,8 @@ def src_single_column(spark, sf):
 def src_alias_pairs(spark, sf):
     path = scratch_path(spark, "aliases")
     supplier = rel.table(spark, sf, "supplier")
-    supplier.select(F.concat_ws(" => ", "s_name", F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")))).unionByName(
-        supplier.select(F.concat(F.lit("no arrow "), "s_name"))
-    ).write.text(path)
+    pairs = supplier.select(F.concat_ws(" => ", "s_name", F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"))).alias("v"))
+    pairs.unionByName(supplier.select(F.concat(F.lit("no arrow "), "s_name").alias("v"))).write.text(path)
     return sr.parse_aliases(sr.ordered_lines(spark, path))
 
 
@@ -159,7 +156,7 @@ def sink_csv(spark, sf):
     path = scratch_path(spark, "out")
     people = rel.contacts(spark, sf).select("row_id", "lastname", "title", F.lit(1).alias("_helper"))
     sk.write_csv(people, path)
-    return sr.read_text(spark, path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return sr.read_text(spark, path)
 
 
 def _segmented(spark, sf):

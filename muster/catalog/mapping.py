@@ -237,7 +237,7 @@ def prj_fixed_schema(spark, sf):
 @query("prj_rename_mapped", with_ctes('SELECT row_id, company AS "Company Name", title AS jobtitle, location AS "State" FROM contacts', CONTACTS_SQL))
 def prj_rename_mapped(spark, sf):
     df = rel.contacts(spark, sf).select("row_id", "company", "title", "location")
-    return sc.rename_mapped(df, {"company": "Company Name", "title": "jobtitle", "location": "State", "missing": None})
+    return sc.rename_mapped(df, {"Company Name": "company", "jobtitle": "title", "State": "location", "country": None})
 
 
 @query("prj_reorder_export", with_ctes("SELECT email, title, row_id, company FROM contacts", CONTACTS_SQL))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
 from muster.functions import text as tx
-from muster.functions.similarity import best_partial, length_compatible, token_sort_ratio
+from muster.functions.similarity import best_partial, length_compatible, text_literal, token_sort_ratio
 
 
 def first_match(rules: list[tuple[Column, object]], default=None) -> Column:
@@ -157,7 +157,7 @@ def allowed_or(c: Column, allowed, fallback: str) -> Column:
     return F.when(c.isin(*allowed), c).otherwise(fallback)
 
 
-def geo_fuzzy(location, threshold: float = fv.STATE_FUZZ_THRESHOLD, other: str = fv.OTHER_STATES,
+def geo_fuzzy(location: str, threshold: float = fv.STATE_FUZZ_THRESHOLD, other: str = fv.OTHER_STATES,
               states: dict[str, list[str]] = fv.FUZZY_STATES, whole_codes: bool = False) -> Column:
     """State whose best name or code scores highest, first state on ties.
 
@@ -180,20 +180,20 @@ def geo_fuzzy(location, threshold: float = fv.STATE_FUZZ_THRESHOLD, other: str =
         exact.append((hit, state))
     # A two-letter code reaches a high threshold only by being contained.
     names = [(t.lower(), state) for state, tokens in states.items() for t in tokens if len(t) > 2 or threshold < 67]
+    fuzzy = best_partial(f"lower(coalesce({location}, ''))", names, threshold)
     # An empty location matches nothing.
-    return F.when(low == "", F.lit(other)).otherwise(
-        F.coalesce(first_match(exact), best_partial(low, names, threshold), F.lit(other))
-    )
+    return F.when(low == "", F.lit(other)).otherwise(F.coalesce(first_match(exact), fuzzy, F.lit(other)))
 
 
-def geo_multi(value, threshold: float = 80, states: dict[str, list[str]] = fv.SPLIT_STATES) -> Column:
+def geo_multi(value: str, threshold: float = 80, states: dict[str, list[str]] = fv.SPLIT_STATES) -> Column:
     """Array of all states a value names; independent test per state."""
     low = F.lower(tx.strip(value))
     found = []
     for state, codes in states.items():
         name = state.lower()
         hit = F.contains(low, F.lit(name)) | low.isin(*[x for c in codes for x in (c, c + ".")])
-        hit = hit | (length_compatible(low, F.lit(name), threshold) & (token_sort_ratio(low, F.lit(name)) >= threshold))
+        score = token_sort_ratio(f"lower({value})", text_literal(name))
+        hit = hit | (length_compatible(F.lower(tx.collapse(value)), F.lit(name), threshold) & (score >= threshold))
         found.append(F.when(hit, F.lit(state)))
     return F.array_compact(F.array(*found))
 

@@ -4,223 +4,224 @@ All scores rest on the longest common subsequence.  Its length comes from the
 bit-vector recurrence over the characters of the second string, held in words
 of 62 bits so that sums never overflow a bigint; no Python worker is involved
 and there is no length limit.
+
+The expressions are written as SQL text: they nest many lambdas, and one parsed
+string reaches the session in a single call where a tree of ``Column`` calls
+takes thousands.  Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from muster.functions.text import col, let, words
-
 WORD = 62
 FULL = (1 << WORD) - 1
+_names = itertools.count()
 
 
-def chars(c: Column | str) -> Column:
-    """Code points of a string as an array."""
-    return F.regexp_extract_all(col(c), F.lit("(?s)(.)"), F.lit(1))
+def _fresh(stem: str) -> str:
+    """A lambda variable no enclosing expression uses."""
+    return f"{stem}_{next(_names)}"
 
 
-def position_masks(cs: Column) -> Column:
-    """``map(char -> words)``: bit p of word w is set where char 62w+p matches."""
+def let_sql(value: str, body) -> str:
+    """Evaluate ``value`` once and hand its name to ``body``."""
+    v = _fresh("v")
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
 
-    def build(arr: Column) -> Column:
-        n_words = F.greatest(F.lit(1), F.ceil(F.size(arr) / F.lit(float(WORD)))).cast("int")
 
-        def word(ch: Column, w: Column) -> Column:
-            part = F.slice(arr, w * WORD + 1, WORD)
-            seed = F.struct(F.lit(0).cast("bigint").alias("m"), F.lit(1).cast("bigint").alias("bit"))
-            step = lambda acc, x: F.struct(
-                F.when(x == ch, acc["m"].bitwiseOR(acc["bit"])).otherwise(acc["m"]).alias("m"),
-                F.shiftleft(acc["bit"], 1).alias("bit"),
-            )
-            return F.aggregate(part, seed, step, lambda acc: acc["m"])
+def text_literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-        entry = lambda ch: F.struct(
-            ch.alias("c"), F.transform(F.sequence(F.lit(0), n_words - 1), lambda w: word(ch, w)).alias("w")
-        )
-        return F.map_from_entries(F.transform(F.array_distinct(arr), entry))
 
-    return let(cs, build)
+SPACE_SQL = text_literal(r"[\t-\r\x1c-\x1f\x85\p{Z}]+")
 
 
-def _one_word(masks: Column, other: Column, keep: Column | None) -> Column:
-    """LCS length where the first string fits one word.
+def words_sql(s: str) -> str:
+    return f"filter(split(trim(regexp_replace({s}, {SPACE_SQL}, ' ')), ' '), w -> w <> '')"
 
-    ``keep`` limits the first string to the positions whose bits are set;
-    positions left out can never match, which leaves the rest unaffected.
-    """
-    full = F.lit(FULL).cast("bigint")
 
-    def step(v: Column, c: Column) -> Column:
-        hit = masks[c][0]
-        hit = hit if keep is None else hit.bitwiseAND(keep)
-        u = v.bitwiseAND(hit)
-        moved = (v + u).bitwiseOR(v.bitwiseAND(F.bitwise_not(hit))).bitwiseAND(full)
-        return F.when(hit.isNull(), v).otherwise(moved)
+def sorted_tokens_sql(s: str) -> str:
+    return f"array_join(array_sort({words_sql(s)}), ' ')"
 
-    return F.aggregate(other, full, step, lambda v: F.lit(WORD) - F.bit_count(v))
 
+def token_set_sql(s: str) -> str:
+    """Distinct tokens in order."""
+    return f"array_sort(array_distinct({words_sql(s)}))"
 
-def _many_words(masks: Column, n: Column, other: Column) -> Column:
-    full = F.lit(FULL).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    n_words = F.ceil(n / F.lit(float(WORD))).cast("int")
-    start = F.transform(F.sequence(F.lit(1), n_words), lambda w: full)
 
-    def step(v: Column, c: Column) -> Column:
-        def carry_over(acc: Column, w: Column) -> Column:
-            vw, hit = F.get(v, w), F.get(masks[c], w)
-            total = vw + vw.bitwiseAND(hit) + acc["carry"]
-            new = total.bitwiseOR(vw.bitwiseAND(F.bitwise_not(hit))).bitwiseAND(full)
-            return F.struct(
-                F.concat(acc["out"], F.array(new)).alias("out"),
-                F.when(total > full, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("carry"),
-            )
+def chars_sql(s: str) -> str:
+    """Code points of a string as an array."""
+    return f"regexp_extract_all({s}, '(?s)(.)', 1)"
 
-        seed = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"))
-        moved = F.aggregate(F.sequence(F.lit(0), n_words - 1), seed, carry_over, lambda acc: acc["out"])
-        return F.when(masks[c].isNull(), v).otherwise(moved)
 
-    ones = F.aggregate(other, start, step, lambda v: F.aggregate(v, F.lit(0), lambda a, w: a + F.bit_count(w)))
-    return n_words * WORD - ones
+def masks_sql(cs: str) -> str:
+    """``map(char -> words)``: bit p of word w is set where char 62w+p matches."""
+    def build(a: str) -> str:
+        ch, w = _fresh("ch"), _fresh("w")
+        word = (
+            f"aggregate(slice({a}, {w} * {WORD} + 1, {WORD}), named_struct('m', 0L, 'bit', 1L), "
+            f"(acc, x) -> named_struct('m', if(x = {ch}, acc.m | acc.bit, acc.m), 'bit', shiftleft(acc.bit, 1)), acc -> acc.m)"
+        )
+        last = f"greatest(1, cast(ceil(size({a}) / {WORD}.0D) as int)) - 1"
+        return (
+            f"map_from_entries(transform(array_distinct({a}), {ch} -> "
+            f"named_struct('c', {ch}, 'w', transform(sequence(0, {last}), {w} -> {word}))))"
+        )
+
+    return let_sql(cs, build)
 
 
-def lcs_prepared(masks: Column, n: Column, other: Column, keep: Column | None = None) -> Column:
+def lcs_masked_sql(masks: str, n: str, other: str) -> str:
     """LCS length from position masks of one side and characters of the other."""
-    short = _one_word(masks, other, keep)
-    if keep is not None:
-        return short
-    return F.when(n <= WORD, short).otherwise(_many_words(masks, n, other))
+    short = (
+        f"aggregate({other}, {FULL}L, (v, c) -> if({masks}[c] IS NULL, v, "
+        f"((v + (v & {masks}[c][0])) | (v & ~{masks}[c][0])) & {FULL}L), v -> {WORD} - bit_count(v))"
+    )
+    words = f"cast(ceil({n} / {WORD}.0D) as int)"
+    total = f"(get(v, w) + (get(v, w) & get({masks}[c], w)) + acc.carry)"
+    step = (
+        f"aggregate(sequence(0, {words} - 1), named_struct('out', cast(array() as array<bigint>), 'carry', 0L), "
+        f"(acc, w) -> named_struct('out', concat(acc.out, array(({total} | (get(v, w) & ~get({masks}[c], w))) & {FULL}L)), "
+        f"'carry', if({total} > {FULL}L, 1L, 0L)), acc -> acc.out)"
+    )
+    long = (
+        f"aggregate({other}, transform(sequence(1, {words}), w -> {FULL}L), (v, c) -> if({masks}[c] IS NULL, v, {step}), "
+        f"v -> {words} * {WORD} - aggregate(v, 0, (a, w) -> a + bit_count(w)))"
+    )
+    return f"if({n} <= {WORD}, {short}, {long})"
 
 
-def lcs_length(a: Column | str, b: Column | str) -> Column:
+def lcs_sql(a: str, b: str) -> str:
     """Longest common subsequence length of two strings."""
-    both = F.struct(chars(a).alias("a"), chars(b).alias("b"))
-    prepared = lambda s: let(
-        F.struct(position_masks(s["a"]).alias("m"), F.size(s["a"]).alias("n"), s["b"].alias("b")),
-        lambda p: lcs_prepared(p["m"], p["n"], p["b"]),
+    both = f"named_struct('a', {chars_sql(a)}, 'b', {chars_sql(b)})"
+    return let_sql(
+        both,
+        lambda s: let_sql(
+            f"named_struct('m', {masks_sql(s + '.a')}, 'n', size({s}.a), 'b', {s}.b)",
+            lambda p: lcs_masked_sql(f"{p}.m", f"{p}.n", f"{p}.b"),
+        ),
     )
-    return let(both, prepared)
 
 
-def indel_score(lcs: Column, total: Column) -> Column:
+def indel_sql(lcs: str, total: str) -> str:
     """``100 * (1 - distance / total)`` with both strings empty scoring 100."""
-    distance = (total - 2 * lcs).cast("double")
-    return F.when(total == 0, F.lit(100.0)).otherwise((F.lit(1.0) - distance / total) * 100.0)
+    return f"if({total} = 0, 100.0D, (1.0D - cast({total} - 2 * {lcs} as double) / {total}) * 100.0D)"
 
 
-def indel_percent(distance: Column, total: Column) -> Column:
+def percent_sql(distance: str, total: str) -> str:
     """Same measure, rounded the way the token scores are."""
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(100.0) - (100 * distance).cast("double") / total)
+    return f"if({total} = 0, 100.0D, 100.0D - cast(100 * ({distance}) as double) / ({total}))"
 
 
-def ratio(a: Column | str, b: Column | str) -> Column:
-    a, b = col(a), col(b)
-    total = F.char_length(a) + F.char_length(b)
-    # Equal strings need no alignment, and neither does a missing side.
-    return (
-        F.when(a == b, F.lit(100.0))
-        .when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(0.0) + total * 0)
-        .otherwise(indel_score(lcs_length(a, b), total))
-    )
+def ratio_sql(a: str, b: str) -> str:
+    def scored(v: str) -> str:
+        total = f"(char_length({v}.a) + char_length({v}.b))"
+        # Equal strings need no alignment, and neither does a missing side.
+        return (
+            f"CASE WHEN {v}.a = {v}.b THEN 100.0D WHEN {v}.a = '' OR {v}.b = '' THEN 0.0D "
+            f"WHEN {v}.a IS NULL OR {v}.b IS NULL THEN NULL ELSE {indel_sql(lcs_sql(v + '.a', v + '.b'), total)} END"
+        )
+
+    return let_sql(f"named_struct('a', {a}, 'b', {b})", scored)
+
 
+def token_sort_sql(a: str, b: str) -> str:
+    return ratio_sql(sorted_tokens_sql(a), sorted_tokens_sql(b))
 
-def lev_ratio(a: Column | str, b: Column | str) -> Column:
-    return ratio(a, b) / 100.0
 
+def token_set_ratio_sql(a: str, b: str) -> str:
+    def joined(s: str) -> str:
+        parts = (
+            f"named_struct('same', array_join(array_intersect({s}.a, {s}.b), ' '), "
+            f"'ab', array_join(array_except({s}.a, {s}.b), ' '), 'ba', array_join(array_except({s}.b, {s}.a), ' '))"
+        )
+        return (
+            f"if(size({s}.a) = 0 OR size({s}.b) = 0, 0.0D, "
+            + let_sql(parts, lambda j: f"if({j}.same <> '' AND ({j}.ab = '' OR {j}.ba = ''), 100.0D, {scored(j)})") + ")"
+        )
 
-def sorted_tokens(c: Column | str) -> Column:
-    return F.array_join(F.array_sort(words(c)), " ")
+    def scored(j: str) -> str:
+        same, ab, ba = f"char_length({j}.same)", f"char_length({j}.ab)", f"char_length({j}.ba)"
+        gap = f"if({same} > 0, 1, 0)"
+        sizes = (
+            f"named_struct('same', {same}, 'gap', {gap}, 'ab', {ab}, 'ba', {ba}, "
+            f"'d', {ab} + {ba} - 2 * {lcs_sql(j + '.ab', j + '.ba')})"
+        )
 
+        def best(x: str) -> str:
+            part = lambda d: percent_sql(f"{x}.gap + {x}.{d}", f"2 * {x}.same + {x}.gap + {x}.{d}")
+            whole = percent_sql(f"{x}.d", f"2 * ({x}.same + {x}.gap) + {x}.ab + {x}.ba")
+            return f"if({x}.same > 0, greatest({whole}, {part('ab')}, {part('ba')}), {whole})"
 
-def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
-    return ratio(sorted_tokens(a), sorted_tokens(b))
+        return let_sql(sizes, best)
 
+    return let_sql(f"named_struct('a', {token_set_sql(a)}, 'b', {token_set_sql(b)})", joined)
 
-def token_set(c: Column | str) -> Column:
-    """Distinct tokens in order."""
-    return F.array_sort(F.array_distinct(words(c)))
-
-
-def token_set_score(ta: Column, tb: Column, lcs=lcs_length) -> Column:
-    """Token set score of two sorted distinct token arrays."""
-
-    def scored(s: Column) -> Column:
-        same, ab, ba = F.char_length(s["same"]), F.char_length(s["ab"]), F.char_length(s["ba"])
-        gap = F.when(same > 0, 1).otherwise(0)
-        total = (same + gap + ab) + (same + gap + ba)
-        return let(
-            F.struct(same.alias("same"), gap.alias("gap"), ab.alias("ab"), ba.alias("ba"), total.alias("total"),
-                     (ab + ba - 2 * lcs(s["ab"], s["ba"])).alias("d")),
-            lambda x: F.greatest(
-                indel_percent(x["d"], x["total"]),
-                F.when(x["same"] > 0, indel_percent(x["gap"] + x["ab"], x["same"] + x["same"] + x["gap"] + x["ab"])),
-                F.when(x["same"] > 0, indel_percent(x["gap"] + x["ba"], x["same"] + x["same"] + x["gap"] + x["ba"])),
-            ),
-        )
 
-    joined = F.struct(
-        F.array_join(F.array_intersect(ta, tb), " ").alias("same"),
-        F.array_join(F.array_except(ta, tb), " ").alias("ab"),
-        F.array_join(F.array_except(tb, ta), " ").alias("ba"),
-    )
-    return let(
-        joined,
-        lambda s: F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
-        .when((s["same"] != "") & ((s["ab"] == "") | (s["ba"] == "")), F.lit(100.0))
-        .otherwise(scored(s)),
+def _windows_sql(short: str, long: str) -> str:
+    """Best score of ``short`` against every window of ``long``, ends clipped."""
+    prepared = let_sql(
+        f"named_struct('s', {chars_sql(short)}, 'l', {chars_sql(long)})",
+        lambda v: f"named_struct('n', size({v}.s), 'l', {v}.l, 'm', {masks_sql(v + '.s')})",
     )
 
+    def best(s: str) -> str:
+        i = _fresh("i")
+        window = f"slice({s}.l, greatest({i}, 0) + 1, least({i} + {s}.n, size({s}.l)) - greatest({i}, 0))"
+        one = let_sql(window, lambda w: indel_sql(lcs_masked_sql(f"{s}.m", f"{s}.n", w), f"({s}.n + size({w}))"))
+        return f"array_max(transform(sequence(1 - {s}.n, size({s}.l) - 1), {i} -> {one}))"
+
+    return let_sql(prepared, best)
 
-def token_set_ratio(a: Column | str, b: Column | str) -> Column:
-    return let(
-        F.struct(token_set(a).alias("a"), token_set(b).alias("b")),
-        lambda s: token_set_score(s["a"], s["b"]),
+
+def partial_sql(a: str, b: str) -> str:
+    """Best alignment of the shorter string inside the longer one."""
+    ordered = let_sql(
+        f"named_struct('a', {a}, 'b', {b})",
+        lambda v: f"if(char_length({v}.a) <= char_length({v}.b), named_struct('s', {v}.a, 'l', {v}.b), named_struct('s', {v}.b, 'l', {v}.a))",
+    )
+    return let_sql(
+        ordered,
+        lambda v: f"CASE WHEN {v}.s = '' THEN if({v}.l = '', 100.0D, 0.0D) WHEN contains({v}.l, {v}.s) THEN 100.0D "
+        f"WHEN {v}.s IS NULL OR {v}.l IS NULL THEN NULL "
+        f"ELSE greatest({_windows_sql(v + '.s', v + '.l')}, if(char_length({v}.s) = char_length({v}.l), {_windows_sql(v + '.l', v + '.s')}, 0.0D)) END",
     )
 
 
-def _windows_best(short: Column, long: Column) -> Column:
-    """Best score of ``short`` against every window of ``long``, ends clipped."""
-    cs, cl = chars(short), chars(long)
+def lcs_length(a: str, b: str) -> Column:
+    return F.expr(lcs_sql(a, b))
 
-    def best(s: Column) -> Column:
-        ns, nl = F.size(s["s"]), F.size(s["l"])
 
-        def one(i: Column) -> Column:
-            lo = F.greatest(i, F.lit(0))
-            size = F.least(i + ns, nl) - lo
-            return indel_score(lcs_prepared(s["m"], ns, F.slice(s["l"], lo + 1, size)), ns + size)
+def ratio(a: str, b: str) -> Column:
+    return F.expr(ratio_sql(a, b))
 
-        return F.array_max(F.transform(F.sequence(F.lit(1) - ns, nl - 1), one))
 
-    return let(
-        let(F.struct(cs.alias("s"), cl.alias("l")),
-            lambda v: F.struct(v["s"].alias("s"), v["l"].alias("l"), position_masks(v["s"]).alias("m"))),
-        best,
-    )
+def lev_ratio(a: str, b: str) -> Column:
+    return F.expr(ratio_sql(a, b)) / 100.0
 
 
-def partial_ratio(a: Column | str, b: Column | str) -> Column:
-    """Best alignment of the shorter string inside the longer one."""
-    def scored(v: Column) -> Column:
-        a, b = v["a"], v["b"]
-        la, lb = F.char_length(a), F.char_length(b)
-        short, long = F.when(la <= lb, a).otherwise(b), F.when(la <= lb, b).otherwise(a)
-        return (
-            F.when((la == 0) | (lb == 0), F.when(la == lb, F.lit(100.0)).otherwise(F.lit(0.0)))
-            .when(F.contains(long, short), F.lit(100.0))
-            .otherwise(F.greatest(_windows_best(short, long), F.when(la == lb, _windows_best(long, short))))
-        )
+def token_sort_ratio(a: str, b: str) -> Column:
+    return F.expr(token_sort_sql(a, b))
 
-    return let(F.struct(col(a).alias("a"), col(b).alias("b")), scored)
 
+def token_set_ratio(a: str, b: str) -> Column:
+    return F.expr(token_set_ratio_sql(a, b))
 
-def _pieces(needle: str, n: int) -> list[str]:
-    """Cut a string into ``n`` runs of near-equal length."""
-    cut = [round(i * len(needle) / n) for i in range(n + 1)]
-    return [needle[a:b] for a, b in zip(cut, cut[1:])]
+
+def partial_ratio(a: str, b: str) -> Column:
+    return F.expr(partial_sql(a, b))
+
+
+def sorted_tokens(a: str) -> Column:
+    return F.expr(sorted_tokens_sql(a))
+
+
+def token_set(a: str) -> Column:
+    return F.expr(token_set_sql(a))
 
 
 def length_compatible(a: Column, b: Column, threshold: float) -> Column:
@@ -229,7 +230,13 @@ def length_compatible(a: Column, b: Column, threshold: float) -> Column:
     return 200 * F.least(la, lb) >= F.lit(threshold - 1e-9) * (la + lb)
 
 
-def best_partial(c: Column, needles: list[tuple[str, str]], threshold: float) -> Column:
+def _pieces(needle: str, n: int) -> list[str]:
+    """Cut a string into ``n`` runs of near-equal length."""
+    cut = [round(i * len(needle) / n) for i in range(n + 1)]
+    return [needle[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def best_partial(c: str, needles: list[tuple[str, str]], threshold: float) -> Column:
     """Label of the constant that best aligns with ``c``, null below threshold.
 
     ``needles`` pairs each constant with a label; earlier entries win ties.  A
@@ -245,28 +252,17 @@ def best_partial(c: Column, needles: list[tuple[str, str]], threshold: float) ->
         edits = int((1 - t) * 2 * len(needle) + 1e-9)
         pieces = _pieces(needle, edits + 1) if edits + 1 < len(needle) else [""]
         entries.append(
-            F.struct(
-                F.lit(needle).alias("needle"),
-                F.lit("".join(dict.fromkeys(needle))).alias("alphabet"),
-                F.array(*[F.lit(p) for p in pieces]).alias("pieces"),
-                F.lit(-i).alias("i"),
-                F.lit(label).alias("label"),
-            )
+            f"named_struct('needle', {text_literal(needle)}, 'alphabet', {text_literal(''.join(dict.fromkeys(needle)))}, "
+            f"'pieces', array({', '.join(map(text_literal, pieces))}), 'i', {-i}, 'label', {text_literal(label)})"
         )
 
-    def aligned(value: Column) -> Column:
-        n = F.char_length(value)
-
-        def possible(e: Column) -> Column:
-            size = F.char_length(e["needle"])
-            foreign = F.char_length(F.call_function("translate", value, e["alphabet"], F.lit("")))
-            shorter = (n <= size) & (foreign <= n * ((2 - 2 * t) / (2 - t)) + 1e-9)
-            return shorter | ((n >= size) & F.exists(e["pieces"], lambda p: F.contains(value, p)))
-
-        score = lambda e: F.struct(
-            partial_ratio(e["needle"], value).alias("score"), e["i"].alias("i"), e["label"].alias("label")
-        )
-        best = F.array_max(F.transform(F.filter(F.array(*entries), possible), score))
-        return let(best, lambda b: F.when(b["score"] >= threshold, b["label"]))
+    def aligned(v: str) -> str:
+        n, size = f"char_length({v})", "char_length(e.needle)"
+        foreign = f"char_length(translate({v}, e.alphabet, ''))"
+        shorter = f"({n} <= {size} AND {foreign} <= {n} * {(2 - 2 * t) / (2 - t)}D + 1e-9D)"
+        possible = f"{shorter} OR ({n} >= {size} AND exists(e.pieces, p -> contains({v}, p)))"
+        score = f"named_struct('score', {partial_sql('e.needle', v)}, 'i', e.i, 'label', e.label)"
+        best = f"array_max(transform(filter(array({', '.join(entries)}), e -> {possible}), e -> {score}))"
+        return let_sql(best, lambda b: f"if({b}.score >= {threshold}D, {b}.label, NULL)")
 
-    return let(c, aligned)
+    return F.expr(let_sql(c, aligned))

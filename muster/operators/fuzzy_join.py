@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import similarity as sim
-from muster.functions.text import let
 from muster.plans.storage import cut_lineage
 
 SCORERS = ("ratio", "token_sort", "token_set", "partial")
@@ -34,48 +33,43 @@ MAX_SHARES = 64
 EPS = 1e-6
 
 
-def _canonical(key: Column, scorer: str) -> Column:
+def _canonical(scorer: str) -> Column:
     """String whose characters the scorer aligns."""
     if scorer == "token_sort":
-        return sim.sorted_tokens(key)
+        return sim.sorted_tokens("key")
     if scorer == "token_set":
-        return F.array_join(sim.token_set(key), " ")
-    return key
+        return F.expr(f"array_join({sim.token_set_sql('key')}, ' ')")
+    return F.col("key")
 
 
-def _grams(s: Column, size: int) -> Column:
+def _grams(s: str, size: int) -> Column:
     """Character n-grams as hashed ids; a repeat of a gram gets an id of its own.
 
     Two grams sharing an id by accident can only add a candidate.
     """
-    n = F.char_length(s) - size + 1
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(size)))
+    n = f"(char_length({s}) - {size - 1})"
+    cut = f"transform(sequence(1, {n}), i -> substring({s}, i, {size}))"
+    ids = sim.let_sql(cut, lambda g: f"transform({g}, (x, i) -> xxhash64(x, size(filter(slice({g}, 1, i + 1), y -> y = x))))")
+    return F.expr(f"if({n} >= 1, {ids}, cast(array() as array<bigint>))")
 
-    def ids(items: Column) -> Column:
-        nth = lambda x, i: F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x))
-        return F.transform(items, lambda x, i: F.xxhash64(x, nth(x, i)))
 
-    return F.when(n >= 1, let(cut, ids)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _lost_pairs(n: Column, t: float) -> Column:
+def _lost_pairs(t: float) -> str:
     """Most character pairs of an ``n`` character string a match can lose."""
-    return F.floor(n * (4 * (1 - t) / (2 - t)) + EPS).cast("int")
+    return f"cast(floor(n * {4 * (1 - t) / (2 - t)}D + {EPS}D) as int)"
 
 
-def _lost_chars(n: Column, t: float) -> Column:
-    return F.floor(n * ((2 - 2 * t) / (2 - t)) + EPS).cast("int")
+def _lost_chars(t: float) -> str:
+    return f"cast(floor(n * {(2 - 2 * t) / (2 - t)}D + {EPS}D) as int)"
 
 
-def _shared_needed(ln: Column, rn: Column, t: float) -> Column:
-    """Least number of features two strings of these lengths must share."""
-    total = ln + rn
+def _shared_needed(t: float) -> str:
+    """Least number of features two strings of lengths ``ln`` and ``rn`` must share."""
     if t < 2 / 3:
-        return total * (t / 2) - EPS
+        return f"((ln + rn) * {t / 2}D - {EPS}D)"
     # Edits of a pair have the parity of its total length.
-    most = F.floor(total * (1 - t) + EPS)
-    edits = most - F.pmod(most + total, F.lit(2))
-    return ln + 1 - F.floor((3 * edits + ln - rn) / 2)
+    most = f"cast(floor((ln + rn) * {1 - t}D + {EPS}D) as int)"
+    edits = f"({most} - pmod({most} + ln + rn, 2))"
+    return f"(ln + 1 - floor((3 * {edits} + ln - rn) / 2))"
 
 
 def _partitions(df: DataFrame) -> int:
@@ -115,28 +109,26 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.repartition(n, "f", "salt").join(b.repartition(n, "f", "salt"), ["f", "salt"])
 
 
-def _enough(common: Column, needed: Column) -> Column:
+def _enough(left: str, right: str, needed: str) -> Column:
     """Keep a pair once, at the first feature it shares, if it shares enough."""
-    return let(common, lambda c: (F.size(c) >= needed) & (F.get(c, F.lit(0)) == F.col("f")))
+    return F.expr(sim.let_sql(f"array_intersect({left}, {right})", lambda c: f"size({c}) >= {needed} AND get({c}, 0) = f"))
 
 
 PAIR = ["lkey", "lpos", "rkey", "rpos"]
 
 
 def _gram_pairs(keys: DataFrame, scorer: str, t: float) -> DataFrame:
-    s = keys.withColumn("s", _canonical(F.col("key"), scorer)).withColumn("n", F.char_length("s")).filter("n > 0")
-    ids = F.transform("feats", lambda e: e["f"]).alias("ids")
+    s = keys.withColumn("s", _canonical(scorer)).withColumn("n", F.char_length("s")).filter("n > 0")
     if t >= 2 / 3:
-        feats, lost = _grams(F.concat(F.lit(" "), F.col("s"), F.lit(" ")), 2), _lost_pairs(F.col("n"), t)
+        feats, lost = _grams("concat(' ', s, ' ')", 2), _lost_pairs(t)
     else:
-        feats, lost = _grams(F.col("s"), 1), _lost_chars(F.col("n"), t)
-    ranked = _ranked(s.select("side", "key", "pos", "n", feats.alias("feats"), (lost + 1).alias("reach")), "n", "reach")
-    rare = F.slice("feats", F.lit(1), F.col("reach"))
-    left = _listed(ranked, 0, rare, "n", ids.alias("lids"))
-    right = _listed(ranked, 1, rare, "n", ids.alias("rids"))
-    close = 2 * F.least("ln", "rn") >= F.lit(t - EPS) * (F.col("ln") + F.col("rn"))
-    common = F.array_intersect("lids", "rids")
-    return _meet(left, right).filter(close & _enough(common, _shared_needed(F.col("ln"), F.col("rn"), t))).select(*PAIR)
+        feats, lost = _grams("s", 1), _lost_chars(t)
+    ranked = _ranked(s.select("side", "key", "pos", "n", feats.alias("feats"), F.expr(f"{lost} + 1").alias("reach")), "n", "reach")
+    rare = F.expr("slice(feats, 1, reach)")
+    ids = lambda p: F.expr(f"transform(feats, e -> e.f) AS {p}ids")
+    met = _meet(_listed(ranked, 0, rare, "n", ids("l")), _listed(ranked, 1, rare, "n", ids("r")))
+    close = F.expr(f"2 * least(ln, rn) >= {t - EPS}D * (ln + rn)")
+    return met.filter(close & _enough("lids", "rids", _shared_needed(t))).select(*PAIR)
 
 
 def _partial_pairs(keys: DataFrame, t: float) -> DataFrame:
@@ -145,31 +137,22 @@ def _partial_pairs(keys: DataFrame, t: float) -> DataFrame:
     Very short strings have too few character pairs to rely on and list single
     characters instead.
     """
+    by_pairs = f"({_lost_pairs(t)} < n - 1)" if t >= 2 / 3 else "false"
     s = keys.withColumn("n", F.char_length("key")).filter("n > 0")
-    pairs, chars = _grams(F.col("key"), 2), _grams(F.col("key"), 1)
-    by_pairs = (_lost_pairs(F.col("n"), t) < F.col("n") - 1) if t >= 2 / 3 else F.lit(False)
-    s = s.withColumn("pairs", pairs).withColumn("chars", chars).withColumn("by_pairs", by_pairs)
-    s = s.withColumn("feats", F.concat("pairs", "chars"))
-    s = s.withColumn("own", F.when(F.col("by_pairs"), F.col("pairs")).otherwise(F.col("chars")))
-    lost = F.when(F.col("by_pairs"), _lost_pairs(F.col("n"), t)).otherwise(_lost_chars(F.col("n"), t))
-    ranked = _ranked(s.withColumn("lost", lost), "n", "own", "lost")
-    mine = F.filter("feats", lambda e: F.array_contains("own", e["f"]))
-    ids = lambda a: F.transform(a, lambda e: e["f"])
-    rare = F.slice(mine, F.lit(1), F.col("lost") + 1)
-    needed = lambda p: F.size(p + "mine") - F.col(p + "lost")
+    s = s.withColumn("pairs", _grams("key", 2)).withColumn("chars", _grams("key", 1)).select(
+        "side", "key", "pos", "n", F.concat("pairs", "chars").alias("feats"), F.expr(f"if({by_pairs}, pairs, chars) AS own"),
+        F.expr(f"if({by_pairs}, {_lost_pairs(t)}, {_lost_chars(t)}) AS lost"),
+    )
+    ranked = _ranked(s, "n", "own", "lost").withColumn("mine", F.expr("filter(feats, e -> array_contains(own, e.f))"))
 
     def side(i: int, short: bool) -> DataFrame:
         p = "l" if i == 0 else "r"
         if short:
-            return _listed(ranked, i, rare, "n", "lost", ids(mine).alias(p + "mine"))
-        return _listed(ranked, i, F.col("feats"), "n", ids("feats").alias(p + "all"))
+            return _listed(ranked, i, F.expr("slice(mine, 1, lost + 1)"), "n", "lost", F.expr(f"transform(mine, e -> e.f) AS {p}mine"))
+        return _listed(ranked, i, F.col("feats"), "n", F.expr(f"transform(feats, e -> e.f) AS {p}all"))
 
-    a = _meet(side(0, True), side(1, False)).filter(
-        (F.col("ln") <= F.col("rn")) & _enough(F.array_intersect("lmine", "rall"), needed("l"))
-    )
-    b = _meet(side(0, False), side(1, True)).filter(
-        (F.col("ln") > F.col("rn")) & _enough(F.array_intersect("rmine", "lall"), needed("r"))
-    )
+    a = _meet(side(0, True), side(1, False)).filter(F.expr("ln <= rn") & _enough("lmine", "rall", "size(lmine) - llost"))
+    b = _meet(side(0, False), side(1, True)).filter(F.expr("ln > rn") & _enough("rmine", "lall", "size(rmine) - rlost"))
     return a.select(*PAIR).unionByName(b.select(*PAIR))
 
 
@@ -179,31 +162,25 @@ def _token_scores(keys: DataFrame, t: float, prefer: str | None) -> DataFrame:
     A pair that scores more by alignment is also found by its character pairs.
     """
     sets = keys.withColumn("tokens", sim.token_set("key")).withColumn("size", F.size("tokens")).filter("size > 0")
-    sets = sets.withColumn("n", F.char_length(F.array_join("tokens", " ")))
-    many = _ranked(sets.filter("size > 1").withColumn("feats", F.col("tokens")), "n", "tokens")
+    many = sets.filter("size > 1").withColumn("n", F.expr("char_length(array_join(tokens, ' '))"))
+    many = _ranked(many.withColumn("feats", F.col("tokens")), "n", "tokens")
     # Tokens that may all be missing have a bounded length; list rare tokens
     # until they are longer than that, at least one.
-    spare = F.col("n") * ((2 - 2 * t) / (2 - t)) + EPS
-    seed = F.struct(F.lit(0).alias("used"), F.lit(0).alias("take"))
-    counted = F.aggregate(
-        "feats", seed,
-        lambda acc, e: F.when(
-            acc["used"] <= spare,
-            F.struct((acc["used"] + F.char_length(e["f"]) + 1).alias("used"), (acc["take"] + 1).alias("take")),
-        ).otherwise(acc),
+    spare = f"n * {(2 - 2 * t) / (2 - t)}D + {EPS}D"
+    taken = (
+        f"aggregate(feats, named_struct('used', 0, 'take', 0), (acc, e) -> if(acc.used <= {spare}, "
+        "named_struct('used', acc.used + char_length(e.f) + 1, 'take', acc.take + 1), acc)).take"
     )
-    rare = F.slice("feats", F.lit(1), counted["take"])
-    every = F.col("feats")
+    rare, every = F.expr(f"slice(feats, 1, {taken})"), F.col("feats")
     side = lambda i, chosen: _listed(many, i, chosen, "n", "tokens")
     met = _meet(side(0, rare), side(1, every)).unionByName(_meet(side(0, every), side(1, rare)))
 
-    def covered(same: Column) -> Column:
-        s = F.char_length(F.array_join(same, " "))
-        part = lambda n: sim.indel_percent(n - s, s + n)
-        subset = (F.size(same) == F.size("ltokens")) | (F.size(same) == F.size("rtokens"))
-        return F.when(subset, F.lit(100.0)).otherwise(F.greatest(part(F.col("ln")), part(F.col("rn"))))
+    def covered(same: str) -> str:
+        n = f"char_length(array_join({same}, ' '))"
+        part = lambda p: sim.percent_sql(f"{p}n - {n}", f"{n} + {p}n")
+        return f"if(size({same}) = size(ltokens) OR size({same}) = size(rtokens), 100.0D, greatest({part('l')}, {part('r')}))"
 
-    scored = met.select(*PAIR, let(F.array_intersect("ltokens", "rtokens"), covered).alias("score"))
+    scored = met.select(*PAIR, F.expr(sim.let_sql("array_intersect(ltokens, rtokens)", covered)).alias("score"))
     # Strings of one token: at most one such key per side and token.
     tokens = sets.select("side", "key", "pos", "size", F.explode("tokens").alias("f"))
     single, holders = tokens.filter("size = 1"), tokens.filter("size > 1")
@@ -213,9 +190,8 @@ def _token_scores(keys: DataFrame, t: float, prefer: str | None) -> DataFrame:
     if prefer is not None:
         pick = F.min if prefer == "first" else F.max
         r_hold = r_hold.groupBy("f").agg(pick(F.struct("rpos", "rkey")).alias("p")).select("f", "p.rkey", "p.rpos")
-    exact = as_side(holders.filter("side = 0"), "l").join(r_one, "f").select(*PAIR)
-    exact = exact.unionByName(l_one.join(r_hold, "f").select(*PAIR)).unionByName(l_one.join(r_one, "f").select(*PAIR))
-    return scored.unionByName(exact.withColumn("score", F.lit(100.0)))
+    exact = as_side(holders.filter("side = 0"), "l").join(r_one, "f").unionByName(l_one.join(r_hold.unionByName(r_one), "f"))
+    return scored.unionByName(exact.select(*PAIR, F.lit(100.0).alias("score")))
 
 
 SCORES = {

@@ -229,6 +229,7 @@ def to_schema(df: DataFrame, columns: list[str], mapping: dict[str, str | None],
 
 
 def rename_mapped(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
+    """Rename the sources of a target-to-source mapping, keep everything else."""
     return df.withColumnsRenamed({s: t for t, s in mapping.items() if s})
 
 

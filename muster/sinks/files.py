@@ -10,10 +10,17 @@ from muster.operators.report import counts_by, values
 from muster.operators.schema import drop_helpers
 
 
+# White space is content; an absent value is an empty field.
+CSV = {
+    "header": True, "escape": '"', "emptyValue": "", "nullValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str, helpers: bool = False) -> None:
     """One table as CSV; working columns are left out unless asked for."""
     out = df if helpers else drop_helpers(df)
-    out.write.mode("errorifexists").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+    out.write.mode("errorifexists").options(**CSV).csv(path)
 
 
 def write_split(df: DataFrame, path: str, segment: str, rows_per_file: int = 1_000_000) -> None:
@@ -22,9 +29,7 @@ def write_split(df: DataFrame, path: str, segment: str, rows_per_file: int = 1_0
     Nothing is shuffled: a task writes to the folders of the segments it reads,
     so a segment that holds most rows is written by many tasks.
     """
-    df.write.mode("errorifexists").partitionBy(segment).options(
-        header=True, escape='"', maxRecordsPerFile=rows_per_file
-    ).csv(path)
+    df.write.mode("errorifexists").partitionBy(segment).options(**CSV, maxRecordsPerFile=rows_per_file).csv(path)
 
 
 def manifest(df: DataFrame, segment: str, known: list[str]) -> DataFrame:

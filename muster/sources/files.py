@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from muster import fixed_values as fv
 from muster.functions import text as tx
@@ -35,10 +35,10 @@ def read_text(spark: SparkSession, path, multi_line: bool = True, na_text: bool
 
     With ``na_text`` the usual spellings of a missing value become null.
     """
-    reader = spark.read.options(header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue="\u0001", emptyValue="", **options)
-    df = reader.csv(path)
+    df = spark.read.options(header=True, inferSchema=False, multiLine=multi_line, escape='"', **options).csv(path)
     if not na_text:
-        return df
+        # The reader turns an empty field into null whatever its options say.
+        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*fv.NA_TEXT), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
@@ -79,11 +79,17 @@ def read_any_encoding(spark: SparkSession, path, columns: list[str] | None = Non
     return out if columns is None else out.select(*columns)
 
 
-def split_bad_lines(spark: SparkSession, path, columns: list[str], **options) -> tuple[DataFrame, DataFrame]:
+def split_bad_lines(spark: SparkSession, path, columns: list[str], header: bool = True, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """``(good, quarantine)``: rows of the expected shape, and raw bad lines."""
-    schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("_bad", StringType())])
-    rows = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"', **options).schema(schema).csv(path)
-    return rows.filter("_bad IS NULL").drop("_bad"), rows.filter("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.filter(F.col("value") != sep.join(columns))
+    schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_bad"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"', "sep": sep}
+    rows = lines.select(F.from_csv("value", schema, options).alias("row"))
+    return rows.filter("row._bad IS NULL").select(*[f"row.`{c}`" for c in columns]), rows.filter("row._bad IS NOT NULL").select(
+        F.col("row._bad").alias("line")
+    )
 
 
 DELIMITERS = [",", ";", "\t"]

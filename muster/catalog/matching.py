@@ -65,7 +65,7 @@ _score_query(
 )
 def fz_partial(spark, sf):
     cells = rel.contacts(spark, sf).filter("company IS NOT NULL").select(
-        F.lower("company").alias("a"), F.lower(rel.pick(rel.REFERENCE_FIRMS, F.col("row_id"))).alias("b")
+        F.lower("company").alias("a"), F.lower(rel.pick(rel.REFERENCE_FIRMS, "row_id")).alias("b")
     ).distinct()
     return cells.select("a", "b", F.bround(sim.partial_ratio("a", "b"), 6).alias("score"))
 

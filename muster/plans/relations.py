@@ -66,10 +66,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: list[str | None], key: Column) -> Column:
-    """Element ``key mod len(values)`` of a fixed list."""
-    choices = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.element_at(choices, (key % len(values)).cast("int") + 1)
+def pick(values: list[str | None], key: str) -> Column:
+    """Element ``key mod len(values)`` of a fixed list; ``key`` is a column name."""
+    return F.expr(f"element_at(array({', '.join(spark_text(v) for v in values)}), cast({key} % {len(values)} as int) + 1)")
+
+
+def spark_text(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def sql_text(value: str | None) -> str:
@@ -86,29 +89,29 @@ def sql_pick(values: list[str | None], key: str) -> str:
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contact per customer; ``row_id`` is the customer key."""
-    k = F.col("c_custkey")
-    first, last, mail = pick(FIRST_NAMES, k), pick(LAST_NAMES, k), pick(MAIL_NAMES, k)
+    key, k = "c_custkey", F.col("c_custkey")
+    first, last, mail = pick(FIRST_NAMES, key), pick(LAST_NAMES, key), pick(MAIL_NAMES, key)
     swapped = (k % 4) == 1
     address = F.concat(F.lower(first), F.lit("."), mail, k.cast("string"), F.lit("@example.com"))
     url = F.concat(
-        F.lit("https://www.linkedin.com/in/u"), (k % 700).cast("string"), pick(URL_TAILS, k)
+        F.lit("https://www.linkedin.com/in/u"), (k % 700).cast("string"), pick(URL_TAILS, key)
     )
     return table(spark, sf_dir, "customer").select(
         k.alias("row_id"),
         F.when(swapped, last).otherwise(first).alias("firstname"),
         F.when(swapped, first).otherwise(last).alias("lastname"),
         F.when(k % 29 != 0, address).alias("email"),
-        pick(TITLES, k).alias("title"),
-        pick(COMPANIES, k).alias("company"),
-        pick(PLACES, k).alias("location"),
-        pick(SENIORITIES, k).alias("seniority"),
-        pick(RELEVANCES, k).alias("relevance"),
-        pick(FOCUS_AREAS, k).alias("focus_area"),
-        pick(SHARED, k).alias("shared"),
-        pick(DEGREES, k).alias("degree"),
+        pick(TITLES, key).alias("title"),
+        pick(COMPANIES, key).alias("company"),
+        pick(PLACES, key).alias("location"),
+        pick(SENIORITIES, key).alias("seniority"),
+        pick(RELEVANCES, key).alias("relevance"),
+        pick(FOCUS_AREAS, key).alias("focus_area"),
+        pick(SHARED, key).alias("shared"),
+        pick(DEGREES, key).alias("degree"),
         F.when(k % 31 != 0, url).alias("url"),
-        pick(FILES, k).alias("source_file"),
-        pick(SHEETS, k).alias("source_sheet"),
+        pick(FILES, key).alias("source_file"),
+        pick(SHEETS, key).alias("source_sheet"),
     )
 
 
@@ -138,7 +141,7 @@ def companies_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         k.alias("row_id"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), pick(NAME_TAILS, k)).alias("name"),
+        F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), pick(NAME_TAILS, "p_partkey")).alias("name"),
     )
 
 
@@ -149,7 +152,7 @@ COMPANIES_WIDE_SQL = f"""companies_wide AS (
 def reference_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").select(
-        k.cast("bigint").alias("pos"), F.col("n_name").alias("code"), pick(REFERENCE_FIRMS, k).alias("name")
+        k.cast("bigint").alias("pos"), F.col("n_name").alias("code"), pick(REFERENCE_FIRMS, "n_nationkey").alias("name")
     )
 
 
@@ -162,8 +165,8 @@ def target_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
         k.alias("target_id"),
-        pick(TARGET_FIRMS, k).alias("company"),
-        pick(["Retail", "Corporate"], k).alias("sector"),
+        pick(TARGET_FIRMS, "s_suppkey").alias("company"),
+        pick(["Retail", "Corporate"], "s_suppkey").alias("sector"),
     )
 
 
@@ -177,8 +180,8 @@ def sponsor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         k.alias("row_id"),
-        pick(SPONSORS, F.col("o_custkey")).alias("sponsor"),
-        pick(SPONSOR_TARGETS, k).alias("target"),
+        pick(SPONSORS, "o_custkey").alias("sponsor"),
+        pick(SPONSOR_TARGETS, "o_orderkey").alias("target"),
     )
 
 
@@ -193,7 +196,7 @@ def member_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         (k % 4).cast("int").alias("member_idx"),
         F.concat(
-            F.lit("https://www.LinkedIn.com/in/u"), ((k * 3) % 250).cast("string"), pick(URL_TAILS, k)
+            F.lit("https://www.LinkedIn.com/in/u"), ((k * 3) % 250).cast("string"), pick(URL_TAILS, "s_suppkey")
         ).alias("url"),
     )
 
@@ -233,7 +236,7 @@ HEADERS = [
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header catalogue of many files: a file per customer, a header per order."""
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("pos"), pick(HEADERS, F.col("o_orderkey")).alias("header")
+        F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("pos"), pick(HEADERS, "o_orderkey").alias("header")
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from muster.functions import text as tx
 from muster.operators.dedupe import distinct_names
 from muster.operators.fuzzy_join import best_match, best_match_any
-from muster.operators.skew import lookup_join
+from muster.operators.skew import key_counts, lookup_join
+from muster.plans.storage import cut_lineage
 
 
 def first_positions(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -31,7 +32,7 @@ def match_counts(contacts: DataFrame, company: Column, reference: DataFrame, nam
     Contacts are counted per distinct key first, so only those counts meet the
     reference.
     """
-    per_key = contacts.groupBy(company.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    per_key = cut_lineage(contacts.groupBy(company.alias("key")).agg(F.count(F.lit(1)).alias("n")))
     ref = reference.withColumn("_key", name)
     best = matched_keys(per_key.select("key").filter("key <> ''"), first_positions(ref, "_key", pos), **options)
     hits = per_key.join(best, "key").groupBy("pos").agg(F.sum("n").alias("matched_contacts"))
@@ -47,21 +48,26 @@ def match_audit(contacts: DataFrame, company: Column, reference: DataFrame, name
                 **options) -> DataFrame:
     """Every matched contact with its reference entry and whole-number score."""
     keyed = contacts.withColumn("key", company)
+    counts = cut_lineage(key_counts(keyed, "key"))
     ref = reference.withColumn("_key", name)
-    best = matched_keys(keyed.select("key").filter("key <> ''").distinct(), first_positions(ref, "_key", pos), **options)
+    best = matched_keys(counts.select("key").filter("key <> ''"), first_positions(ref, "_key", pos), **options)
     named = best.join(reference.select(F.col(pos).alias("pos"), F.col("name").alias("matched_name")), "pos")
-    out = lookup_join(keyed, named.select("key", "matched_name", F.floor("score").alias("score")), "key", how="inner")
-    return out.drop("key")
+    table = named.select("key", "matched_name", F.floor("score").alias("score"))
+    return lookup_join(keyed, table, "key", how="inner", counts=counts).drop("key")
 
 
 def with_list_score(df: DataFrame, column: str, wanted: DataFrame, threshold: float, out: str,
                     normalise=tx.nfkc_lower, row_id: str = "row_id") -> DataFrame:
-    """Add ``out``: whether a value's best match in ``wanted(name, pos)`` suffices."""
-    keyed = df.withColumn("_key", normalise(column))
+    """Add ``out``: whether a value's best match in ``wanted(name, pos)`` suffices.
+
+    Values are counted, normalised and matched once per distinct spelling.
+    """
+    counts = cut_lineage(key_counts(df, column))
+    spellings = counts.withColumn("key", normalise(column)).filter("key <> ''")
     right = first_positions(wanted.withColumn("_key", normalise("name")), "_key", "pos")
-    best = best_match(keyed.select(F.col("_key").alias("key")).filter("key <> ''").distinct(), right, "token_set", threshold)
-    flagged = lookup_join(keyed, best.select(F.col("key").alias("_key"), F.lit(True).alias(out)), "_key", row_id)
-    return flagged.withColumn(out, F.coalesce(out, F.lit(False))).drop("_key")
+    best = best_match(spellings.select("key").distinct(), right, "token_set", threshold)
+    table = spellings.join(best.select("key"), "key", "left_semi").select(column, F.lit(True).alias(out))
+    return lookup_join(df, table, column, row_id, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id", normalise=tx.match_key) -> DataFrame:
@@ -89,8 +95,9 @@ def match_targets(targets: DataFrame, contacts: DataFrame, columns: list[str], t
     """
     index = key_index(contacts, columns, row_id)
     wanted = targets.withColumn("_tkey", tx.match_key(target)).filter(F.col(target).isNotNull())
-    known = index.groupBy("key").agg(F.min(F.struct(row_id, "nth")).alias("p"))
-    known = known.select("key", (F.col(f"p.{row_id}") * len(columns) + F.col("p.nth")).alias("pos"))
+    place = F.col(row_id) * len(columns) + F.col("nth")
+    counts = cut_lineage(index.groupBy("key").agg(F.min(place).alias("pos"), F.count(F.lit(1)).alias("n")))
+    known = counts.select("key", "pos")
     if not include_empty:
         wanted, known = wanted.filter("_tkey <> ''"), known.filter("key <> ''")
     names = wanted.select(F.col("_tkey").alias("key")).distinct()
@@ -101,7 +108,7 @@ def match_targets(targets: DataFrame, contacts: DataFrame, columns: list[str], t
         F.col("key").alias("_tkey"), F.col("match").alias("key"), label.alias("match_type")
     )
     pairs = wanted.join(exact.unionByName(fuzzy), "_tkey").drop("_tkey")
-    return lookup_join(index.drop("nth"), pairs, "key", row_id, how="inner").drop("key")
+    return lookup_join(index.drop("nth"), pairs, "key", row_id, how="inner", counts=counts).drop("key")
 
 
 def with_match_counts(targets: DataFrame, counts: DataFrame, key: str, n: str = "contacts",

@@ -9,26 +9,29 @@ HOT_KEYS = 64
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """``(key, n)`` of all non-null keys."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_keys(counts: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
     """The most frequent keys, at most ``limit`` of them.
 
     Which keys are listed only routes rows; results never depend on it.
     """
-    return (
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), key).limit(limit).select(key, F.lit(True).alias("_hot"))
-    )
+    return counts.orderBy(F.desc("n"), key).limit(limit).select(key, F.lit(True).alias("_hot"))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, row_id: str = "row_id", how: str = "left",
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, counts: DataFrame | None = None) -> DataFrame:
     """Join a large table to a keyed one, spreading frequent keys over tasks.
 
     Rows of the ``HOT_KEYS`` most frequent keys get a salt; the few matching
     rows of ``table`` are repeated once per salt.  The list of hot keys has a
-    fixed maximum length, which is what makes broadcasting it safe.
+    fixed maximum length, which is what makes broadcasting it safe.  Callers
+    that already counted the keys pass ``counts(key, n)``.
     """
-    hot = F.broadcast(hot_keys(df, key))
+    hot = F.broadcast(hot_keys(key_counts(df, key) if counts is None else counts, key))
     left = df.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
     ).drop("_hot")

@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
@@ -83,12 +83,22 @@ def unicode_form(c: Column | str, form: str) -> Column:
     return F.when(wide, normalised(F.when(wide, c))).otherwise(c)
 
 
-def nfkc_lower(c) -> Column:
-    return F.lower(collapse(unicode_form(text(c), "NFKC")))
+def needs_unicode(df: DataFrame, columns: list[str]) -> bool:
+    """Whether any value holds a character that a Unicode form could change.
+
+    One pass over the named columns; where the answer is no, the forms are left
+    out and the plan stays free of Python workers.
+    """
+    wide = [F.bool_or(F.col(f"`{c}`").rlike(r"[^\x00-\x7F]")) for c in columns]
+    return any(df.agg(*wide).first())
+
+
+def nfkc_lower(c, unicode: bool = True) -> Column:
+    return F.lower(collapse(unicode_form(text(c), "NFKC") if unicode else text(c)))
 
 
-def nfkd_lower(c) -> Column:
-    return F.lower(collapse(unicode_form(text(c), "NFKD")))
+def nfkd_lower(c, unicode: bool = True) -> Column:
+    return F.lower(collapse(unicode_form(text(c), "NFKD") if unicode else text(c)))
 
 
 def keep_tokens(c: Column, drop: Iterable[str]) -> Column:

@@ -63,21 +63,23 @@ def with_list_score(df: DataFrame, column: str, wanted: DataFrame, threshold: fl
     Values are counted, normalised and matched once per distinct spelling.
     """
     counts = cut_lineage(key_counts(df, column))
-    spellings = counts.withColumn("key", normalise(column)).filter("key <> ''")
-    right = first_positions(wanted.withColumn("_key", normalise("name")), "_key", "pos")
+    spellings = counts.withColumn("key", normalise(column, tx.needs_unicode(counts, [column]))).filter("key <> ''")
+    right = first_positions(wanted.withColumn("_key", normalise("name", tx.needs_unicode(wanted, ["name"]))), "_key", "pos")
     best = best_match(spellings.select("key").distinct(), right, "token_set", threshold)
     table = spellings.join(best.select("key"), "key", "left_semi").select(column, F.lit(True).alias(out))
     return lookup_join(df, table, column, row_id, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id", normalise=tx.match_key) -> DataFrame:
+def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id", unicode: bool | None = None) -> DataFrame:
     """``(row_id, source, raw, key)``: one row per contact and distinct company key.
 
     The columns of one contact sit side by side, so duplicate keys go away
-    inside the row; nothing is shuffled.
+    inside the row; nothing is shuffled.  ``unicode=False`` is for columns known
+    to be ASCII; by default the columns are looked at.
     """
+    unicode = tx.needs_unicode(contacts, columns) if unicode is None else unicode
     cells = F.array(*[
-        F.struct(F.lit(i).alias("nth"), F.lit(c).alias("source"), F.col(c).alias("raw"), normalise(c).alias("key"))
+        F.struct(F.lit(i).alias("nth"), F.lit(c).alias("source"), F.col(c).alias("raw"), tx.match_key(c, unicode=unicode).alias("key"))
         for i, c in enumerate(columns)
     ])
     filled = F.filter(cells, lambda e: tx.strip(e["raw"]) != "")
@@ -94,7 +96,8 @@ def match_targets(targets: DataFrame, contacts: DataFrame, columns: list[str], t
     Returns target columns, ``match_type``, ``source``, ``raw`` and ``row_id``.
     """
     index = key_index(contacts, columns, row_id)
-    wanted = targets.withColumn("_tkey", tx.match_key(target)).filter(F.col(target).isNotNull())
+    wanted = targets.withColumn("_tkey", tx.match_key(target, unicode=tx.needs_unicode(targets, [target])))
+    wanted = wanted.filter(F.col(target).isNotNull())
     place = F.col(row_id) * len(columns) + F.col("nth")
     counts = cut_lineage(index.groupBy("key").agg(F.min(place).alias("pos"), F.count(F.lit(1)).alias("n")))
     known = counts.select("key", "pos")

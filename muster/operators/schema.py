@@ -7,6 +7,8 @@ per distinct header text; files then only pick among their own headers.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +52,11 @@ def _first_per_file(found: DataFrame, rank: Column) -> DataFrame:
 def map_exact(headers: DataFrame, targets: list[str]) -> DataFrame:
     """Same name ignoring case, else the same after Unicode and space cleaning."""
     spark = headers.sparkSession
-    wanted = values(spark, [(t, t.lower()) for t in targets], "target", "low").withColumn("clean", tx.nfkd_lower("target"))
-    texts = headers.select("header").distinct().select("header", F.lower("header").alias("low"), tx.nfkd_lower("header").alias("clean"))
+    clean = lambda s: " ".join(unicodedata.normalize("NFKD", s).split()).lower()
+    wanted = values(spark, [(t, t.lower(), clean(t)) for t in targets], "target", "low", "clean")
+    texts = headers.select("header").distinct()
+    unicode = tx.needs_unicode(texts, ["header"])
+    texts = texts.select("header", F.lower("header").alias("low"), tx.nfkd_lower("header", unicode).alias("clean"))
     same = texts.join(wanted.drop("clean"), "low").select("header", "target", F.lit(0).alias("level"))
     close = texts.join(wanted.drop("low"), "clean").select("header", "target", F.lit(1).alias("level"))
     found = headers.join(same.unionByName(close), "header")
@@ -90,7 +95,6 @@ def map_similarity(headers: DataFrame, targets: list[str] = fv.SCRAPED_COLUMNS,
     equal scores wins.
     """
     def norm(s: str) -> str:
-        import re
         s = re.sub(r"[\s\-]+", "_", s.strip().lower())
         return re.sub("_+", "_", re.sub("[^0-9a-z_]", "", s)).strip("_")
 

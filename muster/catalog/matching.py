@@ -207,8 +207,7 @@ def dual(spark, sf):
     )
     companies = rp.values(spark, list(enumerate(fv.WANTED_COMPANIES)), "pos", "name")
     df = rel.contacts(spark, sf).select("row_id", "title", "company")
-    df = mt.with_list_score(df, "title", titles, 86, "title_ok")
-    return mt.with_list_score(df, "company", companies, 90, "company_ok")
+    return mt.with_list_scores(df, {"title_ok": ("title", titles, 86), "company_ok": ("company", companies, 90)})
 
 
 @query("join_fuzzy_dual", with_ctes("SELECT row_id, title_ok, company_ok FROM dual", CONTACTS_SQL, DUAL_SQL))

@@ -82,9 +82,12 @@ def _ranked(listed: DataFrame, *keep: str) -> DataFrame:
     """Features of each key, rarest first, as ``array<struct(df, f)>``."""
     each = listed.select("side", "key", "pos", *keep, F.explode("feats").alias("f"))
     freq = each.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
-    # A key lists as many features as it has characters, so this stays small.
-    return each.join(freq, "f").groupBy("side", "key", "pos", *keep).agg(
-        F.array_sort(F.collect_list(F.struct("df", "f"))).alias("feats")
+    # A key lists as many features as it has characters, so a row stays small.
+    # Both sides of the join read the result, which is therefore stored.
+    return cut_lineage(
+        each.join(freq, "f").groupBy("side", "key", "pos", *keep).agg(
+            F.array_sort(F.collect_list(F.struct("df", "f"))).alias("feats")
+        )
     )
 
 

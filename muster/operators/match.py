@@ -56,18 +56,25 @@ def match_audit(contacts: DataFrame, company: Column, reference: DataFrame, name
     return lookup_join(keyed, table, "key", how="inner", counts=counts).drop("key")
 
 
-def with_list_score(df: DataFrame, column: str, wanted: DataFrame, threshold: float, out: str,
-                    normalise=tx.nfkc_lower, row_id: str = "row_id") -> DataFrame:
-    """Add ``out``: whether a value's best match in ``wanted(name, pos)`` suffices.
+def with_list_scores(df: DataFrame, lists: dict[str, tuple[str, DataFrame, float]], normalise=tx.nfkc_lower,
+                     row_id: str = "row_id") -> DataFrame:
+    """Flag columns telling whether a value's best match in a list suffices.
 
-    Values are counted, normalised and matched once per distinct spelling.
+    ``lists`` maps each flag to (column, ``wanted(name, pos)``, threshold).
+    Values are counted, normalised and matched once per distinct spelling, all
+    on the untouched input; the rows are then looked up list by list.
     """
-    counts = cut_lineage(key_counts(df, column))
-    spellings = counts.withColumn("key", normalise(column, tx.needs_unicode(counts, [column]))).filter("key <> ''")
-    right = first_positions(wanted.withColumn("_key", normalise("name", tx.needs_unicode(wanted, ["name"]))), "_key", "pos")
-    best = best_match(spellings.select("key").distinct(), right, "token_set", threshold)
-    table = spellings.join(best.select("key"), "key", "left_semi").select(column, F.lit(True).alias(out))
-    return lookup_join(df, table, column, row_id, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
+    tables = {}
+    for out, (column, wanted, threshold) in lists.items():
+        counts = cut_lineage(key_counts(df, column))
+        spellings = counts.withColumn("key", normalise(column, tx.needs_unicode(counts, [column]))).filter("key <> ''")
+        right = first_positions(wanted.withColumn("_key", normalise("name", tx.needs_unicode(wanted, ["name"]))), "_key", "pos")
+        best = best_match(spellings.select("key").distinct(), right, "token_set", threshold)
+        table = spellings.join(best.select("key"), "key", "left_semi").select(column, F.lit(True).alias(out))
+        tables[out] = (column, counts, table)
+    for out, (column, counts, table) in tables.items():
+        df = lookup_join(df, table, column, row_id, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
+    return df
 
 
 def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id", unicode: bool | None = None) -> DataFrame:

@@ -43,15 +43,17 @@ def read_text(spark: SparkSession, path, multi_line: bool = True, na_text: bool
 
 
 def file_encodings(spark: SparkSession, path) -> DataFrame:
-    """``(file, encoding)`` from the bytes of the lines, however large the file."""
+    """``(file, encoding)`` from the bytes of the lines, however large the file.
+
+    A byte order mark makes no difference: the line reader drops it.
+    """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     facts = lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(F.startswith(raw, F.lit("ï»¿"))).alias("bom"),
         F.bool_or(raw.rlike("[\u0081\u008d\u008f\u0090\u009d]")).alias("undefined"),
     )
-    name = F.when(F.col("utf8") & F.col("bom"), "utf-8-sig").when(F.col("utf8"), "utf-8")
+    name = F.when(F.col("utf8"), "utf-8")
     return facts.select("file", name.when(F.col("undefined"), "latin1").otherwise("cp1252").alias("encoding"))
 
 
@@ -67,7 +69,7 @@ def read_any_encoding(spark: SparkSession, path, columns: list[str] | None = Non
         groups.setdefault(row["encoding"], []).append(row["file"])
     frames = []
     for encoding, files in sorted(groups.items()):
-        charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
+        charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
         df = read_text(spark, files, encoding=charset)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
         if encoding == "cp1252":

@@ -467,9 +467,8 @@ def clu_group_by_core(spark, sf):
     with_ctes("SELECT a, b, round_even(score, 6) AS score FROM alike", *CLUSTER_CTES, similar_ctes(94)),
 )
 def join_self_similarity(spark, sf):
-    cores = cu.ranked_cores(cu.ordered_names(names(spark, sf), "name")).filter("core <> ''")
-    keys = cores.select(F.col("core").alias("key"), F.col("rank").alias("pos"))
-    found = fj.similar_pairs(keys, "token_set", 94)
+    keys = cu.core_keys(cu.by_core(cu.ordered_names(names(spark, sf), "name")))
+    found = fj.similar_pairs(cut_lineage(keys), "token_set", 94)
     return found.select(F.col("lkey").alias("a"), F.col("rkey").alias("b"), F.bround("score", 6).alias("score"))
 
 

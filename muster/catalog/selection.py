@@ -1,6 +1,5 @@
 """Queries over ranking, selection, splitting and allocation."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
@@ -12,7 +11,7 @@ from muster.functions import classify as cl
 from muster.functions import text as tx
 from muster.operators import dedupe as dd
 from muster.operators import select as sl
-from muster.operators.position import shuffled, with_position
+from muster.operators.position import shuffled, sorted_by, with_position
 from muster.plans import relations as rel
 from muster.plans.relations import CONTACTS_SQL, MEMBERS_SQL, sql_text, with_ctes
 
@@ -173,27 +172,10 @@ def smp_shuffle(spark, sf):
 
 @query(
     "srt_multi",
-    with_ctes(
-        "SELECT row_id, company, lastname, row_number() OVER (ORDER BY company ASC NULLS LAST, lastname DESC NULLS LAST, row_id) - 1 AS place FROM contacts WHERE source_file = 'a.csv'",
-        CONTACTS_SQL,
-    ),
+    with_ctes("SELECT row_id, company, lastname FROM contacts ORDER BY company ASC NULLS LAST, lastname DESC NULLS LAST, row_id", CONTACTS_SQL),
 )
 def srt_multi(spark, sf):
-    """Mixed-direction sort; the place shows the order in an unordered compare."""
-    df = rel.contacts(spark, sf).filter("source_file = 'a.csv'")
-    ordered = df.orderBy(F.asc_nulls_last("company"), F.desc_nulls_last("lastname"), "row_id")
-    # Rows per (company, last name) are counted first; a row's place is the
-    # size of all earlier groups plus its rank inside its own.
-    groups = df.groupBy("company", "lastname").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.asc_nulls_last("company"), F.desc_nulls_last("lastname")).rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).select(
-        F.col("company").alias("c"), F.col("lastname").alias("l"), "base"
-    )
-    rank = F.row_number().over(Window.partitionBy("company", "lastname").orderBy("row_id")) - 1
-    placed = ordered.withColumn("rank", rank).join(
-        base, F.col("company").eqNullSafe(F.col("c")) & F.col("lastname").eqNullSafe(F.col("l"))
-    )
-    return placed.select("row_id", "company", "lastname", (F.col("base") + F.col("rank")).cast("bigint").alias("place")).orderBy("place")
+    return sorted_by(rel.contacts(spark, sf), company=True, lastname=False, row_id=True).select("row_id", "company", "lastname")
 
 
 @query(

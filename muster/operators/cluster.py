@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import text as tx
@@ -13,7 +13,8 @@ from muster.plans.storage import cut_lineage
 def ordered_names(df: DataFrame, name: str) -> DataFrame:
     """Distinct names in case-insensitive order: ``(name, place)``.
 
-    ``place`` sorts like the name itself; ``ranked_cores`` turns it into ranks.
+    ``place`` sorts like the name itself.  Only comparisons and maxima of places
+    are ever needed, so names are not numbered.
     """
     return df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(
         F.min(F.struct(F.lower(name).alias("low"), F.col(name).alias("raw"))).alias("place")
@@ -26,6 +27,11 @@ def by_core(names: DataFrame) -> DataFrame:
     return cored.groupBy("core").agg(F.min("place").alias("place"), F.min_by("name", "place").alias("first_name"))
 
 
+def core_keys(cores: DataFrame) -> DataFrame:
+    """Non-empty cores as keys of a similarity join."""
+    return cores.filter("core <> ''").select(F.col("core").alias("key"), F.col("place").alias("pos"))
+
+
 def core_standard(cores: DataFrame) -> DataFrame:
     """Standard name shared by all spellings of a core."""
     named = F.when(F.col("core") != "", tx.title_case("core")).otherwise(tx.title_case("first_name"))
@@ -41,7 +47,7 @@ def merged_cores(cores: DataFrame, threshold: float = 94) -> DataFrame:
     makes the core itself the first member, which beats any pair in which it is
     the second.  So one maximum per core replaces the list of all pairs.
     """
-    keys = cores.filter("core <> ''").select(F.col("core").alias("key"), F.col("rank").alias("pos"))
+    keys = core_keys(cores)
     pairs = scored_pairs(keys, keys, "token_set", threshold, "last").filter("lpos <> rpos")
     # Of the pairs above the threshold keep the highest partner; pairs below it
     # lose against any other and are dropped afterwards.
@@ -53,38 +59,10 @@ def merged_cores(cores: DataFrame, threshold: float = 94) -> DataFrame:
     return best.select("core", tx.title_case(F.when(first, F.col("core")).otherwise(F.col("p.rkey"))).alias("standard"))
 
 
-def ranked_cores(names: DataFrame) -> DataFrame:
-    """Cores with a rank by the place of their first name.
-
-    Ranks only need to sort like places, so rows are counted per leading
-    characters and ranked inside those groups.
-    """
-    cores = cut_lineage(by_core(names))
-    return cores.join(_ranks(cores), "core")
-
-
-def _ranks(cores: DataFrame) -> DataFrame:
-    # The head bounds a group: names equal in 24 characters are near copies of
-    # one name.  Offsets are prefix sums over the sorted heads.
-    head = F.substring("place.low", 1, 24)
-    grouped = cores.select("core", "place", head.alias("head"))
-    sizes = grouped.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    coarse = sizes.withColumn("top", F.substring("head", 1, 2))
-    tops = coarse.groupBy("top").agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = tops.select("top", before(Window.orderBy("top")).alias("base"))
-    inner = coarse.select("head", "top", before(Window.partitionBy("top").orderBy("head")).alias("inner"))
-    offsets = inner.join(base, "top").select("head", (F.col("base") + F.col("inner")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("head").orderBy("place"))
-    return grouped.withColumn("r", rank).join(offsets, "head").select(
-        "core", (F.col("offset") + F.col("r") - 1).cast("bigint").alias("rank")
-    )
-
-
 def standard_names(df: DataFrame, name: str, threshold: float = 94, fuzzy: bool = True) -> DataFrame:
     """``(original, standard)`` for every distinct name."""
     names = ordered_names(df, name)
-    cores = core_standard(ranked_cores(names))
+    cores = core_standard(cut_lineage(by_core(names)))
     cored = names.select("name", tx.company_core("name").alias("core"))
     table = cores.select("core", "standard")
     if fuzzy:

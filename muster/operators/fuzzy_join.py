@@ -211,8 +211,8 @@ def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: floa
                  prefer: str | None = None) -> DataFrame:
     """``(lkey, lpos, rkey, rpos, score)`` holding every pair that reaches ``threshold``.
 
-    ``left(key, pos)`` and ``right(key, pos)`` hold distinct keys; empty ones
-    match nothing.  With ``prefer`` ("first" or "last" by ``pos``) only the
+    ``left(key, pos)`` and ``right(key, pos)`` hold distinct keys, with ``pos`` of
+    any one type that can be ordered; empty keys match nothing.  With ``prefer`` ("first" or "last" by ``pos``) only the
     preferred of many perfect partners of a one-token key is listed.  Pairs
     below the threshold and repeated pairs may occur: aggregate, then filter.
     """
@@ -221,7 +221,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: floa
     t = threshold / 100.0
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 100")
-    as_keys = lambda df, i: df.select(F.lit(i).alias("side"), "key", F.col("pos").cast("bigint").alias("pos"))
+    as_keys = lambda df, i: df.select(F.lit(i).alias("side"), "key", "pos")
     # Distinct keys may come from a scan of everything: compute them once.
     keys = cut_lineage(as_keys(left, 0).unionByName(as_keys(right, 1)).filter("key <> ''"))
     pairs = _partial_pairs(keys, t) if scorer == "partial" else _gram_pairs(keys, scorer, t)
@@ -242,7 +242,8 @@ def best_match(left: DataFrame, right: DataFrame, scorer: str = "token_set", thr
     ``left(key)``, ``right(key, pos)``.  Returns ``(key, match, pos, score)``; of
     equal scores the lowest ``pos`` wins.
     """
-    scored = scored_pairs(left.select("key", F.lit(0).alias("pos")), right, scorer, threshold, "first")
+    right = right.select("key", F.col("pos").cast("bigint").alias("pos"))
+    scored = scored_pairs(left.select("key", F.lit(0).cast("bigint").alias("pos")), right, scorer, threshold, "first")
     best = scored.groupBy("lkey").agg(F.max(F.struct("score", (-F.col("rpos")).alias("neg"), "rkey")).alias("b"))
     return best.select(
         F.col("lkey").alias("key"), F.col("b.rkey").alias("match"), (-F.col("b.neg")).alias("pos"), F.col("b.score").alias("score")

@@ -57,3 +57,8 @@ def shuffle_key(row_id: str = "row_id", seed: int = 42) -> Column:
 def shuffled(df: DataFrame, row_id: str = "row_id", seed: int = 42, out: str = "position") -> DataFrame:
     """Every row with its place in a seeded shuffle."""
     return with_position(df, shuffle_key(row_id, seed), out, tie=row_id, shifts=HASH_SHIFTS)
+
+
+def sorted_by(df: DataFrame, **columns: bool) -> DataFrame:
+    """Sort by several columns, ascending where true; nulls come last."""
+    return df.orderBy(*[F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in columns.items()])

@@ -72,7 +72,7 @@ def split_even(df: DataFrame, parts: int, row_id: str = "row_id", out: str = "pa
                position: str = "position") -> DataFrame:
     """Contiguous parts whose sizes differ by at most one, larger parts first."""
     placed = df if position in df.columns else with_position(df, row_id, position)
-    total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return placed.withColumn("_n", total).withColumn(out, _part_of(F.col(position), F.col("_n"), parts)).drop("_n")
 
 

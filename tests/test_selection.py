@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.operators import dedupe, select, skew
-from muster.operators.position import shuffled, with_position
+from muster.operators.position import shuffled, sorted_by, with_position
 
 
 def greedy(owners, n):
@@ -100,3 +100,8 @@ def test_keep_first_and_keyless_rows(spark):
 def test_names_are_cycled():
     assert select.cycled_names(["a", " b "], 5) == ["a", "b", "a", "b", "a"]
     assert select.cycled_names([], 2) == ["Unassigned", "Unassigned"]
+
+
+def test_sort_directions_and_nulls(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1), (None, 3), ("a", 2), ("a", None)], "k string, v int")
+    assert sorted_by(df, k=True, v=False).collect() == [("a", 2), ("a", 1), ("a", None), ("b", 1), (None, 3)]

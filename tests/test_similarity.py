@@ -75,9 +75,8 @@ def test_pairs_and_merge_follow_the_last_pair(spark):
     words = [w for w in WORDS if w.isascii()]
     raw = sorted(names(31, 70, words), key=lambda s: (s.lower(), s))
     df = spark.createDataFrame([(n,) for n in raw], "name string")
-    cores = cluster.ranked_cores(cluster.ordered_names(df, "name"))
-    ordered = [r["core"] for r in cores.orderBy("rank").collect()]
-    assert [r["rank"] for r in cores.orderBy("rank").collect()] == list(range(len(ordered)))
+    cores = cluster.by_core(cluster.ordered_names(df, "name"))
+    ordered = [r["core"] for r in cores.orderBy("place").collect()]
     score, expected = SCORES["token_set"], {}
     for i, a in enumerate(ordered):
         for b in ordered[i + 1:]:
@@ -85,6 +84,5 @@ def test_pairs_and_merge_follow_the_last_pair(spark):
                 expected[a] = expected[b] = min(a, b, key=len)
     got = {r["core"]: r["standard"] for r in cluster.merged_cores(cores, 80).collect()}
     assert got == {k: " ".join(w.capitalize() for w in v.split()) for k, v in expected.items()}
-    keys = cores.filter("core <> ''").selectExpr("core AS key", "rank AS pos")
-    pairs = {(r["lkey"], r["rkey"]) for r in fuzzy_join.similar_pairs(keys, "token_set", 80).collect()}
+    pairs = {(r["lkey"], r["rkey"]) for r in fuzzy_join.similar_pairs(cluster.core_keys(cores), "token_set", 80).collect()}
     assert pairs == {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1:] if a and b and score(a, b) >= 80}

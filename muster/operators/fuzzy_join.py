@@ -208,13 +208,14 @@ SCORES = {
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: float,
-                 prefer: str | None = None) -> DataFrame:
+                 prefer: str | None = None, stored: bool = False) -> DataFrame:
     """``(lkey, lpos, rkey, rpos, score)`` holding every pair that reaches ``threshold``.
 
     ``left(key, pos)`` and ``right(key, pos)`` hold distinct keys, with ``pos`` of
     any one type that can be ordered; empty keys match nothing.  With ``prefer`` ("first" or "last" by ``pos``) only the
     preferred of many perfect partners of a one-token key is listed.  Pairs
     below the threshold and repeated pairs may occur: aggregate, then filter.
+    ``stored`` says that the keys are cheap to read again.
     """
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}")
@@ -222,8 +223,9 @@ def scored_pairs(left: DataFrame, right: DataFrame, scorer: str, threshold: floa
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 100")
     as_keys = lambda df, i: df.select(F.lit(i).alias("side"), "key", "pos")
+    keys = as_keys(left, 0).unionByName(as_keys(right, 1)).filter("key <> ''")
     # Distinct keys may come from a scan of everything: compute them once.
-    keys = cut_lineage(as_keys(left, 0).unionByName(as_keys(right, 1)).filter("key <> ''"))
+    keys = keys if stored else cut_lineage(keys)
     pairs = _partial_pairs(keys, t) if scorer == "partial" else _gram_pairs(keys, scorer, t)
     scored = pairs.select(*PAIR, SCORES[scorer]("lkey", "rkey").alias("score"))
     return scored.unionByName(_token_scores(keys, t, prefer)) if scorer == "token_set" else scored
@@ -236,14 +238,15 @@ def similar_pairs(keys: DataFrame, scorer: str, threshold: float) -> DataFrame:
     return scored.groupBy(*PAIR).agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
 
 
-def best_match(left: DataFrame, right: DataFrame, scorer: str = "token_set", threshold: float = 88) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, scorer: str = "token_set", threshold: float = 88,
+               stored: bool = False) -> DataFrame:
     """Per left key its best right key at or above ``threshold``.
 
     ``left(key)``, ``right(key, pos)``.  Returns ``(key, match, pos, score)``; of
     equal scores the lowest ``pos`` wins.
     """
     right = right.select("key", F.col("pos").cast("bigint").alias("pos"))
-    scored = scored_pairs(left.select("key", F.lit(0).cast("bigint").alias("pos")), right, scorer, threshold, "first")
+    scored = scored_pairs(left.select("key", F.lit(0).cast("bigint").alias("pos")), right, scorer, threshold, "first", stored)
     best = scored.groupBy("lkey").agg(F.max(F.struct("score", (-F.col("rpos")).alias("neg"), "rkey")).alias("b"))
     return best.select(
         F.col("lkey").alias("key"), F.col("b.rkey").alias("match"), (-F.col("b.neg")).alias("pos"), F.col("b.score").alias("score")
@@ -264,7 +267,7 @@ def best_match_any(left: DataFrame, right: DataFrame, scorer: str = "token_set",
     n_right = right.count()
     found, steps = None, list(ladder)
     while steps:
-        hits = cut_lineage(best_match(rest, right, scorer, steps.pop(0)))
+        hits = cut_lineage(best_match(rest, right, scorer, steps.pop(0), stored=True))
         found = hits if found is None else found.unionByName(hits)
         rest = rest.join(hits.select("key"), "key", "left_anti")
         n_rest = rest.count()

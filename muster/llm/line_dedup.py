@@ -1,8 +1,9 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct words, ordered by rarity: by the count sketch
-over all lines, then by hash.  Two lines at Jaccard ``t`` must share one of
-their first ``n - ceil(t * n) + 1`` tokens, so only these are listed.  Pairs of
+over all lines, then by hash.  Two lines at Jaccard ``t`` must share two of
+their first ``n - ceil(t * n) + 2`` tokens, so only these are listed, and pairs
+that meet in one list only are dropped.  Pairs of
 a list pass length, position and signature filters, whole token sets decide,
 and the later line of a match goes.  Every line is judged on the input: it goes
 if any earlier line, kept or not, matches it.  Lines with equal token sets meet
@@ -25,6 +26,8 @@ from muster.llm.storage import stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
 BINS = 1 << 20
+#: Listed tokens that two matching lines share at least.
+SHARED = 2
 
 
 def line_words(block: Block, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,22 +66,22 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
                 seen = sent.value[counter.bin_of(value)]
                 order = np.lexsort((value, seen, unit))
                 rank = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
-                first = rank < (n - -(-ratio[0] * n // ratio[1]) + 1)[unit]
+                first = rank < (n - -(-ratio[0] * n // ratio[1]) + SHARED)[unit]
                 chosen, place = order[first], rank[first]
                 bits, mark = signature(unit, value, len(row)), row_sums(unit, mix(value), len(row))
                 at, key = dealt(value[chosen], seen[chosen], mark[unit[chosen]])
                 of, place = unit[chosen][at], place[at]
                 yield pa.RecordBatch.from_arrays([
                     int64(key), batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), pa.array(number[of].astype(np.int32)),
-                    pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32)), int64(bits[of]), int64(mark[of])],
+                    pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32)), int64(bits[of]), pa.array((mark[of] >> U64(32)).astype(np.uint32).view(np.int32))],
                     names=[f.split()[0] for f in ROWS.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(run, ROWS)
+    return documents.select("doc", "text").mapInArrow(run, ROWS)
 
 
 def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), least_words: int = 5) -> DataFrame:
     """``(doc, line)`` of every line that has an earlier match; lines count from 0."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    named = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
 
     def bound(a: dict, b: dict) -> np.ndarray:
         """Most tokens both can share, by size and signature."""
@@ -92,17 +95,19 @@ def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), lea
         behind = np.minimum(a["n"] - a["place"], b["n"] - b["place"])
         return reaches(a, b, np.minimum(bound(a, b), ahead + behind), ratio)
 
-    def star(a: dict, b: dict) -> np.ndarray:
-        return reaches(a, b, bound(a, b), (ratio[0] * 3 // 4, ratio[1]))
+    def alike(a: dict, b: dict) -> np.ndarray:
+        """Signatures that differ in at most half as many bits as those of unrelated lines."""
+        free = np.exp(-(a["n"] + b["n"]) / 128)
+        return bit_counts(a["bits"] ^ b["bits"]) <= 64 * free * (1 - free)
 
-    found = stored(candidates(listed_tokens(texts, ratio, least_words), near, star, ratio), "line_candidates")
+    found = stored(candidates(listed_tokens(named, ratio, least_words), near, alike, ratio, SHARED), "line_candidates")
     line = F.split("text", "\n")[F.col("line")]
 
     def sets(block: Block):
         words = block.spans(NOT_SPACE)
         return words.row, words.hash
 
-    links = verified(found.filter(F.col("kind") != SAME), texts.select(F.col("doc_id").alias("doc"), "text"), line, sets, ratio)
+    links = verified(found.filter(F.col("kind") != SAME), named, line, sets, ratio)
     here, there = F.struct("doc", "line"), F.struct(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
     later = links.select(F.greatest(here, there).alias("x")).select("x.doc", "x.line")
     return found.filter(F.col("kind") == SAME).select("doc", "line").union(later).distinct()
@@ -133,9 +138,13 @@ def drop_later_lines(documents: DataFrame, *, drop_emptied: bool = False, **opti
 
 def line_report(documents: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_lines, n_removed, kept_sha256)`` per document."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(_removed(texts, **options), F.col("doc_id") == F.col("doc"), "left")
+    # The same table as the search reads, so that Spark moves it once.
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    named = texts.filter("doc is not null")
+    joined = named.join(_removed(documents, **options), "doc", "left").select("doc", "text", "_gone").unionByName(
+        texts.filter("doc is null").withColumn("_gone", F.lit(None).cast("array<int>")))
     lines = F.split("text", "\n")
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
+    return joined.select(F.col("doc").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+                         F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).cast("long").alias("n_removed"),
+                         F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))

@@ -94,7 +94,7 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K, least: in
             at = row[chosen][at]
             yield pa.RecordBatch.from_arrays([
                 int64(key), batch.column(0).take(pa.array(at)), pa.array(np.zeros(len(at), np.int32)), pa.array(n[at].astype(np.int32)),
-                pa.array(np.minimum(kept, 1 << 20)[at].astype(np.int32)), int64(bits[at]), batch.column(3).take(pa.array(at))],
+                pa.array(np.minimum(kept, 1 << 20)[at].astype(np.int32)), int64(bits[at]), pa.array((batch.column(3).to_numpy()[at] >> 32).astype(np.int32))],
                 names=[f.split()[0] for f in ROWS.split(", ")])
 
     return reps.select("doc_id", "n_shingles", "sketch", "print_a").mapInArrow(run, ROWS)

@@ -5,8 +5,9 @@ unit is its hub.  Units whose signature is near the hub's form the hub's star;
 pairs inside a star are settled together in small cells, with the whole sets at
 hand, so a group of near copies never becomes a table of pairs.  All other
 pairs of a list that pass the length, position and signature filters are
-candidates of their own.  Filters only drop pairs that cannot reach the
-threshold.
+candidates of their own, if enough lists hold them.  Filters only drop pairs
+that cannot reach the threshold; which units belong to a star is settled by the
+two units alone, whatever the list, and has no bearing on the result.
 
 Lists are found by sorting a shuffle partition with numpy.  A key expected to
 be in more than ``HOT`` units is dealt over a grid of cells: chunks of its
@@ -26,8 +27,9 @@ from muster.llm.words import U64, blocks, int64, mix
 HOT = 1 << 20
 PAIRS_AT_ONCE = 1 << 21
 CELL = 256
-ROWS = "key long, doc long, line int, n int, place int, bits long, print long"
+ROWS = "key long, doc long, line int, n int, place int, bits long, print int"
 CANDIDATES = "hub_doc long, hub_line int, doc long, line int, kind int"
+EVIDENCE = CANDIDATES + ", lists long"
 STAR, PAIR, SAME = 1, 0, 2
 LINKS = "doc long, line int, other_doc long, other_line int"
 _names = lambda schema: [f.split()[0] for f in schema.split(", ")]
@@ -41,7 +43,12 @@ def dealt(keys: np.ndarray, expected: np.ndarray, unit: np.ndarray) -> tuple[np.
     g = chunks[rows]
     own = (mix(unit[rows]) % g.astype(U64)).astype(np.int64)
     cell = np.minimum(own, other) * g + np.maximum(own, other)
-    return rows, np.where(g > 1, mix(keys[rows] + mix(cell.astype(U64) + U64(1))), keys[rows])
+    return rows, list_key(np.where(g > 1, mix(keys[rows] + mix(cell.astype(U64) + U64(1))), keys[rows]))
+
+
+def list_key(values: np.ndarray) -> np.ndarray:
+    """44 bits name a list: enough to keep lists apart, and smaller to move."""
+    return values >> U64(20)
 
 
 def bit_counts(x: np.ndarray) -> np.ndarray:
@@ -55,12 +62,13 @@ def signature(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int, int]) -> DataFrame:
+def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int, int], shared: int = 1) -> DataFrame:
     """Stars, pairs and equal units of all lists.
 
     ``near(a, b)`` and ``star(a, b)`` take two dicts of arrays (n, place, bits)
     and tell which pairs may reach the threshold or belong to one star.
     ``ratio`` bounds the sizes: ``ratio[1] * smaller >= ratio[0] * larger``.
+    Pairs outside stars have to meet in ``shared`` lists.
     """
 
     def lists(batches: Iterator[pa.RecordBatch]):
@@ -70,40 +78,54 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         table = pa.Table.from_batches(held)
         c = {name: table.column(i).to_numpy() for i, name in enumerate(_names(ROWS))}
         del held, table
-        order = np.lexsort((c["line"], c["doc"], c["n"], c["key"]))
-        c = {k: v[order] for k, v in c.items()}
-        n = len(order)
-        new = np.append(True, c["key"][1:] != c["key"][:-1])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        shared = size[group] > 1
-        if not shared.any():
-            return
-        c = {k: v[shared] for k, v in c.items()}
-        n = len(c["key"])
-        group = np.cumsum(np.append(True, c["key"][1:] != c["key"][:-1])) - 1
-        # The hub: earliest (doc, line) of the list.
-        by_unit = np.lexsort((c["line"], c["doc"], group))
-        hub = by_unit[np.flatnonzero(np.append(True, group[by_unit][1:] != group[by_unit][:-1]))][group]
-
         def part(at: np.ndarray) -> dict:
             return {k: c[k][at] for k in ("n", "place", "bits")}
 
         def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
             """``a`` the earlier unit; equal rows of several lists once."""
-            key = np.unique(np.stack([c["doc"][a], c["line"][a], c["doc"][b], c["line"][b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
+            if not len(a):
+                key, count = np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
+            else:
+                every = np.stack([c["doc"][a], c["line"][a], c["doc"][b], c["line"][b]])
+                every = every[:, np.lexsort(every[::-1])]
+                at = np.flatnonzero(np.append(True, (every[:, 1:] != every[:, :-1]).any(axis=0)))
+                key, count = every[:, at], np.diff(np.append(at, every.shape[1]))
             return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype(np.int32)), pa.array(key[2]), pa.array(key[3].astype(np.int32)),
-                                               pa.array(np.full(key.shape[1], kind, np.int32))], names=_names(CANDIDATES))
+                                               pa.array(np.full(key.shape[1], kind, np.int32)), pa.array(count)], names=_names(EVIDENCE))
+
+        order = np.lexsort((c["line"], c["doc"], c["bits"], c["print"], c["n"], c["key"]))
+        c = {k: v[order] for k, v in c.items()}
+
+        def starts(*names: str) -> np.ndarray:
+            new = np.append(True, c["key"][1:] != c["key"][:-1])
+            for name in names:
+                new[1:] |= c[name][1:] != c[name][:-1]
+            return new
+
+        # Equal units are told by the earliest of them.
+        lead = starts("n", "print", "bits")
+        first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        again = np.flatnonzero((c["doc"] != c["doc"][first]) | (c["line"] != c["line"][first]))
+        yield out(first[again], again, SAME)
+        c = {k: v[lead] for k, v in c.items()}
+        group = np.cumsum(starts()) - 1
+        alone = np.bincount(group)[group] == 1
+        if alone.all():
+            return
+        c = {k: v[~alone] for k, v in c.items()}
+        n = len(c["key"])
+        group = np.cumsum(starts()) - 1
+        # The hub: earliest (doc, line) of the list.
+        by_unit = np.lexsort((c["line"], c["doc"], group))
+        hub = by_unit[np.flatnonzero(np.append(True, group[by_unit][1:] != group[by_unit][:-1]))][group]
 
         every = np.arange(n)
         other = (c["doc"] != c["doc"][hub]) | (c["line"] != c["line"][hub])
-        same = other & (c["n"] == c["n"][hub]) & (c["print"] == c["print"][hub]) & (c["bits"] == c["bits"][hub])
-        in_star = other & ~same & star(part(hub), part(every))
-        yield out(hub[same], every[same], SAME)
+        in_star = other & star(part(hub), part(every))
         yield out(hub[in_star], every[in_star], STAR)
-        # The rest against all units of fitting size; those equal to the hub are told by the hub.
+        # The rest against all units of fitting size.
         compound = (group.astype(np.int64) << 32) | c["n"].astype(np.int64)
-        loose = np.flatnonzero(other & ~same & ~in_star)
+        loose = np.flatnonzero(other & ~in_star)
         lo = np.searchsorted(compound, (group[loose].astype(np.int64) << 32) | -(-c["n"][loose].astype(np.int64) * ratio[0] // ratio[1]), "left")
         hi = np.searchsorted(compound, (group[loose].astype(np.int64) << 32) | (c["n"][loose].astype(np.int64) * ratio[1] // ratio[0]), "right")
         ends = np.cumsum(hi - lo)
@@ -123,8 +145,8 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
                 else:
                     b = np.arange(*span)
                     a = np.full(len(b), loose[at])
-                is_loose = other[b] & ~same[b] & ~in_star[b]
-                keep = ~same[b] & (~is_loose | (b > a)) & (a != b) & ((c["doc"][a] != c["doc"][b]) | (c["line"][a] != c["line"][b]))
+                is_loose = other[b] & ~in_star[b]
+                keep = (~is_loose | (b > a)) & (a != b) & ((c["doc"][a] != c["doc"][b]) | (c["line"][a] != c["line"][b]))
                 a, b = a[keep], b[keep]
                 ok = near(part(a), part(b))
                 a, b = a[ok], b[ok]
@@ -133,7 +155,9 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
                     yield out(np.where(earlier, a, b), np.where(earlier, b, a), PAIR)
             at = to
 
-    return rows.repartition("key").mapInArrow(lists, CANDIDATES).dropDuplicates()
+    met = rows.repartition("key").mapInArrow(lists, EVIDENCE).groupBy("hub_doc", "hub_line", "doc", "line").agg(
+        F.max("kind").alias("kind"), F.sum("lists").alias("_lists"))
+    return met.filter((F.col("kind") != PAIR) | (F.col("_lists") >= shared)).drop("_lists")
 
 
 def _cells(found: DataFrame) -> DataFrame:

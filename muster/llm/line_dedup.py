@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, distinct_in_rows, row_sums, signature, verified
+from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature, verified
 from muster.llm.storage import stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
@@ -72,8 +72,8 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
                 at, key = dealt(value[chosen], seen[chosen], mark[unit[chosen]])
                 of, place = unit[chosen][at], place[at]
                 yield pa.RecordBatch.from_arrays([
-                    int64(key), batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), pa.array(number[of].astype(np.int32)),
-                    pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32)), int64(bits[of]), pa.array((mark[of] >> U64(32)).astype(np.uint32).view(np.int32))],
+                    int64(key), int64(bits[of]), packed((mark[of] >> U64(32)).astype(np.uint32).view(np.int32), number[of]),
+                    batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), packed(n[of], place)],
                     names=[f.split()[0] for f in ROWS.split(", ")])
 
     return documents.select("doc", "text").mapInArrow(run, ROWS)
@@ -96,9 +96,9 @@ def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), lea
         return reaches(a, b, np.minimum(bound(a, b), ahead + behind), ratio)
 
     def alike(a: dict, b: dict) -> np.ndarray:
-        """Signatures that differ in at most half as many bits as those of unrelated lines."""
+        """Signatures clearly nearer than those of unrelated lines, or too full to tell."""
         free = np.exp(-(a["n"] + b["n"]) / 128)
-        return bit_counts(a["bits"] ^ b["bits"]) <= 64 * free * (1 - free)
+        return bit_counts(a["bits"] ^ b["bits"]) <= 64 * free * (1 - free) + 2
 
     found = stored(candidates(listed_tokens(named, ratio, least_words), near, alike, ratio, SHARED), "line_candidates")
     line = F.split("text", "\n")[F.col("line")]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.components import component_of
-from muster.llm.setjoin import (CountSketch, PAIR, ROWS, STAR, bit_counts, candidates, dealt, distinct_in_rows, row_sums, signature,
+from muster.llm.setjoin import (CountSketch, PAIR, ROWS, STAR, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature,
                                 verified)
 from muster.llm.storage import stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
@@ -92,9 +92,10 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K, least: in
             bits = signature(row, value, len(n))
             at, key = dealt(value[chosen], seen[chosen], row[chosen].astype(U64) + U64(1))
             at = row[chosen][at]
+            mark = (batch.column(3).to_numpy()[at] >> 32).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                int64(key), batch.column(0).take(pa.array(at)), pa.array(np.zeros(len(at), np.int32)), pa.array(n[at].astype(np.int32)),
-                pa.array(np.minimum(kept, 1 << 20)[at].astype(np.int32)), int64(bits[at]), pa.array((batch.column(3).to_numpy()[at] >> 32).astype(np.int32))],
+                int64(key), int64(bits[at]), packed(mark, np.zeros(len(at), np.int32)), batch.column(0).take(pa.array(at)),
+                packed(n[at], kept[at])],
                 names=[f.split()[0] for f in ROWS.split(", ")])
 
     return reps.select("doc_id", "n_shingles", "sketch", "print_a").mapInArrow(run, ROWS)
@@ -134,7 +135,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
 
     def star(a: dict, b: dict) -> np.ndarray:
         both = np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
-        return (common_bits(a, b) * 3 >= both * 2) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
+        return (common_bits(a, b) * 2 >= both) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
 
     found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio), "candidates"), reps, ratio), "found")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")

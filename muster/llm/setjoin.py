@@ -26,9 +26,11 @@ from muster.llm.words import U64, blocks, int64, mix
 
 HOT = 1 << 20
 PAIRS_AT_ONCE = 1 << 21
-CELL = 256
-ROWS = "key long, doc long, line int, n int, place int, bits long, print int"
-CANDIDATES = "hub_doc long, hub_line int, doc long, line int, kind int"
+#: A chunk of a star holds about so many set elements, and at most so many units.
+ELEMENTS, CELL = 1 << 20, 2048
+#: Two numbers of 32 bits share a long, random fields come first: the rows are many and move in less space.
+ROWS = "key long, bits long, print_line long, doc long, n_place long"
+CANDIDATES = "hub_doc long, hub_line int, doc long, line int, n int, kind int"
 EVIDENCE = CANDIDATES + ", lists long"
 STAR, PAIR, SAME = 1, 0, 2
 LINKS = "doc long, line int, other_doc long, other_line int"
@@ -51,6 +53,11 @@ def list_key(values: np.ndarray) -> np.ndarray:
     return values >> U64(20)
 
 
+def packed(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    """Two columns of 32 bits in one."""
+    return int64((high.astype(np.int64) << 32) | (low.astype(np.int64) & 0xFFFFFFFF))
+
+
 def bit_counts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(U64)).astype(np.int64)
 
@@ -78,20 +85,25 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         table = pa.Table.from_batches(held)
         c = {name: table.column(i).to_numpy() for i, name in enumerate(_names(ROWS))}
         del held, table
+        for pair in ("print_line", "n_place"):
+            high, low = pair.split("_")
+            c[high], c[low] = (c[pair] >> 32).astype(np.int32), c[pair].astype(np.int32)
+            del c[pair]
+
         def part(at: np.ndarray) -> dict:
             return {k: c[k][at] for k in ("n", "place", "bits")}
 
         def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
             """``a`` the earlier unit; equal rows of several lists once."""
             if not len(a):
-                key, count = np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
+                key, count = np.zeros((5, 0), np.int64), np.zeros(0, np.int64)
             else:
-                every = np.stack([c["doc"][a], c["line"][a], c["doc"][b], c["line"][b]])
+                every = np.stack([c["doc"][a], c["line"][a], c["doc"][b], c["line"][b], c["n"][b]])
                 every = every[:, np.lexsort(every[::-1])]
                 at = np.flatnonzero(np.append(True, (every[:, 1:] != every[:, :-1]).any(axis=0)))
                 key, count = every[:, at], np.diff(np.append(at, every.shape[1]))
             return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype(np.int32)), pa.array(key[2]), pa.array(key[3].astype(np.int32)),
-                                               pa.array(np.full(key.shape[1], kind, np.int32)), pa.array(count)], names=_names(EVIDENCE))
+                                               pa.array(key[4].astype(np.int32)), pa.array(np.full(key.shape[1], kind, np.int32)), pa.array(count)], names=_names(EVIDENCE))
 
         order = np.lexsort((c["line"], c["doc"], c["bits"], c["print"], c["n"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
@@ -156,19 +168,21 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             at = to
 
     met = rows.repartition("key").mapInArrow(lists, EVIDENCE).groupBy("hub_doc", "hub_line", "doc", "line").agg(
-        F.max("kind").alias("kind"), F.sum("lists").alias("_lists"))
+        F.max("n").alias("n"), F.max("kind").alias("kind"), F.sum("lists").alias("_lists"))
     return met.filter((F.col("kind") != PAIR) | (F.col("_lists") >= shared)).drop("_lists")
 
 
 def _cells(found: DataFrame) -> DataFrame:
     """Members of every cell: ``(hub_doc, hub_line, i, j, doc, line, part)``; part -1 is the hub, else the chunk.
 
-    A star of more than ``CELL`` units is cut in chunks, each pair of chunks a cell.
+    A star of more than ``ELEMENTS`` set elements or ``CELL`` units is cut in
+    chunks, each pair of chunks a cell.
     """
     hub = ["hub_doc", "hub_line"]
-    sizes = found.groupBy(*hub).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.ceil(F.col("_n") / CELL).cast("int"))
+    sizes = found.groupBy(*hub).agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_e")).withColumn(
+        "_g", F.greatest(F.ceil(F.col("_n") / CELL), F.ceil(F.col("_e") / ELEMENTS)).cast("int")).drop("_n", "_e")
     chunk = F.pmod(F.xxhash64("doc", "line"), F.col("_g")).cast("int")
-    members = found.join(sizes, hub).withColumn("part", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    members = found.drop("n").join(sizes, hub).withColumn("part", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     pick = [*hub, F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "doc", "line", "part", "kind"]
     hubs = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("_g") - 1)))
     return members.select(*pick).unionByName(hubs.select(

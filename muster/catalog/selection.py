@@ -194,10 +194,10 @@ def srt_business_rank(spark, sf):
 
 @query(
     "lim_head",
-    with_ctes("SELECT row_id, title FROM contacts WHERE company = 'Nordea Bank' ORDER BY row_id LIMIT 20", CONTACTS_SQL),
+    with_ctes("SELECT row_id, title FROM contacts ORDER BY row_id LIMIT 20", CONTACTS_SQL),
 )
 def lim_head(spark, sf):
-    return rel.contacts(spark, sf).filter("company = 'Nordea Bank'").select("row_id", "title").orderBy("row_id").limit(20)
+    return rel.contacts(spark, sf).select("row_id", "title").orderBy("row_id").limit(20)
 
 
 # ------------------------------------------------------------------------ sets

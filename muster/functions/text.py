@@ -296,7 +296,7 @@ def strip_credentials(c) -> Column:
 
 def capitalised(c) -> Column:
     c = col(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def number(c) -> Column:
@@ -323,5 +323,5 @@ def split_full_name(c) -> tuple[Column, Column]:
     """First word, and the remaining words or null."""
     w = words(text(c))
     first = F.when(F.size(w) > 0, F.get(w, F.lit(0)))
-    rest = F.when(F.size(w) > 1, F.array_join(F.slice(w, 2, 1 << 20), " "))
+    rest = F.when(F.size(w) > 1, F.array_join(F.slice(w, F.lit(2), F.size(w)), " "))
     return first, rest

@@ -28,9 +28,6 @@ from muster.plans.storage import cut_lineage
 SCORERS = ("ratio", "token_sort", "token_set", "partial")
 # A feature listed by more rows than this is joined in several salted shares.
 SHARE = 4096
-MAX_SHARES = 64
-# With this few pairs left a stricter rung would save nothing.
-FEW_PAIRS = 5_000_000
 # Slack for thresholds that are not exact in binary; it can only add candidates.
 EPS = 1e-6
 
@@ -107,7 +104,7 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     The number of partitions is fixed because the work per row is an alignment,
     which small row sizes would hide from adaptive coalescing.
     """
-    shares = F.least(F.ceil(F.col("df") / F.lit(SHARE)), F.lit(MAX_SHARES)).cast("int")
+    shares = F.ceil(F.col("df") / F.lit(SHARE)).cast("int")
     n = _partitions(left)
     a = left.withColumn("salt", F.pmod(F.xxhash64("lkey"), shares).cast("int")).drop("df")
     b = right.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("df")
@@ -258,23 +255,18 @@ def best_match_any(left: DataFrame, right: DataFrame, scorer: str = "token_set",
     """Per left key its best right key at whatever score, 0 included.
 
     Each rung looks only at keys the stricter rungs left open, with candidates
-    that are complete for its own threshold.  Once few pairs are left the last
-    rung follows at once.  What no rung resolves shares no character with any
+    that are complete for its own threshold.  What no rung resolves shares no character with any
     right key: it scores 0, and the first right key stands.
     """
     right = cut_lineage(right.select("key", "pos"))
     rest = cut_lineage(left.select("key").filter("key <> ''"))
-    n_right = right.count()
     found, steps = None, list(ladder)
     while steps:
         hits = cut_lineage(best_match(rest, right, scorer, steps.pop(0), stored=True))
         found = hits if found is None else found.unionByName(hits)
         rest = rest.join(hits.select("key"), "key", "left_anti")
-        n_rest = rest.count()
-        if n_rest == 0:
+        if rest.isEmpty():
             return found
-        if n_rest * n_right <= FEW_PAIRS:
-            steps = steps[-1:]
     first = right.agg(F.min(F.struct("pos", "key")).alias("f")).scalar()
     nothing = rest.withColumn("f", first).filter(F.col("f").isNotNull()).select(
         "key", F.col("f.key").alias("match"), F.col("f.pos").alias("pos"), F.lit(0.0).alias("score")

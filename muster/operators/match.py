@@ -45,13 +45,13 @@ def match_counts(contacts: DataFrame, company: Column, reference: DataFrame, nam
 
 
 def match_audit(contacts: DataFrame, company: Column, reference: DataFrame, name: Column, pos: str = "pos",
-                **options) -> DataFrame:
-    """Every matched contact with its reference entry and whole-number score."""
+                entry: str = "name", **options) -> DataFrame:
+    """Every matched contact with its reference entry (column ``entry``) and whole-number score."""
     keyed = contacts.withColumn("key", company)
     counts = cut_lineage(key_counts(keyed, "key"))
     ref = reference.withColumn("_key", name)
     best = matched_keys(counts.select("key").filter("key <> ''"), first_positions(ref, "_key", pos), **options)
-    named = best.join(reference.select(F.col(pos).alias("pos"), F.col("name").alias("matched_name")), "pos")
+    named = best.join(reference.select(F.col(pos).alias("pos"), F.col(entry).alias("matched_name")), "pos")
     table = named.select("key", "matched_name", F.floor("score").alias("score"))
     return lookup_join(keyed, table, "key", how="inner", counts=counts).drop("key")
 

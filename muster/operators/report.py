@@ -32,11 +32,11 @@ def roll_up_small(df: DataFrame, group: str, groups: list[str], min_rows: int =
 
 
 def group_rate(df: DataFrame, group: str, counted: str, flag: str) -> DataFrame:
-    """Per group: non-null ``counted``, rows with ``flag`` and their rate."""
+    """Per group: non-null ``counted``, rows with ``flag`` and their rate, largest first."""
     total, hits = F.count(counted), F.count_if(flag)
     return df.groupBy(group).agg(
         total.alias("total"), hits.alias("influencers"), tx.rate(hits, total, 3).alias("influencer_rate")
-    )
+    ).orderBy(F.desc("total"), group)
 
 
 def segment_counts(df: DataFrame, org: str = "org_type", segment: str = "segment") -> DataFrame:

@@ -51,6 +51,8 @@ def select_with_quotas(df: DataFrame, company: str, bucket: str, score: str, n_m
     """
     quotas = bucket_quotas(n_max, shares)
     order = [F.desc(score), F.asc(row_id)]
+    # Padded spellings are one company.
+    df, given, company = df.withColumn("_company", tx.strip(company)), df.columns, "_company"
     keep = max(n_max, n_min) + 1
     best = top_n(df, [company, bucket], order, keep, "_in_bucket", salts)
     whole = F.count(F.lit(1)).over(Window.partitionBy(company)) <= n_min
@@ -59,7 +61,7 @@ def select_with_quotas(df: DataFrame, company: str, bucket: str, score: str, n_m
     ranked = best.withColumn("_whole", whole).withColumn("_turn", turn).withColumn(
         "rank", F.row_number().over(Window.partitionBy(company).orderBy("_turn", *order))
     )
-    return ranked.filter(F.col("_whole") | (F.col("rank") <= n_max)).drop("_in_bucket", "_whole", "_turn")
+    return ranked.filter(F.col("_whole") | (F.col("rank") <= n_max)).select(*given, "rank")
 
 
 def cycled_names(names: list[str], slots: int) -> list[str]:

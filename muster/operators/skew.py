@@ -33,7 +33,9 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, row_id: str = "row_id
     """
     hot = F.broadcast(hot_keys(key_counts(df, key) if counts is None else counts, key))
     left = df.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+        # Null matches nothing, so its rows may go anywhere.
+        .when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 30)).cast("int")).otherwise(0)
     ).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

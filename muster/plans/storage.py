@@ -13,11 +13,14 @@ _local: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """Folder the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only where none is named, as in local tests.
+    A temporary folder stands in only where none is named and all tasks run on
+    this machine; elsewhere executors could not read each other's files.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="muster-"))
     return _local[0]

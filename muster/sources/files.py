@@ -7,6 +7,7 @@ span lines, which is how such files have to be read.
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def file_encodings(spark: SparkSession, path) -> DataFrame:
     return facts.select("file", name.when(F.col("undefined"), "latin1").otherwise("cp1252").alias("encoding"))
 
 
+def read_by_header(spark: SparkSession, files: list[str], **options) -> DataFrame:
+    """Files read by their own headers: those with the same header in one scan, the rest aligned by name."""
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        headers.setdefault(tuple(read_text(spark, [file], **options).columns), []).append(file)
+    return union_columns([read_text(spark, same, **options) for _, same in sorted(headers.items())])
+
+
 def read_any_encoding(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
     """Files of mixed encodings as one text table.
 
@@ -66,11 +75,11 @@ def read_any_encoding(spark: SparkSession, path, columns: list[str] | None = Non
     # One row per file: no more than the driver already lists to plan a scan.
     groups: dict[str, list[str]] = {}
     for row in file_encodings(spark, path).collect():
-        groups.setdefault(row["encoding"], []).append(row["file"])
+        groups.setdefault(row["encoding"], []).append(unquote(row["file"]))
     frames = []
     for encoding, files in sorted(groups.items()):
         charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-        df = read_text(spark, files, encoding=charset)
+        df = read_by_header(spark, files, encoding=charset)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
         if encoding == "cp1252":
             odd = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
@@ -104,16 +113,17 @@ def delimiters(spark: SparkSession, path, candidates: list[str] = DELIMITERS) ->
         for i, d in enumerate(candidates)
     ])
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.inline(entries))
-    shares = lines.filter("times > 0").groupBy("file", "i", "delimiter", "times").agg(F.count(F.lit(1)).alias("n"))
-    return shares.groupBy("file").agg(F.max_by("delimiter", F.struct("n", "times", "i")).alias("delimiter"))
+    shares = lines.groupBy("file", "i", "delimiter", "times").agg(F.count(F.lit(1)).alias("n"))
+    # A file without any candidate has one column; the first one does for it.
+    return shares.groupBy("file").agg(F.max_by("delimiter", F.struct(F.col("times") > 0, "n", "times", "i")).alias("delimiter"))
 
 
 def read_sniffed(spark: SparkSession, path) -> DataFrame:
     """Files of different delimiters as one text table."""
     groups: dict[str, list[str]] = {}
     for row in delimiters(spark, path).collect():
-        groups.setdefault(row["delimiter"], []).append(row["file"])
-    return union_columns([read_text(spark, files, sep=d) for d, files in sorted(groups.items())])
+        groups.setdefault(row["delimiter"], []).append(unquote(row["file"]))
+    return union_columns([read_by_header(spark, files, sep=d) for d, files in sorted(groups.items())])
 
 
 def with_provenance(df: DataFrame, file: Column, sheet: Column) -> DataFrame:

@@ -74,3 +74,14 @@ def test_id_column_falls_back(spark):
     df = spark.createDataFrame([("t", None, "e", "f"), ("t", None, "e", "g")], "t string, id string, email string, first string")
     assert report.distinct_by_id(df, "t", ["id", "email"]).collect() == [("t", 1)]
     assert report.distinct_by_id(df, "t", ["id"], ["email", "first"]).collect() == [("t", 2)]
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    from muster.sources import files as sr
+
+    (tmp_path / "my list.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "other.csv").write_text("b,a\n2,1\n")
+    (tmp_path / "one.csv").write_text("a\n5\n")
+    for read in (sr.read_any_encoding, sr.read_sniffed):
+        got = read(spark, str(tmp_path)).select("a", "b").collect()
+        assert sorted((r.a, r.b or "") for r in got) == [("1", "2"), ("1", "2"), ("5", "")]

@@ -105,3 +105,9 @@ def test_names_are_cycled():
 def test_sort_directions_and_nulls(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), (None, 3), ("a", 2), ("a", None)], "k string, v int")
     assert sorted_by(df, k=True, v=False).collect() == [("a", 2), ("a", 1), ("a", None), ("b", 1), (None, 3)]
+
+
+def test_quotas_treat_padded_names_as_one_company(spark):
+    df = spark.createDataFrame([(1, "Acme", "x", 2.0), (2, "Acme ", "x", 1.0)], "row_id long, company string, bucket string, score double")
+    got = select.select_with_quotas(df, "company", "bucket", "score", 1, 0)
+    assert [r.row_id for r in got.collect()] == [1] and got.columns == [*df.columns, "rank"]

@@ -31,6 +31,8 @@ from muster.llm.storage import stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
 K, LEAST = 24, 8
+#: Listed values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
+SHARED = 2
 BINS = 1 << 16
 SKETCHES = "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>"
 
@@ -88,7 +90,7 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K, least: in
             seen = sent.value[counter.bin_of(value)]
             order = np.lexsort((value, seen, row))
             rank = np.arange(len(row)) - (np.cumsum(kept) - kept)[row]
-            chosen = order[rank < (kept - need + 1)[row]]
+            chosen = order[rank < (kept - need + SHARED)[row]]
             bits = signature(row, value, len(n))
             at, key = dealt(value[chosen], seen[chosen], row[chosen].astype(U64) + U64(1))
             at = row[chosen][at]
@@ -137,7 +139,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
         both = np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
         return (common_bits(a, b) * 2 >= both) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
 
-    found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio), "candidates"), reps, ratio), "found")
+    found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio, SHARED), "candidates"), reps, ratio), "found")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     links = verified(found, texts, F.col("text"), lambda block: shingles(block, size), ratio)
     # Rows of one id are one node.

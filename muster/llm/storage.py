@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one on a local master only."""
@@ -15,9 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="corpus-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # A running session does not take the setting any more.
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="corpus-"))
+    return _local[0]
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:

@@ -2,15 +2,19 @@
 
 A document's set is its distinct word shingles; the sketch keeps the ``k``
 smallest hashes.  Documents with equal sets are one class and only its first
-document goes on.  Inverted lists of retained values bring documents together:
-of a document's retained values the rarest are listed (their order by a count
-sketch over all retained values), as many as any partner must share.  The
-sketch of the union estimates the similarity of pairs, and the exact Jaccard of
-the whole sets decides.  Links are closed to components.
-
-Two documents at similarity 0.8 share fewer than ``least`` = 8 of ``k`` = 24
-retained values with probability below 1e-6; sets of at most ``k`` shingles
-are compared without that risk.
+document goes on.  Inverted lists of retained values bring documents together.
+A set of more than ``k`` shingles lists its retained values by neighbouring
+twos, in hash order: one value of a frequent shingle is held by a share of all
+documents, two of them side by side by hardly any but near copies.  A smaller
+set lists its rarest values (by a count sketch), as many as any partner must
+share; sets that can link with both kinds list both.  The sketch of the union
+estimates the similarity of pairs, and the exact Jaccard of the whole sets
+decides.  Links are closed to components.
+
+Of the ``k`` = 24 smallest values of the union of two sets at similarity 0.8
+each is shared with probability 0.8: no two side by side are shared with
+probability 2e-7, fewer than ``least`` = 8 with 2e-7.  Pairs with a set of at
+most ``k`` shingles are compared without that risk.
 
 Defined results: null, empty and wordless texts have no set and stand alone; a
 text with fewer words than a shingle is one shingle of all its words; a null id
@@ -31,7 +35,7 @@ from muster.llm.storage import stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
 K, LEAST = 24, 8
-#: Listed values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
+#: Listed single values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
 SHARED = 2
 BINS = 1 << 16
 SKETCHES = "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>"
@@ -73,27 +77,46 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), column.flatten().to_numpy().view(U64)
 
 
-def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K, least: int = LEAST) -> DataFrame:
-    """Rows of the inverted lists: the rarest retained values of every set."""
+def _listed(n: np.ndarray, sketch: pa.Array, k: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and value of the single retained values that may be listed, row and key of the neighbouring twos."""
+    row, _, value = _flat(sketch)
+    single = (n * ratio[0] <= k * ratio[1])[row]
+    twice = np.flatnonzero((row[1:] == row[:-1]) & (n > k)[row[1:]])
+    return row[single], value[single], row[twice], mix(value[twice] + mix(value[twice + 1]))
+
+
+def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K) -> DataFrame:
+    """Rows of the inverted lists: neighbouring twos of retained values, the rarest values of small sets."""
     counter = CountSketch(BINS)
-    counts = counter.collect(reps.select("sketch"), lambda batch: [_flat(batch.column(0))[2]])
+
+    def values(batch):
+        _, value, _, key = _listed(batch.column(0).to_numpy(), batch.column(1), k, ratio)
+        return [value, key]
+
+    counts = counter.collect(reps.select("n_shingles", "sketch"), values)
     sent = reps.sparkSession.sparkContext.broadcast(counts)
+    # What other values of a bin add on average does not make a value hot.
+    usual = int(counts.mean())
 
     def run(batches):
         for batch in batches:
-            row, _, value = _flat(batch.column(2))
             n = batch.column(1).to_numpy()
-            kept = np.bincount(row, minlength=len(n))
-            # What a partner shares at least: all of a small set counts, less what a larger partner may have cut off.
-            need = np.maximum(1, -(-ratio[0] * n // ratio[1]) - np.where(n * ratio[1] >= k * ratio[0], k * (ratio[1] - ratio[0]) // ratio[0], 0))
-            need = np.where(n > k, least, np.minimum(need, np.maximum(kept, 1)))
+            row, value, of, key = _listed(n, batch.column(2), k, ratio)
+            kept = np.minimum(n, k)
+            # What a partner shares at least, less what the sketches of both may have cut off.
+            cut = np.where(n > k, n - k, np.where(n * ratio[1] >= k * ratio[0], k * (ratio[1] - ratio[0]) // ratio[0], 0))
+            need = np.clip(-(-ratio[0] * n // ratio[1]) - cut, 1, np.maximum(kept, 1))
             seen = sent.value[counter.bin_of(value)]
             order = np.lexsort((value, seen, row))
-            rank = np.arange(len(row)) - (np.cumsum(kept) - kept)[row]
+            held = np.bincount(row, minlength=len(n))
+            rank = np.arange(len(row)) - (np.cumsum(held) - held)[row]
             chosen = order[rank < (kept - need + SHARED)[row]]
-            bits = signature(row, value, len(n))
-            at, key = dealt(value[chosen], seen[chosen], row[chosen].astype(U64) + U64(1))
-            at = row[chosen][at]
+            all_row, _, all_value = _flat(batch.column(2))
+            bits = signature(all_row, all_value, len(n))
+            row, value = np.append(row[chosen], of), np.append(value[chosen], key)
+            expected = np.maximum(1, sent.value[counter.bin_of(value)] - usual)
+            at, key = dealt(value, expected, row.astype(U64) + U64(1))
+            at = row[at]
             mark = (batch.column(3).to_numpy()[at] >> 32).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 int64(key), int64(bits[at]), packed(mark, np.zeros(len(at), np.int32)), batch.column(0).take(pa.array(at)),
@@ -139,7 +162,9 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
         both = np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
         return (common_bits(a, b) * 2 >= both) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
 
-    found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio, SHARED), "candidates"), reps, ratio), "found")
+    # One list of twos is evidence enough.
+    shared = F.when(F.col("n") > K, 1).otherwise(SHARED)
+    found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio, shared), "candidates"), reps, ratio), "found")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     links = verified(found, texts, F.col("text"), lambda block: shingles(block, size), ratio)
     # Rows of one id are one node.

@@ -69,13 +69,14 @@ def signature(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int, int], shared: int = 1) -> DataFrame:
+def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int, int], shared: int | Column = 1) -> DataFrame:
     """Stars, pairs and equal units of all lists.
 
     ``near(a, b)`` and ``star(a, b)`` take two dicts of arrays (n, place, bits)
     and tell which pairs may reach the threshold or belong to one star.
     ``ratio`` bounds the sizes: ``ratio[1] * smaller >= ratio[0] * larger``.
-    Pairs outside stars have to meet in ``shared`` lists.
+    Pairs outside stars have to meet in ``shared`` lists, which may depend on
+    ``n``, the size of the later unit.
     """
 
     def lists(batches: Iterator[pa.RecordBatch]):

@@ -7,14 +7,16 @@ A set of more than ``k`` shingles lists its retained values by neighbouring
 twos, in hash order: one value of a frequent shingle is held by a share of all
 documents, two of them side by side by hardly any but near copies.  A smaller
 set lists its rarest values (by a count sketch), as many as any partner must
-share; sets that can link with both kinds list both.  The sketch of the union
-estimates the similarity of pairs, and the exact Jaccard of the whole sets
-decides.  Links are closed to components.
+share; sets that can link with both kinds list both.  Within a list, large sets are
+compared by two bits of the smallest value in each of 64 bins.  The sketch of
+the union estimates the similarity of pairs, and the exact Jaccard of the whole
+sets decides.  Links are closed to components.
 
 Of the ``k`` = 24 smallest values of the union of two sets at similarity 0.8
 each is shared with probability 0.8: no two side by side are shared with
-probability 2e-7, fewer than ``least`` = 8 with 2e-7.  Pairs with a set of at
-most ``k`` shingles are compared without that risk.
+probability 2e-7, fewer than ``least`` = 8 with 2e-7.  A bin agrees with
+probability 0.85, fewer than 38 of 64 do with 2e-7.  Pairs with a set of at most
+``k`` shingles are compared without that risk.
 
 Defined results: null, empty and wordless texts have no set and stand alone; a
 text with fewer words than a shingle is one shingle of all its words; a null id
@@ -35,10 +37,13 @@ from muster.llm.storage import stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
 K, LEAST = 24, 8
+#: Bins of 64 that agree at least.
+AGREE = 38
 #: Listed single values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
 SHARED = 2
 BINS = 1 << 16
-SKETCHES = "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>"
+LISTED = f"{ROWS}, more_bits long"
+SKETCHES = "doc_id long, n_shingles long, print_a long, print_b long, minima long, minima_too long, sketch array<long>"
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +56,15 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(words.row[at], short), np.append(key, mix(span_hashes(words.hash, first, first + count[short]) + count[short].astype(U64)))
 
 
+def bin_minima(row: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two bits of the smallest value in each of 64 bins, 0 where a bin is empty; values sorted by row."""
+    drawn = mix(value ^ U64(0x2545F4914F6CDD1D))
+    bits = np.zeros(n * 64, np.uint8)
+    # The last of several writes to a place holds, and that is the smallest value.
+    bits[(row * 64 + (drawn >> U64(58)).astype(np.int64))[::-1]] = (drawn & U64(3)).astype(np.uint8)[::-1]
+    return [np.packbits(bits & 1).view(U64), np.packbits(bits >> 1).view(U64)]
+
+
 def sketches(documents: DataFrame, size: int = 2, k: int = K) -> DataFrame:
     """Size, fingerprint and bottom-k sketch of every document's set."""
 
@@ -64,7 +78,7 @@ def sketches(documents: DataFrame, size: int = 2, k: int = K) -> DataFrame:
                 offsets = np.append(0, np.cumsum(np.minimum(count, k))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(block.first, block.n), int64(count), int64(row_sums(row, mix(value), block.n)),
-                    int64(row_sums(row, mix(value * U64(3)), block.n)), pa.ListArray.from_arrays(pa.array(offsets), int64(value[low]))],
+                    int64(row_sums(row, mix(value * U64(3)), block.n)), *map(int64, bin_minima(row, value, block.n)), pa.ListArray.from_arrays(pa.array(offsets), int64(value[low]))],
                     names=[f.split()[0] for f in SKETCHES.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCHES)
@@ -113,17 +127,19 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K) -> DataFr
             chosen = order[rank < (kept - need + SHARED)[row]]
             all_row, _, all_value = _flat(batch.column(2))
             bits = signature(all_row, all_value, len(n))
+            bits = np.append(bits[row[chosen]], batch.column(4).to_numpy().view(U64)[of])
+            too = np.append(np.zeros(len(chosen), U64), batch.column(5).to_numpy().view(U64)[of])
             row, value = np.append(row[chosen], of), np.append(value[chosen], key)
             expected = np.maximum(1, sent.value[counter.bin_of(value)] - usual)
             at, key = dealt(value, expected, row.astype(U64) + U64(1))
-            at = row[at]
+            bits, too, at = bits[at], too[at], row[at]
             mark = (batch.column(3).to_numpy()[at] >> 32).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                int64(key), int64(bits[at]), packed(mark, np.zeros(len(at), np.int32)), batch.column(0).take(pa.array(at)),
-                packed(n[at], kept[at])],
-                names=[f.split()[0] for f in ROWS.split(", ")])
+                int64(key), int64(bits), packed(mark, np.zeros(len(at), np.int32)), batch.column(0).take(pa.array(at)),
+                packed(n[at], kept[at]), int64(too)],
+                names=[f.split()[0] for f in LISTED.split(", ")])
 
-    return reps.select("doc_id", "n_shingles", "sketch", "print_a").mapInArrow(run, ROWS)
+    return reps.select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too").mapInArrow(run, LISTED)
 
 
 def estimated(found: DataFrame, reps: DataFrame, ratio: tuple[int, int], k: int = K, least: int = LEAST) -> DataFrame:
@@ -145,22 +161,28 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
     same = ["n_shingles", "print_a", "print_b"]
     classes = stored(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     # The first document of a class carries its sketch on.
-    reps = stored(sets.join(classes, same).filter("doc_id = rep").dropDuplicates(["doc_id", *same]).select("doc_id", "n_shingles", "sketch", "print_a"), "reps")
+    reps = stored(sets.join(classes, same).filter("doc_id = rep").dropDuplicates(["doc_id", *same]).select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too"), "reps")
 
-    def common_bits(a: dict, b: dict) -> np.ndarray:
-        return bit_counts(a["bits"] & b["bits"])
+    def agree(a: dict, b: dict) -> np.ndarray:
+        return 64 - bit_counts((a["bits"] ^ b["bits"]) | (a["more_bits"] ^ b["more_bits"])) >= AGREE
 
-    def near(a: dict, b: dict) -> np.ndarray:
+    def common(a: dict, b: dict) -> np.ndarray:
         # Values of one set that fall on the same bit may hide shared ones.
-        lost = np.minimum(a["place"] - bit_counts(a["bits"]), b["place"] - bit_counts(b["bits"]))
-        small = np.maximum(1, np.minimum(a["n"], b["n"]) * ratio[0] // ratio[1] - K * (ratio[1] - ratio[0]) // ratio[0])
-        need = np.minimum(LEAST, small)
-        fits = ratio[1] * np.minimum(a["n"], b["n"]).astype(np.int64) >= ratio[0] * np.maximum(a["n"], b["n"])
-        return fits & (common_bits(a, b) >= need - lost)
+        return bit_counts(a["bits"] & b["bits"]) + np.minimum(a["place"] - bit_counts(a["bits"]), b["place"] - bit_counts(b["bits"]))
+
+    def large(a: dict, b: dict) -> np.ndarray:
+        """Both are in lists of twos, with bin minima as their bits."""
+        return np.minimum(a["n"], b["n"]) > K
+
+    def near(a: dict, b: dict) -> np.ndarray:
+        fewer = np.minimum(a["n"], b["n"]).astype(np.int64)
+        need = np.clip(fewer * ratio[0] // ratio[1] - K * (ratio[1] - ratio[0]) // ratio[0], 1, LEAST)
+        fits = ratio[1] * fewer >= ratio[0] * np.maximum(a["n"], b["n"])
+        return fits & np.where(large(a, b), agree(a, b), common(a, b) >= need)
 
     def star(a: dict, b: dict) -> np.ndarray:
-        both = np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
-        return (common_bits(a, b) * 2 >= both) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
+        alike = bit_counts(a["bits"] & b["bits"]) * 2 >= np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
+        return np.where(large(a, b), agree(a, b), alike) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
 
     # One list of twos is evidence enough.
     shared = F.when(F.col("n") > K, 1).otherwise(SHARED)

@@ -73,7 +73,8 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
     """Stars, pairs and equal units of all lists.
 
     ``near(a, b)`` and ``star(a, b)`` take two dicts of arrays (n, place, bits)
-    and tell which pairs may reach the threshold or belong to one star.
+    and tell which pairs may reach the threshold or belong to one star; ``rows``
+    may have a column ``more_bits`` for them.
     ``ratio`` bounds the sizes: ``ratio[1] * smaller >= ratio[0] * larger``.
     Pairs outside stars have to meet in ``shared`` lists, which may depend on
     ``n``, the size of the later unit.
@@ -84,7 +85,7 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         if not held:
             return
         table = pa.Table.from_batches(held)
-        c = {name: table.column(i).to_numpy() for i, name in enumerate(_names(ROWS))}
+        c = {name: table.column(i).to_numpy() for i, name in enumerate(table.column_names)}
         del held, table
         for pair in ("print_line", "n_place"):
             high, low = pair.split("_")
@@ -92,7 +93,7 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             del c[pair]
 
         def part(at: np.ndarray) -> dict:
-            return {k: c[k][at] for k in ("n", "place", "bits")}
+            return {k: c[k][at] for k in ("n", "place", "bits", "more_bits") if k in c}
 
         def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
             """``a`` the earlier unit; equal rows of several lists once."""

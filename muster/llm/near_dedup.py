@@ -9,12 +9,12 @@ documents, two of them side by side by hardly any but near copies.  A smaller
 set lists its rarest values (by a count sketch), as many as any partner must
 share; sets that can link with both kinds list both.  Within a list, large sets are
 compared by two bits of the smallest value in each of 64 bins.  The sketch of
-the union estimates the similarity of pairs, and the exact Jaccard of the whole
-sets decides.  Links are closed to components.
+the union, of 64 values, estimates the similarity of pairs, and the
+exact Jaccard of the whole sets decides.  Links are closed to components.
 
 Of the ``k`` = 24 smallest values of the union of two sets at similarity 0.8
 each is shared with probability 0.8: no two side by side are shared with
-probability 2e-7, fewer than ``least`` = 8 with 2e-7.  A bin agrees with
+probability 2e-7, fewer than 33 of the smallest 64 with 2e-7.  A bin agrees with
 probability 0.85, fewer than 38 of 64 do with 2e-7.  Pairs with a set of at most
 ``k`` shingles are compared without that risk.
 
@@ -37,6 +37,8 @@ from muster.llm.storage import stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
 K, LEAST = 24, 8
+#: Values kept for estimates, and how many of them two sets share at least.
+KEPT, ENOUGH = 64, 33
 #: Bins of 64 that agree at least.
 AGREE = 38
 #: Listed single values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
@@ -65,7 +67,7 @@ def bin_minima(row: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.packbits(bits & 1).view(U64), np.packbits(bits >> 1).view(U64)]
 
 
-def sketches(documents: DataFrame, size: int = 2, k: int = K) -> DataFrame:
+def sketches(documents: DataFrame, size: int = 2, k: int = KEPT) -> DataFrame:
     """Size, fingerprint and bottom-k sketch of every document's set."""
 
     def run(batches):
@@ -91,9 +93,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), column.flatten().to_numpy().view(U64)
 
 
+def _lowest(sketch: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of the ``k`` smallest values of every sketch."""
+    row, place, value = _flat(sketch)
+    return row[place < k], value[place < k]
+
+
 def _listed(n: np.ndarray, sketch: pa.Array, k: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and value of the single retained values that may be listed, row and key of the neighbouring twos."""
-    row, _, value = _flat(sketch)
+    row, value = _lowest(sketch, k)
     single = (n * ratio[0] <= k * ratio[1])[row]
     twice = np.flatnonzero((row[1:] == row[:-1]) & (n > k)[row[1:]])
     return row[single], value[single], row[twice], mix(value[twice] + mix(value[twice + 1]))
@@ -125,7 +133,7 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K) -> DataFr
             held = np.bincount(row, minlength=len(n))
             rank = np.arange(len(row)) - (np.cumsum(held) - held)[row]
             chosen = order[rank < (kept - need + SHARED)[row]]
-            all_row, _, all_value = _flat(batch.column(2))
+            all_row, all_value = _lowest(batch.column(2), k)
             bits = signature(all_row, all_value, len(n))
             bits = np.append(bits[row[chosen]], batch.column(4).to_numpy().view(U64)[of])
             too = np.append(np.zeros(len(chosen), U64), batch.column(5).to_numpy().view(U64)[of])
@@ -142,7 +150,7 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K) -> DataFr
     return reps.select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too").mapInArrow(run, LISTED)
 
 
-def estimated(found: DataFrame, reps: DataFrame, ratio: tuple[int, int], k: int = K, least: int = LEAST) -> DataFrame:
+def estimated(found: DataFrame, reps: DataFrame, ratio: tuple[int, int], k: int = KEPT, least: int = ENOUGH) -> DataFrame:
     """Pairs whose union sketch does not rule them out; stars stay whole."""
     own = reps.select("doc_id", "sketch", "n_shingles")
     pairs = found.filter(F.col("kind") == PAIR).join(own.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("_s"), F.col("n_shingles").alias("_n")), "doc").join(

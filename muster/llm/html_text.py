@@ -2,12 +2,13 @@
 
 A page becomes its sequence of leaf blocks: runs of text between block-level
 tags.  Every block is a vector: hashed tags, class and id words on its path,
-hashed words, and a few shares.  A bidirectional LSTM in numpy reads the whole
+hashed words (all of them), and a few shares.  A bidirectional LSTM in numpy reads the whole
 sequence and labels each block with the document as context, so the same
 paragraph counts as article text or as a reader's comment by where it stands.
 The labeller is trained on generated pages whose labels are known (layouts of
 menus, headers, notices, adverts, forms, sidebars, comments and footers around
-articles), with a fixed seed, on the driver: ``TRAIN_PAGES`` pages whatever the
+articles, two in five of them without any telling tag, class or id word; kinds
+draw their words from vocabularies of their own), with a fixed seed, on the driver: ``TRAIN_PAGES`` pages whatever the
 input.  Labelling runs in ``mapInArrow``; nothing is shuffled.
 
 Defined results: null and empty html give empty text; character references are
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_PAGES = 700
-PATH, WORDS, SHARES, HIDDEN = 128, 32, 10, 20
+PATH, WORDS, SHARES, HIDDEN = 128, 256, 10, 20
 CELLS = 1 << 15
-#: The labeller looks at so many words of a block; its text is kept whole.
-FIRST_WORDS = 8
+#: Share of the rate by which the weights of words shrink in a step of training.
+DECAY = 2.0
 #: Elements that end a block of text, by HTML's rules.
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td
@@ -160,39 +161,43 @@ def _path(path: tuple) -> tuple[np.ndarray, np.ndarray]:
     return _paths[path]
 
 
-_words: dict[str, tuple[int, float]] = {}
+class _Words(dict):
+    """Place of a word in the two halves (plus and minus) of a hashed vector, remembered; one place more for bare punctuation."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        bare = word.lower().strip(_edges)
+        self[word] = k = zlib.crc32(bare.encode("utf-8", "replace")) % (2 * WORDS) if bare else 2 * WORDS
+        return k
 
-def _word(word: str) -> tuple[int, float]:
-    if len(_words) > 200_000:
-        _words.clear()
-    k, sign = _slot(word.lower(), WORDS)
-    return _words.setdefault(word, (PATH + k, sign))
+
+_edges = ".,;:!?\"'()[]{}<>|/\\#$%&*+=~^_-–—•·…«»“”„"
+_words = _Words()
 
 
 def vectors(blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
     """One vector per block."""
     out = np.zeros((len(blocks), PATH + WORDS + SHARES), np.float32)
     last = max(1, len(blocks) - 1)
-    rows, places, values, shares, seen = [], [], [], [], _words
+    places, counts, shares = [], [], []
     for i, (path, text, linked) in enumerate(blocks):
         at, signs = _path(path)
         out[i, at] = signs
         words = text.split()
         n, m = len(words), len(text)
-        head = words[:FIRST_WORDS]
-        weight = 0.3 / len(head) ** 0.5
-        for w in head:
-            slot = seen.get(w) or _word(w)
-            rows.append(i)
-            places.append(slot[0])
-            values.append(slot[1] * weight)
+        places += map(_words.__getitem__, words)
+        counts.append(n)
         marks = text.count(".") + text.count(",") + text.count(";") + text.count(":") + text.count("!") + text.count("?")
         shares.append((
             log1p(n) / 4, min(1.0, linked / m), min(1.0, 10 * marks / m), m / n / 10, text[-1] in ".!?…\"'”", n <= 3,
             "©" in text or "opyright" in text, i / last, text[0].isupper(), 1.0))
     if blocks:
-        np.add.at(out, (rows, places), values)
+        n = np.array(counts)
+        size = 2 * WORDS + 1
+        held = np.bincount(np.repeat(np.arange(len(n)) * size, n) + places, minlength=len(n) * size).reshape(len(n), size)
+        held = (held[:, :WORDS] - held[:, WORDS:-1]).astype(np.float32)
+        out[:, PATH:PATH + WORDS] = held / np.maximum(1, np.sqrt((held * held).sum(1)))[:, None]
         out[:, PATH + WORDS:] = shares
     return out
 
@@ -259,7 +264,7 @@ class Labeller:
         return grad
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], *, epochs: int = 8, batch: int = 24, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam on log loss, batches of pages of like length."""
+        """Adam on log loss, batches of pages of like length, the rate falling to nothing."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -271,11 +276,14 @@ class Labeller:
                 x, mask = padded([pages[i][0] for i in groups[at]])
                 y = padded([pages[i][1][:, None] for i in groups[at]])[0][..., 0]
                 step += 1
+                now = rate * (1 - (step - 1) / (epochs * len(groups)))
                 for k, g in self.gradients(x, mask, y).items():
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
+                    self.p[k] = self.p[k] - now * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
+                    if k[0] == "W":  # words seen once are not learnt by heart
+                        self.p[k][PATH:PATH + WORDS] *= 1 - DECAY * now
 
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -298,15 +306,91 @@ KINDS = {
     "comments": ("comments comment replies discussion responses comment-list", "section"),
     "footer": ("footer site-footer copyright bottom legal colophon", "footer"),
 }
+#: Words that the generated texts of a kind draw from, by language; ``any`` and ``article`` serve articles, ``any`` serves all.
+VOCABULARY = {
+    "en": {
+        "any": "the of and to in a is that for it with as was on be at by this from are or an not you your all more we our can will have has",
+        "article": """year people government city water war president company market research study country president report history century team season
+            river house family school children doctor scientists court law police minister party election economy prices according said told described
+            found began became during after between several among across early later former local national public large small long new old north south""",
+        "menu": "home about news sports business politics world opinion archive shop blog gallery events products services support help faq contact language",
+        "header": "welcome official site online daily magazine your since edition today menu brand slogan the trusted source established",
+        "notice": """cookies cookie consent privacy policy accept agree settings preferences browser continue website experience personalise third-party
+            subscribe newsletter sign inbox unsubscribe javascript enable disclaimer notice gdpr data partners""",
+        "advert": """sponsored advertisement buy now save offer deal discount free shipping order today limited sale price click here shop cart guaranteed
+            best cheap off exclusive trial win promo coupon download casino loan insurance""",
+        "sidebar": "related popular trending latest recommended read also stories posts most viewed editors picks archives tags categories follow us next previous",
+        "form": "search email password username login register submit send name address forgot remember sign up reset enter required",
+        "comments": """comment comments reply posted ago says wrote thanks lol agree disagree great post author i think you're wrong guys report flag like upvote
+            anonymous guest commented thread moderator edited permalink awesome sharing my me""",
+        "footer": "copyright rights reserved terms privacy policy contact imprint sitemap powered cookies legal trademarks inc ltd conditions use accessibility careers",
+    },
+    "de": {
+        "any": "der die das und in zu den von mit ist auf für nicht ein eine sich des dem auch als es an werden aus bei wir sie ihre",
+        "article": "jahr menschen regierung stadt wasser krieg unternehmen forschung studie land geschichte jahrhundert fluss haus familie schule gericht gesetz polizei "
+                   "minister partei wahl wirtschaft sagte berichtete wurde während nach zwischen mehrere früher später",
+        "menu": "startseite über nachrichten sport wirtschaft politik meinung archiv laden hilfe kontakt produkte",
+        "header": "willkommen offizielle seite zeitung ausgabe heute seit",
+        "notice": "cookies einwilligung datenschutz akzeptieren zustimmen einstellungen browser webseite newsletter abonnieren abmelden hinweis partner",
+        "advert": "anzeige werbung kaufen jetzt sparen angebot rabatt gratis versand bestellen preis klicken günstig gutschein kredit versicherung",
+        "sidebar": "verwandte beliebt meistgelesen neueste empfohlen lesen artikel beiträge schlagworte kategorien folgen",
+        "form": "suche suchen passwort benutzername anmelden registrieren absenden name adresse vergessen",
+        "comments": "kommentar kommentare antworten schrieb danke finde meine ich du toll beitrag melden gast verfasst uhr",
+        "footer": "urheberrecht rechte vorbehalten impressum datenschutz agb kontakt nutzungsbedingungen gmbh barrierefreiheit",
+    },
+    "fr": {
+        "any": "le la les de des et un une en est que pour dans du au sur il pas par avec plus nous vous votre se sont",
+        "article": "année gens gouvernement ville eau guerre président entreprise recherche étude pays histoire siècle rivière maison famille école tribunal loi "
+                   "police ministre parti élection économie selon déclaré pendant après entre plusieurs",
+        "menu": "accueil actualités sport économie politique opinion archives boutique aide contact produits",
+        "header": "bienvenue site officiel journal édition depuis quotidien",
+        "notice": "cookies consentement confidentialité accepter paramètres navigateur site newsletter abonner désabonner avis partenaires",
+        "advert": "publicité sponsorisé acheter maintenant offre promotion réduction gratuit livraison commander prix cliquez crédit assurance",
+        "sidebar": "articles liés populaires récents recommandés lire aussi catégories étiquettes suivez",
+        "form": "recherche rechercher mot passe identifiant connexion inscription envoyer nom adresse oublié",
+        "comments": "commentaire commentaires répondre écrit merci je mon avis super signaler invité posté",
+        "footer": "droits réservés mentions légales conditions utilisation confidentialité contact plan accessibilité",
+    },
+    "es": {
+        "any": "el la los de y en un una que es por con para del se las al no su más lo como nos usted",
+        "article": "año gente gobierno ciudad agua guerra presidente empresa investigación estudio país historia siglo río casa familia escuela tribunal ley "
+                   "policía ministro partido elección economía según dijo durante después entre varios",
+        "menu": "inicio noticias deportes economía política opinión archivo tienda ayuda contacto productos",
+        "header": "bienvenidos sitio oficial diario edición desde",
+        "notice": "cookies consentimiento privacidad aceptar configuración navegador sitio boletín suscribirse aviso socios",
+        "advert": "publicidad patrocinado comprar ahora oferta descuento gratis envío pedir precio clic préstamo seguro",
+        "sidebar": "relacionados populares recientes recomendados leer también categorías etiquetas síguenos",
+        "form": "buscar contraseña usuario entrar registrarse enviar nombre dirección olvidó",
+        "comments": "comentario comentarios responder escribió gracias yo creo genial denunciar invitado publicado",
+        "footer": "derechos reservados aviso legal términos condiciones privacidad contacto mapa accesibilidad",
+    },
+}
+VOCABULARY = {lang: {kind: words.split() for kind, words in kinds.items()} for lang, kinds in VOCABULARY.items()}
 ARTICLES = "article content main post entry story article-body post-content entry-content page text"
 
 
-def made_page(rng: np.random.Generator) -> str:
-    """A page of a random layout; blocks that are not article text start with ``MARK``."""
+def made_page(rng: np.random.Generator, layout: str | None = None) -> str:
+    """A page of a random layout; blocks that are not article text start with ``MARK``.
+
+    A page is ``marked``; or ``plain``, without class or id words and telling
+    tags; or ``flat``, where moreover every kind is prose in paragraphs, so that
+    only words tell them apart.  Words come from ``VOCABULARY`` or, on some
+    marked pages, are random letters throughout.
+    """
     letters = "etaoinshrdlucmfwypvbgkéüñ"
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: rng.random() < p
-    word = lambda: "".join(letters[int(i)] for i in rng.integers(0, len(letters), int(rng.integers(2, 11))))
+    layout = layout or pick(["marked", "marked", "marked", "plain", "flat"])
+    plain = layout != "marked"
+    spoken = VOCABULARY[pick(["en", "en", *VOCABULARY])]
+    strange = rng.uniform(0, 0.3) if plain else 1 if chance(0.5) else rng.uniform(0, 0.9)
+    kind = "article"
+
+    def word() -> str:
+        if chance(strange):
+            return "".join(letters[int(i)] for i in rng.integers(0, len(letters), int(rng.integers(2, 11))))
+        r = rng.random()
+        return pick(spoken["any" if r < 0.45 else kind if r < 0.92 else "article" if r < 0.98 else pick(list(KINDS))])
 
     def sentence(lo: int, hi: int) -> str:
         return (" ".join(word() for _ in range(int(rng.integers(lo, hi))))).capitalize() + pick([".", ".", ".", "?", "!", ""])
@@ -316,6 +400,8 @@ def made_page(rng: np.random.Generator) -> str:
 
     def wrap(kind: str, inner: str) -> str:
         names, tag = KINDS[kind]
+        if plain:
+            return f"<div>{inner}</div>" if layout == "plain" else inner
         style = pick(["tag", "class", "id", "both"]) if kind not in ("notice", "advert") else pick(["class", "id"])
         name = pick(names.split())
         if style == "tag":
@@ -324,7 +410,17 @@ def made_page(rng: np.random.Generator) -> str:
             return f'<{tag} class="{name}">{inner}</{tag}>'
         return f'<{pick(["div", "div", "section"])} {style}="{name}">{inner}</div>'.replace("<section", "<div")
 
-    def junk(kind: str) -> str:
+    def junk(own: str) -> str:
+        nonlocal kind
+        kind, outer = own, kind
+        try:
+            return made_junk(kind)
+        finally:
+            kind = outer
+
+    def made_junk(kind: str) -> str:
+        if layout == "flat":
+            return "".join(f"<p>{MARK}{prose(int(rng.integers(1, 9)))}</p>" for _ in range(int(rng.integers(1, 4))))
         short = lambda: MARK + (word() if chance(0.6) else sentence(1, 5))
         if kind == "menu":
             items = [linked(short()) for _ in range(int(rng.integers(2, 9)))]
@@ -339,11 +435,11 @@ def made_page(rng: np.random.Generator) -> str:
                                              if chance(0.6) else "".join(f"<p>{MARK}{prose(int(rng.integers(1, 3)))}</p>" for _ in range(int(rng.integers(1, 4)))))
         elif kind == "form":
             inner = f'<label>{short()}</label><input name="q">' + (f"<select><option>{short()}<option>{short()}</select>" if chance(0.3) else "") + f"<button>{short()}</button>"
-            return f'<form class="{pick(KINDS["form"][0].split())}">{inner}</form>' if chance(0.5) else f"<form>{inner}</form>"
+            return f'<form class="{pick(KINDS["form"][0].split())}">{inner}</form>' if chance(0.5) and not plain else f"<form>{inner}</form>"
         elif kind == "comments":
             one = lambda: (f"<h4>{short()}</h4>" if chance(0.5) else "") + f"<p>{MARK}{prose(int(rng.integers(1, 5)))}</p>"
             inner = (f"<h3>{short()}</h3>" if chance(0.5) else "") + "".join(
-                f'<div class="comment">{one()}</div>' if chance(0.5) else one() for _ in range(int(rng.integers(1, 6))))
+                f'<div class="comment">{one()}</div>' if chance(0.5) and not plain else one() for _ in range(int(rng.integers(1, 6))))
         else:
             inner = MARK + pick(["&copy; ", "", "Copyright "]) + word() + pick([".example.com", ""]) + pick([" &middot; ", " | ", " "]) + prose(int(rng.integers(1, 3)))
             inner = inner if chance(0.6) else f"<p>{inner}</p>"
@@ -373,8 +469,11 @@ def made_page(rng: np.random.Generator) -> str:
                 out.append(junk(pick(["advert", "sidebar", "notice"])))
             else:
                 out.append(f"<p>{body}")
+        if layout == "flat":
+            out = [junk("advert") if chance(0.12) else f"<p>{prose(int(rng.integers(1, 9)))}</p>" for _ in range(max(1, count))]
+            return "".join(out)
         inner = "".join(out) or f"<p>{prose(2)}</p>"
-        style = rng.random()
+        style = 1 if plain else rng.random()
         if style < 0.45:
             return f"<article>{inner}</article>"
         if style < 0.6:
@@ -395,12 +494,12 @@ def made_page(rng: np.random.Generator) -> str:
     return page[:int(len(page) * rng.uniform(0.5, 1))] if chance(0.15) else page
 
 
-def made_examples(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def made_examples(n: int, seed: int, layout: str | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors and labels of generated pages."""
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(n):
-        blocks = leaves(made_page(rng))
+        blocks = leaves(made_page(rng, layout))
         y = np.array([MARK not in text for _, text, _ in blocks], np.float32)
         clean = [(path, text.replace(MARK, "").strip() or "x", linked) for path, text, linked in blocks]
         if blocks:

@@ -155,6 +155,16 @@ def test_main_text_of_pages(spark, sf_dir):
     assert html_text.extract(pages.limit(0), model).count() == 0
 
 
+def test_all_words_of_a_block_tell_its_kind():
+    one, other = (html_text.vectors([(("p",), "the same words stand first in both of these " + last, 0)]) for last in ("cookies", "history"))
+    assert (one != other).any()
+    model, right, total = html_text.trained(), 0, 0
+    for x, y in html_text.made_examples(100, 78, "flat"):
+        right += ((model.scores(*html_text.padded([x]))[0] > 0) == (y > 0)).sum()
+        total += len(y)
+    assert right / total > 0.9
+
+
 def stats_of(text):
     w, lines = split(text), (text or "").split("\n")
     grams = collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_PAGES = 700
-PATH, WORDS, SHARES, HIDDEN = 128, 256, 10, 20
+PATH, WORDS, SHARES, HIDDEN = 256, 256, 10, 20
 CELLS = 1 << 15
 #: Share of the rate by which the weights of words shrink in a step of training.
 DECAY = 2.0
@@ -101,7 +101,7 @@ class _Leaves(HTMLParser):
         tokens = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                tokens += [f".{w}" for w in _name.findall(value.lower())[:8]]
+                tokens += [f".{w}" for w in _name.findall(value.lower())]
             elif key == "hidden":
                 tokens.append(".hidden")
         self.stack.append((tag, tuple(tokens)))
@@ -152,11 +152,14 @@ _paths: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _path(path: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of all tokens of a path, remembered."""
+    """Places and sums of signs of all distinct tokens of a path, remembered."""
     if path not in _paths:
         if len(_paths) > 20_000:
             _paths.clear()
-        slots = dict(_slot(t, PATH) for t in path)
+        slots: dict[int, float] = {}
+        for t in dict.fromkeys(path):
+            k, sign = _slot(t, PATH)
+            slots[k] = slots.get(k, 0.0) + sign
         _paths[path] = np.fromiter(slots, np.int64, len(slots)), np.fromiter(slots.values(), np.float32, len(slots))
     return _paths[path]
 
@@ -366,6 +369,9 @@ VOCABULARY = {
     },
 }
 VOCABULARY = {lang: {kind: words.split() for kind, words in kinds.items()} for lang, kinds in VOCABULARY.items()}
+#: Names of looks, which tell nothing of the kind of a block.
+LOOKS = """flex flex-col flex-row w-full h-full mt-4 mb-2 px-2 py-1 mx-auto text-sm text-lg font-bold bg-white border rounded shadow grid gap-4 col-6 row
+container wrapper block inline items-center justify-between max-w-4xl relative absolute z-10 p-4 m-0 leading-6 tracking-wide dark hover clearfix""".split()
 ARTICLES = "article content main post entry story article-body post-content entry-content page text"
 
 
@@ -482,6 +488,13 @@ def made_page(rng: np.random.Generator, layout: str | None = None) -> str:
             return f'<div {pick(["class", "id"])}="{pick(ARTICLES.split())}">{inner}</div>'
         return f"<div>{inner}</div>"
 
+    def styled(page: str) -> str:
+        """Names of looks around the telling names of a page, as utility style sheets have them."""
+        def more(m):
+            left, right = ([pick(LOOKS) for _ in range(int(rng.integers(0, 9)))] for _ in range(2))
+            return f'{m[1]}="{" ".join([*left, m[2], *right])}"'
+        return re.sub(r'\b(class|id)="([^"]*)"', more, re.sub(r"<(div|p|ul|li|h[1-4]|section|article)>", lambda m: f'<{m[1]} class="">' if chance(0.4) else m[0], page))
+
     some = lambda kinds, p: [junk(k) for k in kinds if chance(p)]
     top = some(["notice", "header", "menu", "form", "advert"], 0.45)
     if chance(0.5):
@@ -491,6 +504,7 @@ def made_page(rng: np.random.Generator, layout: str | None = None) -> str:
     middle = [junk("sidebar")] if chance(0.15) else []
     end = [junk("footer")] if chance(0.85) else []
     page = "<html><head><title>x</title></head><body>" + "".join([*top, *middle, article(), *bottom, *end]) + "</body></html>"
+    page = styled(page) if chance(0.25) else page
     return page[:int(len(page) * rng.uniform(0.5, 1))] if chance(0.15) else page
 
 

@@ -165,6 +165,14 @@ def test_all_words_of_a_block_tell_its_kind():
     assert right / total > 0.9
 
 
+def test_all_names_of_an_attribute_are_read():
+    looks = "flex flex-col w-full mt-4 px-2 text-sm bg-white rounded grid gap-4"
+    (path, text, _), = html_text.leaves(f'<div class="{looks} comments">x</div>')
+    assert ".comments" in path and text == "x"
+    plain, marked = (html_text.vectors(html_text.leaves(f'<div class="{looks} {name}">x</div>')) for name in ("", "comments"))
+    assert (plain != marked).any()
+
+
 def stats_of(text):
     w, lines = split(text), (text or "").split("\n")
     grams = collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))

@@ -11,7 +11,9 @@ row per group of a stream.
 Defined results: null and empty texts have no tokens; ids after the last
 separator of a stream are an unfinished document (``complete`` false, no
 ``doc_id``); a stream without separators is one; an empty table gives no rows;
-repeated documents are counted one by one.
+repeated documents are counted one by one; a text that itself encodes to the
+separator's id has ``STAND_IN`` in those places, so that in a stream the
+separator only ever ends a document, and such an id counts as a token.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from muster.llm.words import blocks
 
 BLOCK_IDS = 1 << 16
 GROUP = 1024
+#: Stands for the separator's id inside a text; no vocabulary has so large an id.
+STAND_IN = (1 << 32) - 1
 STREAM = "stream long, block long, ids binary, doc_ids array<long>"
 SCAN = "stream long, block long, n long, first long, last long, lengths array<long>, doc_ids array<long>"
 
@@ -38,6 +42,9 @@ def write_streams(documents: DataFrame, vocabulary: str, separator: int, *, bloc
     where they end.
     """
 
+    if separator == STAND_IN:
+        raise ValueError("this id stands for the separator inside texts")
+
     def run(batches):
         encode, stream, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
         pending, names, held = [], [], 0
@@ -61,6 +68,7 @@ def write_streams(documents: DataFrame, vocabulary: str, separator: int, *, bloc
         for batch in batches:
             for block in blocks(batch.column(1)):
                 ids, counts = encode.encode(block)
+                ids = np.where(ids == separator, np.uint32(STAND_IN), ids)
                 pending.append(np.insert(ids, np.cumsum(counts), separator).astype("<u4"))
                 names += batch.column(0).slice(block.first, block.n).to_pylist()
                 held += len(pending[-1])

@@ -343,3 +343,14 @@ def test_token_counts(spark, docs, none):
     assert rows_of(token_counts.count_tokens(open_end, 9), "doc_id", "n_tokens", "complete") == [(None, 3, False), (1, 1, True)]
     assert token_counts.count_tokens(token_counts.write_streams(none, vocabulary(), END_OF_TEXT), END_OF_TEXT).count() == 0
     assert stored(none).columns == none.columns
+
+
+def test_texts_that_hold_the_separator_are_counted(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(vocabulary())
+    texts = [(1, "one two"), (2, "it's <|endoftext|> here<|endoftext|>"), (3, "<|endoftext|>"), (4, ""), (5, "three"), (6, "<|ENDOFTEXT|> x")]
+    expected = [(i, len(tokenizer.encode(t, add_special_tokens=False).ids), True) for i, t in texts]
+    assert END_OF_TEXT in tokenizer.encode(texts[1][1], add_special_tokens=False).ids
+    for block in (token_counts.BLOCK_IDS, 3):
+        streams = token_counts.write_streams(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), vocabulary(), END_OF_TEXT, block_ids=block)
+        assert rows_of(token_counts.count_tokens(streams, END_OF_TEXT), "doc_id", "n_tokens", "complete") == expected

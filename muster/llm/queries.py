@@ -79,7 +79,7 @@ def _sql_string(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({_sql_string(k)}, {_sql_string(v)})" for k, v in sorted(licenses.TEMPLATES.items()))
+_TEMPLATES = ", ".join(f"({_sql_string(k)}, {_sql_string(v)})" for k, v in licenses.pairs_of(licenses.TEMPLATES))
 _UNIT_WORDS = "string_split(trim(regexp_replace(" + _LOW.format("{}") + ", '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 

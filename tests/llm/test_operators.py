@@ -140,6 +140,18 @@ def test_licences(spark, docs, none):
         licenses.scan(docs, {"x": "word"})
 
 
+def test_full_texts_headers_and_spdx_lines_are_licences(spark):
+    from importlib import resources
+    full = {f.name[:-4]: f.read_text() for f in resources.files("muster.llm").joinpath("licence_texts").iterdir()}
+    lines = {"MIT": "# SPDX-License-Identifier: MIT", "AGPL-3.0": "// SPDX-License-Identifier: AGPL-3.0-or-later", "CC0-1.0": "/* SPDX-License-Identifier: CC0-1.0 */",
+             "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+                        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."}
+    named = [*((k, "Copyright (c) 2020 A. Person\n\n" + v) for k, v in full.items()), *((k, v) for k, v in lines.items())]
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(named)], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licenses.scan(texts).collect()} == {i: k for i, (k, _) in enumerate(named)}
+    assert {"MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"} <= set(full)
+
+
 def test_main_text_of_pages(spark, sf_dir):
     model = html_text.trained()
     held_out = html_text.made_examples(60, 77)

@@ -106,8 +106,7 @@ def src_multi_table(spark, sf):
             part = part if sheet == "s2" else part.drop("degree")
             sheets[file, sheet] = f"{path}/{file}/{sheet}"
             sk.write_csv(part, sheets[file, sheet])
-    # Sheet names are known; an empty sheet has no header to read.
-    return sr.read_sheets(spark, {k: v for k, v in sheets.items() if k[1] != "empty"})
+    return sr.read_sheets(spark, sheets)
 
 
 @query("src_single_sheet", with_ctes("SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(company, '') AS company FROM contacts WHERE source_sheet = 's1'", CONTACTS_SQL))

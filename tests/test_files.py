@@ -85,3 +85,11 @@ def test_files_are_read_by_their_own_headers(spark, tmp_path):
     for read in (sr.read_any_encoding, sr.read_sniffed):
         got = read(spark, str(tmp_path)).select("a", "b").collect()
         assert sorted((r.a, r.b or "") for r in got) == [("1", "2"), ("1", "2"), ("5", "")]
+
+
+def test_sheets_without_a_header_are_skipped(spark, tmp_path):
+    for name, text in (("full", "a,b\n1,2\n"), ("header", "a,c\n"), ("empty", "")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    out = sr.read_sheets(spark, {("f", n): str(tmp_path / f"{n}.csv") for n in ("empty", "full", "header")})
+    assert set(out.columns) == {"a", "b", "c", "_source_file", "_source_sheet_or_type"}
+    assert [(r.a, r.b, r._source_sheet_or_type) for r in out.collect()] == [("1", "2", "full")]

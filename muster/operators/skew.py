@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64
-SALTS = 32
+#: Shares per shuffle partition: a task's own keys and its shares then average out.
+SHARES_PER_PARTITION = 8
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -14,31 +14,43 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(counts: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys, at most ``limit`` of them.
+def share_count(df: DataFrame) -> int:
+    """Number of equal shares that all rows are thought of as cut into."""
+    return SHARES_PER_PARTITION * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Which keys are listed only routes rows; results never depend on it.
+
+def key_shares(counts: DataFrame, key: str, parts: int, count: str = "n") -> DataFrame:
+    """``(key, _shares)`` of every key with more than one part in ``parts`` of all counted rows.
+
+    A key gets as many shares as it has such parts, so a share never holds more
+    than ``1 / parts`` of the rows, however many keys are frequent.  At most
+    ``parts`` keys can pass the filter and their shares add up to at most
+    ``2 * parts``: that bounds both the list and the copies made of the other
+    side.  The list only routes rows; results never depend on it.
     """
-    return counts.orderBy(F.desc("n"), key).limit(limit).select(key, F.lit(True).alias("_hot"))
+    total = counts.agg(F.sum(count)).scalar()
+    filled = F.col(count).cast("double") * parts / total
+    return counts.filter(filled > 1).select(key, F.ceil(filled).cast("int").alias("_shares"))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, row_id: str = "row_id", how: str = "left",
-                salts: int = SALTS, counts: DataFrame | None = None) -> DataFrame:
-    """Join a large table to a keyed one, spreading frequent keys over tasks.
+                counts: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Join a large table to a keyed one, cutting frequent keys into shares in proportion to their rows.
 
-    Rows of the ``HOT_KEYS`` most frequent keys get a salt; the few matching
-    rows of ``table`` are repeated once per salt.  The list of hot keys has a
-    fixed maximum length, which is what makes broadcasting it safe.  Callers
+    Rows of a frequent key go to one of its shares by the hash of ``row_id``;
+    the few matching rows of ``table`` are repeated once per share.  Callers
     that already counted the keys pass ``counts(key, n)``.
     """
-    hot = F.broadcast(hot_keys(key_counts(df, key) if counts is None else counts, key))
+    counts = key_counts(df, key) if counts is None else counts
+    # At most ``parts`` keys by construction, which is what makes broadcasting them safe.
+    hot = F.broadcast(key_shares(counts, key, parts or share_count(df)))
     left = df.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+        "_salt", F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("_shares")).cast("int"))
         # Null matches nothing, so its rows may go anywhere.
         .when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 30)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    ).drop("_shares")
+    copies = F.when(F.col("_shares").isNotNull(), F.sequence(F.lit(0), F.col("_shares") - 1)).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_shares")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

@@ -84,6 +84,22 @@ def test_lookup_join_with_one_dominant_key(spark):
     assert out.groupBy("v").count().orderBy(F.asc_nulls_first("v")).collect()[1]["count"] == 2000
 
 
+def test_many_frequent_keys_are_cut_in_proportion(spark):
+    # 200 frequent keys with 100 rows each, one with 5,000, and 5,000 single ones.
+    df = spark.range(30_000).selectExpr("id AS row_id", "case when id < 20000 then concat('h', id % 200) when id < 25000 then 'top' else concat('k', id) end AS k")
+    counts = skew.key_counts(df, "k")
+    shares = {r["k"]: r["_shares"] for r in skew.key_shares(counts, "k", 1000).collect()}
+    assert len(shares) == 201 and {shares[k] for k in shares if k != "top"} == {4} and shares["top"] == 167
+    table = df.select("k").distinct().withColumn("v", F.concat(F.lit("v"), "k"))
+    out = skew.lookup_join(df, table, "k", counts=counts, parts=1000)
+    assert out.filter("v = concat('v', k)").count() == out.count() == 30_000
+    # The rows as the join deals them out: no task has more than twice the median.
+    left = df.join(F.broadcast(skew.key_shares(counts, "k", 1000)), "k", "left")
+    dealt = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("_shares")), F.lit(0))).repartition(16, "k", "_salt")
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+
+
 def test_allocation_has_no_window_over_all_rows(spark):
     df = spark.createDataFrame([(1, None), (2, 0)], "row_id bigint, owner int")
     plan = with_position(df)._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import decontaminate, html_text, licenses, line_dedup, near_dedup, packing, quality, shards, substring_dedup, token_counts
+from muster.llm import (decontaminate, fill_middle, html_text, licenses, line_dedup, near_dedup, packing, quality, shards, spelling,
+                        substring_dedup, token_counts, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +171,67 @@ def _op9(spark, sf_dir):
 def _op10(spark, sf_dir):
     streams = token_counts.write_streams(table(spark, sf_dir, "documents"), vocabulary(), END_OF_TEXT)
     return token_counts.count_tokens(streams, END_OF_TEXT)
+
+
+#: Rules of the URL filter's query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query("op11_url_filter", f"""
+with r(host, path, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
+p as (select row_number() over () id, page_id, coalesce({_LOW.format("regexp_extract(url, '://([^/?#]*)([^?#]*)', 1)")}, '') host,
+  coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') path from pages),
+fit as (select id, r.host || r.path rule, verdict, row_number() over (partition by id order by length(r.host || r.path) desc) k
+  from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from p left join fit on p.id = fit.id and k = 1
+""")
+def _op11(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_of(spark, URL_RULES)).drop("url")
+
+
+def _hex_group(k: int) -> str:
+    return f"('0x' || substr(h, {8 * k + 1}, 8))::bigint"
+
+
+@query("op12_fill_in_middle", f"""
+with t as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h from documents),
+l as (select *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') l from t),
+c as (select *, len(l) n, {_hex_group(0)} % (len(l) + 1) a, {_hex_group(1)} % (len(l) + 1) b, {_hex_group(2)} h3, {_hex_group(3)} h4 from l),
+f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+    when h4 % 100 < 50 then 'spm' else 'psm' end form,
+  array_to_string(l[1:least(a, b)], '') p, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') m, array_to_string(l[greatest(a, b) + 1:n], '') s from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars,
+  case when form <> 'plain' then length(m) end::bigint middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256 from f
+""")
+def _op12(spark, sf_dir):
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_groups", f"""
+with recursive tab as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b::ubigint, range(8)::ubigint[]),
+    lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) tab),
+r as (select doc_id, unnest(regexp_extract_all({_LOW.format('text')}, '[A-Za-zÀ-ÿ]{{7,}}')) run from documents),
+k as (select run, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) x from r),
+b as (select run, list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, i::bigint + 1, 2))::ubigint) bytes from k),
+h as (select run, xor(list_reduce(list_prepend(4294967295::ubigint, bytes), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255)::bigint + 1])), 4294967295::ubigint)::bigint h
+  from b, tab),
+d as (select case when h % 31 = 0 then substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) else run end word from h),
+w as materialized (select word, count(*)::bigint n from d where len(word) >= 7 group by word having count(*) >= 2),
+cut as materialized (select word, n, unnest(range(1, len(word) + 1)) i, unnest(list_transform(range(1, len(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) rest from w),
+shorter as (select distinct word, rest from cut),
+near as (select a.word, b.word other, b.n from cut a join cut b using (i, rest) where a.word <> b.word
+  union all select s.word, w.word, w.n from shorter s join w on w.word = s.rest
+  union all select w.word, s.word, v.n from shorter s join w on w.word = s.rest join w v on v.word = s.word),
+g as (select word, count(*) n_near, min((-n, other)) best from near group by word),
+j as materialized (select w.word, w.n, coalesce(n_near, 0) n_near, case when -best[1] >= 10 * w.n then best[2] end form,
+  case when -best[1] >= 10 * w.n then -best[1] end form_n from w left join g using (word)),
+chain as (select word, form last from j where form is not null union all select chain.word, j.form from chain join j on j.word = chain.last where j.form is not null),
+ends as (select chain.word, last from chain join j on j.word = chain.last where j.form is null)
+select j.word, form, coalesce(last, j.word) root, n, n_near::bigint n_near, form_n::bigint form_n from j left join ends on ends.word = j.word
+""")
+def _op13(spark, sf_dir):
+    return spelling.spelling_groups(spelling.counted_words(table(spark, sf_dir, "documents")))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brute import SCORES, lcs
 from muster.functions import similarity as sim
@@ -60,15 +61,56 @@ def test_best_match_equals_full_comparison(spark, scorer, threshold):
     assert {r["key"]: (r["match"], r["pos"]) for r in got.collect()} == expected
 
 
-def test_best_match_at_any_score(spark):
-    left, right = names(21, 25) + ["qqq"], names(22, 40)
+@pytest.mark.parametrize("scorer", ["token_set", "ratio", "token_sort", "partial"])
+def test_best_match_at_any_score(spark, scorer):
+    left, right = names(21, 25) + ["qqq", "q x", "", "zz 99 nord"], names(22, 40) + [""]
     got = fuzzy_join.best_match_any(
         spark.createDataFrame([(a,) for a in left], "key string"),
-        spark.createDataFrame([(b, i) for i, b in enumerate(right)], "key string, pos bigint"),
+        spark.createDataFrame([(b, i) for i, b in enumerate(right)], "key string, pos bigint"), scorer,
     )
-    score = SCORES["token_set"]
-    expected = {a: right[max(range(len(right)), key=lambda i: (score(a, right[i]), -i))] for a in left}
-    assert {r["key"]: r["match"] for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    score = SCORES[scorer]
+    expected = {a: max(((score(a, b), -i, b) for i, b in enumerate(right) if b)) for a in left if a}
+    assert {r["key"]: (pytest.approx(r["score"]), -r["pos"], r["match"]) for r in got.collect()} == expected
+
+
+def test_best_match_at_any_score_without_right_keys(spark):
+    left, none = spark.createDataFrame([("a",)], "key string"), spark.createDataFrame([], "key string, pos bigint")
+    assert fuzzy_join.best_match_any(left, none).collect() == []
+    assert fuzzy_join.best_match_any(none.select("key"), left.selectExpr("key", "1L pos")).collect() == []
+
+
+def test_bounds_leave_few_pairs(spark):
+    left, right = names(51, 700, [f"{a}{b}" for a in WORDS for b in WORDS]), names(52, 700, [f"{a}{b}" for a in WORDS for b in WORDS])
+    keys = spark.createDataFrame([(0, a, 0, 0.62, 0) for a in left] + [(1, a, i, None, None) for i, a in enumerate(right)],
+                                 "side int, key string, pos bigint, t double, band int")
+    found = {(r.lkey, r.rkey) for r in fuzzy_join._loose_pairs(keys, "ratio", [0.6]).collect()}
+    wanted = {(a, b) for a in left for b in right if SCORES["ratio"](a, b) >= 62}
+    assert wanted <= found and len(found) < 0.35 * len(left) * len(right)
+
+
+def test_a_feature_that_all_keys_hold_is_dealt_to_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_join, "SHARE", 500)
+    one = spark.range(2000).selectExpr("0 band", "concat('k', id) key", "cast(5 + id % 30 as int) n", "0.8D t", "'f' f", "4000L df")
+    side = lambda p: one.select("band", "f", "df", *[F.col(c).alias(p + c) for c in ("key", "n", "t")])
+    met = fuzzy_join._meet(side("l"), side("r"))
+    # 8 rows and columns: no cell has more than its share of either side.
+    cells = met.groupBy("across", "down").agg(F.countDistinct("lkey").alias("l"), F.countDistinct("rkey").alias("r")).collect()
+    assert len(cells) == 64 and max(max(c.l, c.r) for c in cells) <= 500
+    assert met.count() == 4_000_000 and met.groupBy("lkey").count().agg(F.max("count")).first()[0] == 2000
+    near = fuzzy_join._meet(side("l"), side("r"), by_length=True)
+    close = "2 * least(ln, rn) >= 0.8 * (ln + rn)"
+    assert near.count() < 0.75 * met.count()
+    assert near.filter(close).count() == met.filter(close).count()
+
+
+def test_a_token_that_all_keys_hold_meets_its_single_key(spark):
+    many = spark.range(3000).selectExpr("concat('bank w', id) key", "id + 1 pos").unionAll(spark.createDataFrame([("bank", 0)], "key string, pos bigint"))
+    pairs = fuzzy_join.similar_pairs(many.filter("pos < 40"), "token_set", 100).collect()
+    assert {(r.lkey, r.rkey) for r in pairs} == {("bank", f"bank w{i}") for i in range(39)}
+    best = fuzzy_join.best_match(many.select("key"), many.filter("pos = 0"), "token_set", 100)
+    assert best.count() == 3001
 
 
 def test_pairs_and_merge_follow_the_last_pair(spark):

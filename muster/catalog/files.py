@@ -65,14 +65,19 @@ def src_encoding_fallback(spark, sf):
 @query(
     "src_bad_lines",
     with_ctes(
-        "SELECT 'good' AS part, row_id || '|' || name AS line FROM companies_wide WHERE row_id % 10 <> 0 UNION ALL SELECT 'bad' AS part, row_id || ',' || name || ',extra' AS line FROM companies_wide WHERE row_id % 10 = 0",
+        """SELECT 'good' AS part, row_id || '|' || CASE WHEN row_id % 7 = 0 THEN name || chr(10) || 'a, "b"' ELSE name END AS line FROM companies_wide WHERE row_id % 10 <> 0
+        UNION ALL SELECT 'bad' AS part, row_id || ',' || CASE WHEN row_id % 7 = 0 THEN '"' || name || chr(10) || 'a, ""b"""' ELSE name END || ',extra' AS line
+        FROM companies_wide WHERE row_id % 10 = 0""",
         COMPANIES_WIDE_SQL,
     ),
 )
 def src_bad_lines(spark, sf):
+    """Every tenth row has a field too many, every seventh a line break in quotes."""
     path = scratch_path(spark, "bad")
     extra = F.when(F.col("row_id") % 10 == 0, F.lit(",extra")).otherwise(F.lit(""))
-    rel.companies_wide(spark, sf).select(F.concat(F.col("row_id").cast("string"), F.lit(","), "name", extra)).write.text(path)
+    quoted = F.concat(F.lit('"'), "name", F.lit('\na, ""b"""'))
+    cell = F.when(F.col("row_id") % 7 == 0, quoted).otherwise(F.col("name"))
+    rel.companies_wide(spark, sf).select(F.concat(F.col("row_id").cast("string"), F.lit(","), cell, extra)).write.text(path)
     good, bad = sr.split_bad_lines(spark, path, ["row_id", "name"], header=False)
     return good.select(F.lit("good").alias("part"), F.concat_ws("|", "row_id", "name").alias("line")).unionByName(
         bad.select(F.lit("bad").alias("part"), "line")
@@ -91,7 +96,7 @@ def src_delimiter_sniff(spark, sf):
 @query(
     "src_multi_table",
     with_ctes(
-        "SELECT source_file AS _source_file, source_sheet AS _source_sheet_or_type, CAST(row_id AS VARCHAR) AS row_id, coalesce(company, '') AS company, CASE WHEN source_sheet = 's2' THEN degree END AS degree FROM contacts",
+        "SELECT source_file AS _source_file, source_sheet AS _source_sheet_or_type, source_file AS _source_workbook, CAST(row_id AS VARCHAR) AS row_id, coalesce(company, '') AS company, CASE WHEN source_sheet = 's2' THEN degree END AS degree FROM contacts",
         CONTACTS_SQL,
     ),
 )
@@ -106,7 +111,7 @@ def src_multi_table(spark, sf):
             part = part if sheet == "s2" else part.drop("degree")
             sheets[file, sheet] = f"{path}/{file}/{sheet}"
             sk.write_csv(part, sheets[file, sheet])
-    return sr.read_sheets(spark, sheets)
+    return sr.read_sheets(spark, sheets, workbook=True)
 
 
 @query("src_single_sheet", with_ctes("SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(company, '') AS company FROM contacts WHERE source_sheet = 's1'", CONTACTS_SQL))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from muster.functions import text as tx
 from muster.operators.report import counts_by, values
 from muster.operators.schema import drop_helpers
+from muster.plans.storage import cut_lineage
 
 
 # White space is content; an absent value is an empty field.
@@ -70,17 +71,32 @@ def loose_name(c) -> Column:
 
 
 def sheet_names(names: DataFrame, name: str, pos: str, size: int = 31) -> DataFrame:
-    """``(name, sheet)``: at most ``size`` characters, repeats get a number.
+    """``(name, sheet)``: at most ``size`` characters, no two alike.
 
-    ``names`` holds distinct names; a repeat is one whose shortened form was
-    taken by an earlier name.
+    ``names`` holds distinct names.  Of names that shorten to the same text the
+    first keeps it and the others get a number.  Where a numbered text is
+    already another sheet, its name tries the next numbers, until none clashes:
+    a round settles at least one name of every clash, and the driver only learns
+    whether any are left.
     """
     short = F.substring(F.regexp_replace(F.col(name), r"[\[\]\:\*\?\/\\]", "_"), 1, size)
-    base = names.select(name, pos, F.when(short != "", short).otherwise("Sheet").alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_base").orderBy(pos)) - 1
+    base = F.when(short != "", short).otherwise("Sheet")
+    first = F.row_number().over(Window.partitionBy("_base").orderBy("_pos")) - 1
+    rows = names.select(F.col(name).alias("_name"), F.col(pos).alias("_pos"), base.alias("_base")).withColumn("_nth", first)
     suffix = F.concat(F.lit("_"), F.col("_nth").cast("string"))
     numbered = F.concat(F.substring(F.col("_base"), F.lit(1), F.lit(size) - F.char_length(suffix)), suffix)
-    return base.withColumn("_nth", nth).select(name, F.when(F.col("_nth") == 0, F.col("_base")).otherwise(numbered).alias("sheet"))
+    label = F.when(F.col("_nth") == 0, F.col("_base")).otherwise(numbered)
+    while True:
+        rows = rows.withColumn("_sheet", label)
+        # Plain texts stand; then those with the smaller number, then the earlier name.
+        place = F.row_number().over(Window.partitionBy("_sheet").orderBy("_nth", "_base", "_pos"))
+        judged = cut_lineage(rows.withColumn("_lost", place > 1))
+        if judged.filter("_lost").isEmpty():
+            return judged.select(F.col("_name").alias(name), F.col("_sheet").alias("sheet"))
+        # What lost tries numbers above all that its base has used, in order.
+        used = F.max("_nth").over(Window.partitionBy("_base"))
+        again = F.row_number().over(Window.partitionBy("_base", "_lost").orderBy("_pos"))
+        rows = judged.withColumn("_nth", F.when(F.col("_lost"), used + again).otherwise(F.col("_nth"))).drop("_lost", "_sheet")
 
 
 def file_label(base: str, member: Column, count: Column) -> Column:

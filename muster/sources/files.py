@@ -1,103 +1,82 @@
 """Reading differently shaped text exports.
 
-Nothing here needs a whole file in one task except rows whose quoted values
-span lines, which is how such files have to be read.
+Records are cut by ``records``, so large files are split even where quoted
+values hold line breaks, and any number of files makes one plan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from muster import fixed_values as fv
 from muster.functions import text as tx
-from muster.operators.schema import union_columns
+from muster.sources import records as rc
 
 PROVENANCE = ("_source_file", "_source_sheet_or_type")
+WORKBOOK = "_source_workbook"
 
 
-def read_typed(spark: SparkSession, path, schema: StructType | str | None = None, multi_line: bool = True, **options) -> DataFrame:
-    """CSV with a header; types are inferred unless a schema is given.
+#: Types a column may have, first one that all its values fit; patterns are what a cast alone would be too lenient about.
+TYPES = [
+    ("int", r"^\s*[-+]?\d+\s*$"), ("bigint", r"^\s*[-+]?\d+\s*$"), ("double", r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"),
+    ("date", r"^\d{4}-\d{2}-\d{2}$"), ("timestamp", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"), ("boolean", r"(?i)^(true|false)$"),
+]
 
-    ``multi_line=False`` lets Spark split large files that hold no line breaks
-    inside quotes.
-    """
-    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', **options)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
 
+def inferred_types(df: DataFrame) -> dict[str, str]:
+    """Type of every text column from all its non-blank values, in one pass."""
+    def fits(c: str, kind: str, pattern: str) -> Column:
+        value = F.col(f"`{c}`")
+        return F.coalesce(F.bool_and(F.when(value != "", value.rlike(pattern) & value.try_cast(kind).isNotNull())), F.lit(False))
 
-def read_text(spark: SparkSession, path, multi_line: bool = True, na_text: bool = False, **options) -> DataFrame:
-    """CSV with every column as text; blanks stay ``""``.
+    facts = df.agg(*[F.array(*[fits(c, *t) for t in TYPES]).alias(f"c{i}") for i, c in enumerate(df.columns)]).first() if df.columns else []
+    return {c: next((kind for (kind, _), good in zip(TYPES, row) if good), "string") for c, row in zip(df.columns, facts)}
 
-    With ``na_text`` the usual spellings of a missing value become null.
-    """
-    df = spark.read.options(header=True, inferSchema=False, multiLine=multi_line, escape='"', **options).csv(path)
-    if not na_text:
-        # The reader turns an empty field into null whatever its options say.
-        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*fv.NA_TEXT), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
+def read_typed(spark: SparkSession, path, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
+    """CSV with a header; types are inferred unless a schema is given. Blanks, and what its type cannot hold, are null."""
+    df = read_text(spark, path, sep=sep)
+    if schema is None:
+        types = inferred_types(df)
+    else:
+        fields = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+        types = {f.name: f.dataType.simpleString() for f in fields}
+    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).try_cast(kind).alias(c) for c, kind in types.items()])
 
-def file_encodings(spark: SparkSession, path) -> DataFrame:
-    """``(file, encoding)`` from the bytes of the lines, however large the file.
 
-    A byte order mark makes no difference: the line reader drops it.
+def read_text(spark: SparkSession, path, na_text: bool = False, sep: str = ",") -> DataFrame:
+    """CSV with every column as text, each file by its own header; blanks stay ``""``.
+
+    With ``na_text`` the usual spellings of a missing value become null.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    facts = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(raw.rlike("[\u0081\u008d\u008f\u0090\u009d]")).alias("undefined"),
-    )
-    name = F.when(F.col("utf8"), "utf-8")
-    return facts.select("file", name.when(F.col("undefined"), "latin1").otherwise("cp1252").alias("encoding"))
+    df = rc.read_files(rc.lines_of(spark, path), seps=[sep]).drop("_file")
+    if not na_text:
+        return df
+    return df.select(*[F.when(~F.col(f"`{c}`").isin("", *fv.NA_TEXT), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_by_header(spark: SparkSession, files: list[str], **options) -> DataFrame:
-    """Files read by their own headers: those with the same header in one scan, the rest aligned by name."""
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        headers.setdefault(tuple(read_text(spark, [file], **options).columns), []).append(file)
-    return union_columns([read_text(spark, same, **options) for _, same in sorted(headers.items())])
+def file_encodings(spark: SparkSession, path) -> DataFrame:
+    """``(file, encoding)`` from the bytes of the lines, however large the file."""
+    return rc.encoding_of(rc.lines_of(spark, path))
 
 
 def read_any_encoding(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
-    """Files of mixed encodings as one text table.
-
-    Windows files are read byte for byte and the 27 characters that differ from
-    Latin-1 are exchanged afterwards.
-    """
-    # One row per file: no more than the driver already lists to plan a scan.
-    groups: dict[str, list[str]] = {}
-    for row in file_encodings(spark, path).collect():
-        groups.setdefault(row["encoding"], []).append(unquote(row["file"]))
-    frames = []
-    for encoding, files in sorted(groups.items()):
-        charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-        df = read_by_header(spark, files, encoding=charset)
-        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-        if encoding == "cp1252":
-            odd = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
-            was, now = "".join(map(chr, odd)), bytes(odd).decode("cp1252")
-            df = df.select(*[F.translate(f"`{c}`", was, now).alias(c) for c in df.columns])
-        frames.append(df)
-    out = union_columns(frames)
+    """Files of mixed encodings as one text table, each by its own header."""
+    lines = rc.lines_of(spark, path)
+    out = rc.read_files(lines, rc.encoding_of(lines)).drop("_file")
     return out if columns is None else out.select(*columns)
 
 
 def split_bad_lines(spark: SparkSession, path, columns: list[str], header: bool = True, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """``(good, quarantine)``: rows of the expected shape, and raw bad lines."""
-    lines = spark.read.text(path)
+    """``(good, quarantine)``: rows of the expected shape, and raw bad records, whole even where a quoted value spans lines."""
+    records = rc.records_of(rc.lines_of(spark, path), [sep])
     if header:
-        lines = lines.filter(F.col("value") != sep.join(columns))
+        records = records.filter(F.col("value") != sep.join(columns))
     schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_bad"])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"', "sep": sep}
-    rows = lines.select(F.from_csv("value", schema, options).alias("row"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"', "sep": sep, "maxCharsPerColumn": "-1"}
+    rows = records.select(F.from_csv("value", schema, options).alias("row"))
     return rows.filter("row._bad IS NULL").select(*[f"row.`{c}`" for c in columns]), rows.filter("row._bad IS NOT NULL").select(
         F.col("row._bad").alias("line")
     )
@@ -106,37 +85,45 @@ def split_bad_lines(spark: SparkSession, path, columns: list[str], header: bool
 DELIMITERS = [",", ";", "\t"]
 
 
-def delimiters(spark: SparkSession, path, candidates: list[str] = DELIMITERS) -> DataFrame:
-    """``(file, delimiter)``: the candidate found equally often on most lines."""
+def _delimiter_of(lines: DataFrame, candidates: list[str]) -> DataFrame:
     entries = F.array(*[
         F.struct(F.lit(-i).alias("i"), F.lit(d).alias("delimiter"), F.regexp_count("value", F.lit(tx.literal(d))).alias("times"))
         for i, d in enumerate(candidates)
     ])
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.inline(entries))
-    shares = lines.groupBy("file", "i", "delimiter", "times").agg(F.count(F.lit(1)).alias("n"))
+    shares = lines.select("file", F.inline(entries)).groupBy("file", "i", "delimiter", "times").agg(F.count(F.lit(1)).alias("n"))
     # A file without any candidate has one column; the first one does for it.
     return shares.groupBy("file").agg(F.max_by("delimiter", F.struct(F.col("times") > 0, "n", "times", "i")).alias("delimiter"))
 
 
-def read_sniffed(spark: SparkSession, path) -> DataFrame:
-    """Files of different delimiters as one text table."""
-    groups: dict[str, list[str]] = {}
-    for row in delimiters(spark, path).collect():
-        groups.setdefault(row["delimiter"], []).append(unquote(row["file"]))
-    return union_columns([read_by_header(spark, files, sep=d) for d, files in sorted(groups.items())])
+def delimiters(spark: SparkSession, path, candidates: list[str] = DELIMITERS) -> DataFrame:
+    """``(file, delimiter)``: the candidate found equally often on most lines."""
+    return _delimiter_of(rc.lines_of(spark, path), candidates)
 
 
-def with_provenance(df: DataFrame, file: Column, sheet: Column) -> DataFrame:
-    return df.select(file.alias(PROVENANCE[0]), sheet.alias(PROVENANCE[1]), "*")
+def read_sniffed(spark: SparkSession, path) -> DataFrame:
+    """Files of different delimiters as one text table, each by its own header."""
+    lines = rc.lines_of(spark, path)
+    return rc.read_files(lines, _delimiter_of(lines, DELIMITERS), DELIMITERS).drop("_file")
 
 
-def read_sheets(spark: SparkSession, sheets: dict[tuple[str, str], str], read=read_text) -> DataFrame:
+def read_sheets(spark: SparkSession, sheets: dict[tuple[str, str], str], sep: str = ",", workbook: bool = False) -> DataFrame:
     """Several tables as one, tagged with file and sheet; empty ones add nothing.
 
-    ``sheets`` maps (file, sheet) to the folder or file holding that sheet.
+    ``sheets`` maps (file, sheet) to the folder or file holding that sheet.  All
+    are read by one scan, whose rows find their sheet by their file's path.
+    ``workbook`` adds the file once more as ``_source_workbook``.
     """
-    frames = [with_provenance(read(spark, path), F.lit(f), F.lit(s)) for (f, s), path in sheets.items()]
-    return union_columns(frames)
+    lines = rc.lines_of(spark, sorted(set(sheets.values())))
+    rows = rc.read_files(lines, seps=[sep])
+    tags = spark.createDataFrame([(path, f, s) for (f, s), path in sheets.items()], f"path string, {PROVENANCE[0]} string, {PROVENANCE[1]} string")
+    # Given paths are not percent-encoded as those of a scan are.
+    tags = tags.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?/*", "/"), "(?<=.)/+$", ""))
+    files = lines.select(F.col("file").alias("_file")).distinct()
+    either = files.select("_file", F.explode(F.array_distinct(F.array("_file", F.regexp_replace("_file", "/[^/]*$", "")))).alias("path"))
+    named = either.join(tags, "path").drop("path")
+    extra = [F.col(PROVENANCE[0]).alias(WORKBOOK)] if workbook else []
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != "_file"]
+    return rows.join(named, "_file").select(*PROVENANCE, *extra, *columns)
 
 
 def read_list(spark: SparkSession, path, out: str = "name") -> DataFrame:

@@ -66,7 +66,7 @@ def src_encoding_fallback(spark, sf):
     "src_bad_lines",
     with_ctes(
         """SELECT 'good' AS part, row_id || '|' || CASE WHEN row_id % 7 = 0 THEN name || chr(10) || 'a, "b"' ELSE name END AS line FROM companies_wide WHERE row_id % 10 <> 0
-        UNION ALL SELECT 'bad' AS part, row_id || ',' || CASE WHEN row_id % 7 = 0 THEN '"' || name || chr(10) || 'a, ""b"""' ELSE name END || ',extra' AS line
+        UNION ALL SELECT 'bad' AS part, row_id || ',' || CASE WHEN row_id % 7 = 0 THEN '"' || name || chr(10) || 'a, ""b""' || '"' ELSE name END || ',extra' AS line
         FROM companies_wide WHERE row_id % 10 = 0""",
         COMPANIES_WIDE_SQL,
     ),

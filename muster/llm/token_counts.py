@@ -27,8 +27,11 @@ from muster.llm.storage import stored
 from muster.llm.tokenize import encoder
 from muster.llm.words import blocks
 
-BLOCK_IDS = 1 << 16
-GROUP = 1024
+#: Ids of a block: 16 KB, so that a reader's batch of rows stays in bounds.
+BLOCK_IDS = 1 << 12
+GROUP = 4096
+#: Blocks handed on or looked at together.
+ROWS = 256
 #: Stands for the separator's id inside a text; no vocabulary has so large an id.
 STAND_IN = (1 << 32) - 1
 STREAM = "stream long, block long, ids binary, doc_ids array<long>"
@@ -53,13 +56,16 @@ def write_streams(documents: DataFrame, vocabulary: str, separator: int, *, bloc
             nonlocal pending, names, held, number
             line = np.concatenate(pending) if pending else np.zeros(0, "<u4")
             ends = iter(names)
-            out = []
-            while len(line) >= size and len(line):
-                part, line = line[:size], line[size:]
-                out.append((stream, number, part.tobytes(), [next(ends) for _ in range(int((part == separator).sum()))]))
-                number += 1
+            whole = len(line) // size * size if len(line) else 0
+            for lo in range(0, whole, size * ROWS):
+                out = []
+                for at in range(lo, min(lo + size * ROWS, whole), size):
+                    part = line[at:at + size]
+                    out.append((stream, number, part.tobytes(), [next(ends) for _ in range(int((part == separator).sum()))]))
+                    number += 1
+                yield batch_of(out)
+            line = line[whole:].copy()
             pending, names, held = [line], list(ends), len(line)
-            return out
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
@@ -73,11 +79,11 @@ def write_streams(documents: DataFrame, vocabulary: str, separator: int, *, bloc
                 names += batch.column(0).slice(block.first, block.n).to_pylist()
                 held += len(pending[-1])
                 if held >= block_ids:
-                    yield batch_of(flush(block_ids))
-        if held >= block_ids and (rows := flush(block_ids)):
-            yield batch_of(rows)
+                    yield from flush(block_ids)
+        # What is left is the last, shorter block; later steps need no table of pieces.
         if held:
-            yield batch_of(flush(held))
+            yield from flush(held)
+        encode.clear()
 
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stored(texts.mapInArrow(run, STREAM), "streams")
@@ -86,11 +92,16 @@ def write_streams(documents: DataFrame, vocabulary: str, separator: int, *, bloc
 def scan_blocks(streams: DataFrame, separator: int) -> DataFrame:
     """Per block: ids, first and last separator, lengths of the documents that end in it counted from the block's start."""
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield batch.slice(at, ROWS)
+
+    def run(batches):
+        for batch in parts(batches):
             columns = {c: [] for c in ("n", "first", "last", "lengths")}
-            for raw in batch.column(2).to_pylist():
-                ids = np.frombuffer(raw or b"", "<u4")
+            for raw in batch.column(2):
+                ids = np.frombuffer(raw.as_buffer(), "<u4") if raw.is_valid else np.zeros(0, "<u4")
                 at = np.flatnonzero(ids == separator)
                 columns["n"].append(len(ids))
                 columns["first"].append(int(at[0]) if len(at) else None)

@@ -11,7 +11,8 @@ most ``capacity`` numbers, whatever the size of the input:
 2. The program's solution is rounded down to whole sequences, never beyond
    what is there, fullest configurations first.
 3. The rest of the histogram goes best fit, longest first, into sequences
-   grouped by the space left.
+   grouped by the space left.  Best fit alone is tried as well, and the packing
+   with the fewest sequences counts.
 
 Pieces are then numbered inside their length (counts per hash bucket, prefix
 sums, ranks inside buckets), and a small table of rank ranges gives each its
@@ -111,24 +112,35 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
 
 
 def plan(histogram: dict[int, int], capacity: int, *, rounds: int = 400, step: float = 3.0) -> list[tuple[int, dict[int, int]]]:
-    """``(how many, {length: pieces})`` for all sequences of a packing."""
+    """``(how many, {length: pieces})`` for all sequences of a packing.
+
+    The program's solution is rounded in two ways (all configurations, or only
+    those that leave no more than a thousandth empty) and best fit completes
+    each; plain best fit is the third packing.  The shortest of them counts, the
+    program's own on a tie, so the program never costs a sequence.
+    """
     left = {l: n for l, n in histogram.items() if n > 0}
-    out: list[tuple[int, dict[int, int]]] = []
-    if capacity in left:
-        out.append((left.pop(capacity), {capacity: 1}))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[int(l)] for l in lengths], float)
-        used = fractional(lengths, counts, capacity, rounds, step)
-        fill = lambda c: sum(int(lengths[k]) * a for k, a in c)
-        for config, amount in sorted(used.items(), key=lambda x: (-fill(x[0]), x[0])):
-            parts = {int(lengths[k]): a for k, a in config}
-            times = min(int(amount + 1e-9), *(left[l] // a for l, a in parts.items()))
-            # A configuration that leaves space is only a start for best fit.
-            if times and fill(config) >= capacity * 0.999:
-                out.append((times, parts))
-                for l, a in parts.items():
-                    left[l] -= a * times
+    full = [(left.pop(capacity), {capacity: 1})] if capacity in left else []
+    if not left:
+        return full
+    lengths = np.array(sorted(left))
+    counts = np.array([left[int(l)] for l in lengths], float)
+    used = fractional(lengths, counts, capacity, rounds, step)
+    packings = [*(_rounded(used, lengths, left, capacity, least) for least in (0.999, 0.0)), _best_fit(left, capacity)]
+    return full + min(packings, key=lambda packing: sum(many for many, _ in packing))
+
+
+def _rounded(used: dict[tuple, float], lengths: np.ndarray, histogram: dict[int, int], capacity: int, least: float) -> list[tuple[int, dict[int, int]]]:
+    """Whole sequences of the configurations filled to ``least``, fullest first, and best fit for the rest."""
+    left, out = dict(histogram), []
+    fill = lambda c: sum(int(lengths[k]) * a for k, a in c)
+    for config, amount in sorted(used.items(), key=lambda x: (-fill(x[0]), x[0])):
+        parts = {int(lengths[k]): a for k, a in config}
+        times = min(int(amount + 1e-9), *(left[l] // a for l, a in parts.items()))
+        if times and fill(config) >= capacity * least:
+            out.append((times, parts))
+            for l, a in parts.items():
+                left[l] -= a * times
     return out + _best_fit({l: n for l, n in left.items() if n}, capacity)
 
 

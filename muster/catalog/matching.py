@@ -184,20 +184,22 @@ def _wanted_sql(name, values):
 def _flag_sql(col, wanted, threshold, out):
     return f"""
   {out}_k AS (SELECT DISTINCT {q.space_lower(col)} AS key FROM contacts),
-  {out}_x AS (SELECT key, {q.space_lower('name')} AS wkey FROM {out}_k, {wanted} WHERE key <> ''),
+  {out}_w AS (SELECT {q.space_lower('name')} AS wkey, min(pos) AS pos FROM {wanted} GROUP BY 1),
+  {out}_x AS (SELECT key, wkey, pos FROM {out}_k, {out}_w WHERE key <> ''),
   {q.token_set_ctes(out + '_x', 'key', 'wkey', out + '_s')},
-  {out} AS (SELECT key FROM {out}_s GROUP BY 1 HAVING floor(max(score)) >= {threshold})"""
+  {out} AS (SELECT key, wkey AS best, score, score >= {threshold} AS ok FROM {out}_s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, pos) = 1)"""
 
 
 DUAL_SQL = ",\n".join([
     _wanted_sql("wanted_titles", TITLE_PARTS), _wanted_sql("wanted_companies", fv.WANTED_COMPANIES),
     _flag_sql("title", "wanted_titles", 86, "good_titles"), _flag_sql("company", "wanted_companies", 90, "good_companies"),
-    f"""dual AS (SELECT *, {q.space_lower('title')} IN (SELECT key FROM good_titles) AS title_ok,
-      {q.space_lower('company')} IN (SELECT key FROM good_companies) AS company_ok FROM contacts)""",
+    f"""dual AS (SELECT c.*, coalesce(t.ok, false) AS title_ok, t.best AS best_title, coalesce(t.score, 0.0::DOUBLE) AS title_score,
+      coalesce(o.ok, false) AS company_ok, o.best AS best_company, coalesce(o.score, 0.0::DOUBLE) AS company_score
+      FROM contacts c LEFT JOIN good_titles t ON {q.space_lower('c.title')} = t.key LEFT JOIN good_companies o ON {q.space_lower('c.company')} = o.key)""",
 ])
 
 
-def dual(spark, sf):
+def dual(spark, sf, below=True):
     """Contacts flagged against the wanted titles and the wanted companies."""
     from muster.operators.dedupe import distinct_variants
 
@@ -207,17 +209,22 @@ def dual(spark, sf):
     )
     companies = rp.values(spark, list(enumerate(fv.WANTED_COMPANIES)), "pos", "name")
     df = rel.contacts(spark, sf).select("row_id", "title", "company")
-    return mt.with_list_scores(df, {"title_ok": ("title", titles, 86), "company_ok": ("company", companies, 90)})
+    return mt.with_list_scores(df, {"title_ok": ("title", titles, 86), "company_ok": ("company", companies, 90)}, below=below)
 
 
-@query("join_fuzzy_dual", with_ctes("SELECT row_id, title_ok, company_ok FROM dual", CONTACTS_SQL, DUAL_SQL))
+@query(
+    "join_fuzzy_dual",
+    with_ctes("SELECT row_id, title_ok, best_title, round_even(title_score, 6) AS title_score, company_ok, best_company, round_even(company_score, 6) AS company_score FROM dual", CONTACTS_SQL, DUAL_SQL),
+)
 def join_fuzzy_dual(spark, sf):
-    return dual(spark, sf).select("row_id", "title_ok", "company_ok")
+    return dual(spark, sf).select(
+        "row_id", "title_ok", F.col("title_ok_best").alias("best_title"), F.bround("title_ok_score", 6).alias("title_score"),
+        "company_ok", F.col("company_ok_best").alias("best_company"), F.bround("company_ok_score", 6).alias("company_score"))
 
 
 @query("flt_two_attr", with_ctes("SELECT row_id, title, company FROM dual WHERE title_ok AND company_ok", CONTACTS_SQL, DUAL_SQL))
 def flt_two_attr(spark, sf):
-    return dual(spark, sf).filter("title_ok AND company_ok").select("row_id", "title", "company")
+    return dual(spark, sf, below=False).filter("title_ok AND company_ok").select("row_id", "title", "company")
 
 
 # ------------------------------------------------------------- target cascade
@@ -417,8 +424,7 @@ def join_remainder(spark, sf):
     people = rel.contacts(spark, sf).filter(tx.strip("company") != "").select(
         "row_id", "company", cl.seniority_score(cl.canonical_seniority("seniority")).alias("points")
     )
-    chosen = sl.top_per_company(people, "company", "points")
-    return people.join(chosen.select("row_id"), "row_id", "left_anti").select("row_id", "company")
+    return sl.beyond_top(people, "company", "points").select("row_id", "company")
 
 
 # ------------------------------------------------------------------- clustering

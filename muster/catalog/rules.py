@@ -1,5 +1,8 @@
 """Queries over the row classifiers and row filters."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
@@ -220,11 +223,20 @@ FIX_SQL = f"""
         WHEN 'lastname_overwritten_from_email' THEN upper(tk[-1][1:1]) || tk[-1][2:] ELSE lc END AS last FROM ruled)"""
 
 
-@query("cls_fix_names", with_ctes("SELECT row_id, first, last, rule FROM fixed", CONTACTS_SQL, FIX_SQL))
+@query(
+    "cls_fix_names",
+    with_ctes(
+        """SELECT row_id, first, last, rule FROM fixed WHERE source_sheet <> 's2'
+        UNION ALL SELECT row_id, firstname AS first, '' AS last, 'missing_required_columns' AS rule FROM fixed WHERE source_sheet = 's2'""",
+        CONTACTS_SQL, FIX_SQL,
+    ),
+)
 def cls_fix_names(spark, sf):
-    return rel.contacts(spark, sf).select(
-        "row_id", cl.fixed_name("email", "firstname", "lastname").alias("v")
-    ).select("row_id", "v.first", "v.last", "v.rule")
+    """Contacts of two kinds of sheets; one kind has no last names."""
+    people = rel.contacts(spark, sf).select("row_id", "email", F.col("firstname").alias("First Name"), F.col("lastname").alias("last_name"), "source_sheet")
+    parts = [people.filter("source_sheet <> 's2'"), people.filter("source_sheet = 's2'").drop("last_name")]
+    return reduce(DataFrame.unionByName, [cl.with_fixed_names(part).select(
+        "row_id", F.col("firstname_fixed").alias("first"), F.col("lastname_fixed").alias("last"), F.col("name_fix_rule").alias("rule")) for part in parts])
 
 
 # --------------------------------------------------------------------- filters

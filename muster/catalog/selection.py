@@ -212,18 +212,20 @@ def set_union_all(spark, sf):
     return a.unionByName(b)
 
 
-UNION_SQL = """SELECT row_id, trim(company) AS name FROM contacts WHERE trim(coalesce(company, '')) <> ''
-  UNION ALL SELECT p_partkey + 10000000 AS row_id, upper(p_name) AS name FROM part
-  UNION ALL SELECT p_partkey + 20000000 AS row_id, p_name AS name FROM part"""
+UNION_SQL = """SELECT 0 AS source, row_id::BIGINT AS id, trim(company) AS name FROM contacts WHERE trim(coalesce(company, '')) <> ''
+  UNION ALL SELECT 1 AS source, p_partkey::BIGINT AS id, upper(p_name) AS name FROM part
+  UNION ALL SELECT 2 AS source, p_partkey::BIGINT AS id, p_name AS name FROM part"""
 
 
-@query("set_union_distinct", with_ctes(f"SELECT arg_min(name, row_id) AS name, min(row_id) AS row_id FROM ({UNION_SQL}) GROUP BY lower(name)", CONTACTS_SQL))
+@query("set_union_distinct", with_ctes(f"SELECT name, source, id FROM ({UNION_SQL}) QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY source, id) = 1", CONTACTS_SQL))
 def set_union_distinct(spark, sf):
+    """The first spelling of every name over three sources, in order of source and id."""
     part = rel.table(spark, sf, "part")
-    a = rel.contacts(spark, sf).select("row_id", F.col("company").alias("name"))
-    b = part.select((F.col("p_partkey") + 10000000).alias("row_id"), F.upper("p_name").alias("name"))
-    c = part.select((F.col("p_partkey") + 20000000).alias("row_id"), F.col("p_name").alias("name"))
-    return dd.distinct_names(a.unionByName(b).unionByName(c), "name")
+    place = lambda source, id: F.struct(F.lit(source).alias("source"), F.col(id).cast("bigint").alias("id")).alias("row_id")
+    a = rel.contacts(spark, sf).select(place(0, "row_id"), F.col("company").alias("name"))
+    b = part.select(place(1, "p_partkey"), F.upper("p_name").alias("name"))
+    c = part.select(place(2, "p_partkey"), F.col("p_name").alias("name"))
+    return dd.distinct_names(a.unionByName(b).unionByName(c), "name").select("name", "row_id.source", "row_id.id")
 
 
 @query(
@@ -235,8 +237,7 @@ def set_union_distinct(spark, sf):
 )
 def set_complement(spark, sf):
     vip = rel.contacts(spark, sf).filter(cl.vip_title("title"))
-    inside = vip.filter(cl.is_nc("location")).select("row_id", F.lit("North Carolina").alias("side"))
-    return inside.unionByName(vip.filter(~cl.is_nc("location")).select("row_id", F.lit("Other").alias("side")))
+    return vip.select("row_id", F.when(cl.is_nc("location"), "North Carolina").otherwise("Other").alias("side"))
 
 
 @query(

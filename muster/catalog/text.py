@@ -87,20 +87,21 @@ def nm_url(spark, sf):
 @query(
     "nm_variants",
     with_ctes(
-        """, parts AS (SELECT row_id, unnest(list_transform(string_split_regex(name, '[/–-]'), lambda t: trim(t))) AS part,
+        """, parts AS (SELECT source, row_id, unnest(list_transform(string_split_regex(name, '[/–-]'), lambda t: trim(t))) AS part,
             generate_subscripts(string_split_regex(name, '[/–-]'), 1) AS pos
-          FROM (SELECT row_id, company AS name FROM contacts WHERE company IS NOT NULL UNION ALL
-                SELECT p_partkey + 10000000 AS row_id, p_name || ' / ' || p_type || '-' || upper(p_name) AS name FROM part))
-        SELECT lower(part) AS key, arg_min(part, row_id * 100 + pos) AS variant FROM parts WHERE part <> '' GROUP BY 1""".lstrip(" ,"),
+          FROM (SELECT 0 AS source, row_id, company AS name FROM contacts WHERE company IS NOT NULL UNION ALL
+                SELECT 1 AS source, p_partkey AS row_id, p_name || ' / ' || p_type || '-' || upper(p_name) AS name FROM part))
+        SELECT lower(part) AS key, part AS variant FROM parts WHERE part <> '' QUALIFY row_number() OVER (PARTITION BY lower(part) ORDER BY source, row_id, pos) = 1""".lstrip(" ,"),
         CONTACTS_SQL,
     ).replace("FROM customer)\nparts AS", "FROM customer),\nparts AS"),
 )
 def nm_variants(spark, sf):
     from muster.operators.dedupe import distinct_variants
 
-    a = rel.contacts(spark, sf).select("row_id", F.col("company").alias("name"))
+    place = lambda source, id: F.struct(F.lit(source).alias("source"), F.col(id).cast("bigint").alias("id")).alias("row_id")
+    a = rel.contacts(spark, sf).select(place(0, "row_id"), F.col("company").alias("name"))
     b = rel.table(spark, sf, "part").select(
-        (F.col("p_partkey") + 10000000).alias("row_id"),
+        place(1, "p_partkey"),
         F.concat(F.col("p_name"), F.lit(" / "), F.col("p_type"), F.lit("-"), F.upper("p_name")).alias("name"),
     )
     return distinct_variants(a.unionByName(b), "name", "row_id").select("key", "variant")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -314,6 +316,25 @@ def fixed_name(email, first, last) -> Column:
     )
 
 
+def with_fixed_names(df: DataFrame) -> DataFrame:
+    """``firstname_fixed``, ``lastname_fixed`` and ``name_fix_rule`` from the columns that hold names and address.
+
+    Columns are known by their header without spaces, underscores and case.
+    Where one of the three is missing the names stay as they are, a missing one
+    empty, and the rule says so.
+    """
+    known = {re.sub(r"[\s_]+", "", c).lower(): c for c in reversed(df.columns)}
+    email, first, last = (known.get(c) for c in ("email", "firstname", "lastname"))
+    own = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit("")
+    if email and first and last:
+        renamed = df.withColumn("_names", fixed_name(*[f"`{c}`" for c in (email, first, last)]))
+    else:
+        absent = F.struct(own(first).alias("first"), own(last).alias("last"), F.lit("missing_required_columns").alias("rule"))
+        renamed = df.withColumn("_names", absent)
+    return renamed.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_names.first").alias("firstname_fixed"),
+                          F.col("_names.last").alias("lastname_fixed"), F.col("_names.rule").alias("name_fix_rule"))
+
+
 def _repair(v: Column) -> Column:
     def named(a, b, rule):
         return F.struct(a.alias("first"), b.alias("last"), F.lit(rule).alias("rule"))

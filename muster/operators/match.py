@@ -57,10 +57,12 @@ def match_audit(contacts: DataFrame, company: Column, reference: DataFrame, name
 
 
 def with_list_scores(df: DataFrame, lists: dict[str, tuple[str, DataFrame, float]], normalise=tx.nfkc_lower,
-                     row_id: str = "row_id") -> DataFrame:
-    """Flag columns telling whether a value's best match in a list suffices.
+                     row_id: str = "row_id", below: bool = True) -> DataFrame:
+    """Best entry of a list for a value, its score, and whether that suffices.
 
-    ``lists`` maps each flag to (column, ``wanted(name, pos)``, threshold).
+    ``lists`` maps each flag to (column, ``wanted(name, pos)``, threshold).  The
+    entry stands in ``<flag>_best`` as it was compared, the score in ``<flag>_score``; a blank value has no entry and scores 0.
+    ``below=False`` saves the search for entries below the threshold.
     Values are counted, normalised and matched once per distinct spelling, all
     on the untouched input; the rows are then looked up list by list.
     """
@@ -69,11 +71,12 @@ def with_list_scores(df: DataFrame, lists: dict[str, tuple[str, DataFrame, float
         counts = cut_lineage(key_counts(df, column))
         spellings = counts.withColumn("key", normalise(column, tx.needs_unicode(counts, [column]))).filter("key <> ''")
         right = first_positions(wanted.withColumn("_key", normalise("name", tx.needs_unicode(wanted, ["name"]))), "_key", "pos")
-        best = best_match(spellings.select("key").distinct(), right, "token_set", threshold)
-        table = spellings.join(best.select("key"), "key", "left_semi").select(column, F.lit(True).alias(out))
-        tables[out] = (column, counts, table)
+        keys = spellings.select("key").distinct()
+        best = (best_match_any(keys, right, "token_set") if below else best_match(keys, right, "token_set", threshold)).select(
+            "key", F.col("match").alias(f"{out}_best"), F.col("score").alias(f"{out}_score"), (F.col("score") >= threshold).alias(out))
+        tables[out] = (column, counts, cut_lineage(spellings.join(best, "key").select(column, out, f"{out}_best", f"{out}_score")))
     for out, (column, counts, table) in tables.items():
-        df = lookup_join(df, table, column, row_id, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
+        df = lookup_join(df, table, column, row_id, counts=counts).fillna({out: False, f"{out}_score": 0.0})
     return df
 
 

@@ -17,6 +17,18 @@ def top_per_company(df: DataFrame, company: str, score: str, k: int = 5, row_id:
     return top_n(df, [company], [F.desc(score), F.asc(row_id)], k)
 
 
+def beyond_top(df: DataFrame, company: str, score: str, k: int = 5, row_id: str = "row_id") -> DataFrame:
+    """Rows that ``top_per_company`` leaves out.
+
+    The last row chosen of each company is a bound that its other rows are
+    compared with, so no company is ranked as a whole.
+    """
+    last = top_per_company(df.select(company, score, row_id), company, score, k, row_id).filter(F.col("rank") == k).select(
+        company, F.col(score).alias("_score"), F.col(row_id).alias("_id"))
+    after = F.expr(f"(`{score}` IS NULL AND _score IS NOT NULL) OR `{score}` < _score OR (`{score}` <=> _score AND `{row_id}` > _id)")
+    return lookup_join(df, last, company, row_id, how="inner").filter(after).select(*df.columns)
+
+
 def top_with_spread(df: DataFrame, company: str, bucket: str, score: str, k: int = 5, row_id: str = "row_id",
                     preferred: list[str] = fv.PREFERRED_SPREAD) -> DataFrame:
     """Best ``k`` per company, first one of each preferred bucket in order.

@@ -52,7 +52,7 @@ TARGET_FIRMS = [
     "Nordea Bank", "North Star CU", "Blue Rng", "ACME & Sons", "Citra", "Zenith Captial Markets",
     "HSBC plc", "The Bank Group", "Absent Partners", "Lunar Finance", "Quartz", None,
 ]
-SPONSORS = ["LifeRay", "StackAI", "Synechron", "Thoughtspot"]
+SPONSORS = ["Aldergate", "Brightmoor", "Copperline", "Dunfield"]
 SPONSOR_TARGETS = [
     "Nordea", "Citra Bank (Banamex USA)", "Zenith Markets", "HSBC Holdings", "blue ring ltd",
     "Norda", "Absent Partners", "Lunar Finance", "Acme Sons", "Citra NA", "Star North Credit Union",

@@ -126,3 +126,12 @@ def test_phrase_counting_equals_counting_one_by_one(spark):
 def test_urls_and_tokens(spark):
     assert column(spark, ["https://X.com/in/A/?q=1", " https://x.com/a// ", None], tx.profile_url) == ["https://x.com/in/a", "https://x.com/a", ""]
     assert column(spark, ["a.b_c1@x", "none", None], lambda c: F.array_join(tx.email_tokens(c), "|")) == ["a|b|c", "", ""]
+
+
+def test_sheets_without_name_columns_keep_their_names(spark):
+    df = spark.createDataFrame([("a.b@c.d", "b", "x")], "`E Mail` string, `First_Name` string, `a.b` string")
+    out = cl.with_fixed_names(df)
+    assert out.columns == ["E Mail", "First_Name", "a.b", "firstname_fixed", "lastname_fixed", "name_fix_rule"]
+    assert out.collect()[0][3:] == ("b", "", "missing_required_columns")
+    whole = cl.with_fixed_names(df.withColumnRenamed("a.b", "LAST NAME").withColumnRenamed("E Mail", "email"))
+    assert whole.collect()[0][3:] == ("b", "x", "original_cleaned")

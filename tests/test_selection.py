@@ -127,3 +127,11 @@ def test_quotas_treat_padded_names_as_one_company(spark):
     df = spark.createDataFrame([(1, "Acme", "x", 2.0), (2, "Acme ", "x", 1.0)], "row_id long, company string, bucket string, score double")
     got = select.select_with_quotas(df, "company", "bucket", "score", 1, 0)
     assert [r.row_id for r in got.collect()] == [1] and got.columns == [*df.columns, "rank"]
+
+
+def test_rows_beyond_the_top_are_all_others(spark):
+    df = spark.range(900).selectExpr("id row_id", "if(id % 3 = 0, 'hot', concat('c', id % 50)) company", "if(id % 11 = 0, null, id % 7) score")
+    top = select.top_per_company(df, "company", "score").select("row_id")
+    rest = select.beyond_top(df, "company", "score")
+    assert rest.columns == df.columns
+    assert sorted(r[0] for r in rest.select("row_id").union(top).collect()) == list(range(900))

@@ -62,7 +62,6 @@ OUTREACH_COLUMNS = [
     "Expandi Team Member", "firstName", "lastName", "companyName", "title", "location",
     "linkedInProfileUrl", "Seniority", "State", "City", "Country Dropdown", "Target Event Role",
 ]
-OUTREACH_REQUIRED = ["linkedInProfileUrl", "firstName", "companyName"]
 EVENT_COLUMNS = [
     "email", "firstname", "lastname", "jobtitle", "Company Name", "country", "State", "Seniority",
 ]
@@ -75,7 +74,6 @@ TOP_EXPORT_COLUMNS = [
     "_source_file", "_source_sheet_or_type", "firstName", "lastName", "companyName", "title",
     "location", "Email", "linkedInProfileUrl",
 ]
-SELECTION_REQUIRED = ["companyName", "title", "Relevance"]
 
 # Alternative header spellings per target column.
 OUTREACH_ALIASES = {
@@ -545,7 +543,6 @@ FOCUS_KEYWORDS = [
 ]
 LEADERSHIP_LABELS = ["C-Suite", "Chair/Board Member", "Vice President", "Leadership", "Director", "Head"]
 MANAGER_LABELS = ["Senior", "Manager"]
-BALANCE_BUCKETS = ["leadership", "manager", "specialist"]
 BALANCE_SHARES = {"leadership": 0.35, "manager": 0.40, "specialist": 0.25}
 SCORE_WEIGHTS = {"seniority": 0.5, "title": 0.35, "focus": 0.12, "connection": 0.03}
 CLOSE_DEGREES = ["1", "1st", "First", "first"]
@@ -578,14 +575,6 @@ MESSAGE_FOCUS = {
 }
 MESSAGE_ANYWHERE = "the US"
 
-# Rules of the name repair.
-NAME_RULES = [
-    "original_cleaned", "matched_email_orientation", "swapped_based_on_email",
-    "lastname_trimmed_to_core", "lastname_overwritten_from_email",
-    "firstname_trimmed_to_core", "firstname_overwritten_from_email",
-    "missing_required_columns",
-]
-
 # Values that count as missing when a text export is read with type inference.
 NA_TEXT = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A"]
 # ----------------------------------------------------------- end fixed values

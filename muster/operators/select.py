@@ -10,6 +10,7 @@ from muster.functions import text as tx
 from muster.functions.classify import lookup
 from muster.operators.position import with_position
 from muster.operators.skew import lookup_join, top_n
+from muster.plans.storage import cut_lineage
 
 
 def top_per_company(df: DataFrame, company: str, score: str, k: int = 5, row_id: str = "row_id") -> DataFrame:
@@ -115,7 +116,11 @@ def allocate(df: DataFrame, members: int, owner: str = "owner", row_id: str = "r
     levels ``h`` down to 1.  Between two neighbouring values of ``h`` the same
     members take turns, so a row's member follows from its position by integer
     arithmetic on at most ``members`` runs of levels.
+
+    Rows with their owners are stored once: counts, positions and the result
+    all read that table, so owners are looked up a single time.
     """
+    df = cut_lineage(df)
     owned = df.filter(F.col(owner).isNotNull()).withColumn(out, F.col(owner).cast("int"))
     rest = with_position(df.filter(F.col(owner).isNull()), row_id, "_k")
     runs = allocation_runs(df, members, owner).scalar()

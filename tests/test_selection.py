@@ -135,3 +135,13 @@ def test_rows_beyond_the_top_are_all_others(spark):
     rest = select.beyond_top(df, "company", "score")
     assert rest.columns == df.columns
     assert sorted(r[0] for r in rest.select("row_id").union(top).collect()) == list(range(900))
+
+
+def test_owners_are_looked_up_once(spark):
+    df = spark.range(100).selectExpr("id row_id", "concat('https://linkedin.com/in/p', id % 40) url")
+    links = spark.range(10).selectExpr("concat('https://linkedin.com/in/p', id) url", "cast(id % 3 as int) member_idx")
+    out = select.allocate(select.owners_of(df, links), 4)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    # What is left of the lookup is a stored table; nothing joins on URLs any more.
+    assert "_url" not in plan and "_shares" not in plan
+    assert out.groupBy("member_idx").count().agg(F.min("count"), F.max("count")).first()[:] == (25, 25)

@@ -1,18 +1,16 @@
 """Text normalisers and small scalar expressions.
 
-Every function takes a column (or column name) and returns a ``Column``; all
-but the Unicode forms stay inside the JVM.  A null input normalises to ``""``
-unless stated otherwise.
+Every function takes a column (or column name) and returns a ``Column`` that
+stays inside the JVM.  A null input normalises to ``""`` unless stated
+otherwise.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from muster import fixed_values as fv
@@ -72,33 +70,26 @@ def light_company(c) -> Column:
 
 
 def unicode_form(c: Column | str, form: str) -> Column:
-    """Unicode normalisation form; ASCII values never leave the JVM side."""
+    """Unicode normalisation form NFC, NFD, NFKC or NFKD; null stays null.
 
-    @F.pandas_udf("string")
-    def normalised(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
-
-    c = col(c)
-    wide = c.rlike(r"[^\x00-\x7F]")
-    return F.when(wide, normalised(F.when(wide, c))).otherwise(c)
-
-
-def needs_unicode(df: DataFrame, columns: list[str]) -> bool:
-    """Whether any value holds a character that a Unicode form could change.
-
-    One pass over the named columns; where the answer is no, the forms are left
-    out and the plan stays free of Python workers.
+    The ICU classes that Spark itself ships for collations do the work, called
+    by ``reflect``; ASCII values are their own form and skip the call.
     """
-    wide = [F.bool_or(F.col(f"`{c}`").rlike(r"[^\x00-\x7F]")) for c in columns]
-    return any(df.agg(*wide).first())
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"unknown Unicode form {form!r}")
+    c = col(c)
+    step = F.lit("compose" if form.endswith("C") else "decompose")
+    # The call takes no null, also where the branch is not taken.
+    formed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), step, text(c), F.lit("K" in form))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), formed).otherwise(c)
 
 
-def nfkc_lower(c, unicode: bool = True) -> Column:
-    return F.lower(collapse(unicode_form(text(c), "NFKC") if unicode else text(c)))
+def nfkc_lower(c) -> Column:
+    return F.lower(collapse(unicode_form(text(c), "NFKC")))
 
 
-def nfkd_lower(c, unicode: bool = True) -> Column:
-    return F.lower(collapse(unicode_form(text(c), "NFKD") if unicode else text(c)))
+def nfkd_lower(c) -> Column:
+    return F.lower(collapse(unicode_form(text(c), "NFKD")))
 
 
 def keep_tokens(c: Column, drop: Iterable[str]) -> Column:
@@ -107,14 +98,9 @@ def keep_tokens(c: Column, drop: Iterable[str]) -> Column:
     return F.array_join(F.filter(words(c), lambda t: ~F.array_contains(stop, t)), " ")
 
 
-def match_key(c, stop=fv.MATCH_STOP_TOKENS, unicode: bool = True) -> Column:
-    """Company key for matching: letters, digits and ``&`` without legal words.
-
-    ``unicode=False`` skips the compatibility form for sources known to be
-    ASCII, which keeps the whole plan in the JVM.
-    """
-    c = unicode_form(text(c), "NFKD") if unicode else text(c)
-    c = F.regexp_replace(F.lower(strip(c)), "[’'`]", "")
+def match_key(c, stop=fv.MATCH_STOP_TOKENS) -> Column:
+    """Company key for matching: letters, digits and ``&`` without legal words."""
+    c = F.regexp_replace(F.lower(strip(unicode_form(text(c), "NFKD"))), "[’'`]", "")
     return keep_tokens(F.regexp_replace(c, "[^a-z0-9& ]+", " "), stop)
 
 

@@ -69,8 +69,8 @@ def with_list_scores(df: DataFrame, lists: dict[str, tuple[str, DataFrame, float
     tables = {}
     for out, (column, wanted, threshold) in lists.items():
         counts = cut_lineage(key_counts(df, column))
-        spellings = counts.withColumn("key", normalise(column, tx.needs_unicode(counts, [column]))).filter("key <> ''")
-        right = first_positions(wanted.withColumn("_key", normalise("name", tx.needs_unicode(wanted, ["name"]))), "_key", "pos")
+        spellings = counts.withColumn("key", normalise(column)).filter("key <> ''")
+        right = first_positions(wanted.withColumn("_key", normalise("name")), "_key", "pos")
         keys = spellings.select("key").distinct()
         best = (best_match_any(keys, right, "token_set") if below else best_match(keys, right, "token_set", threshold)).select(
             "key", F.col("match").alias(f"{out}_best"), F.col("score").alias(f"{out}_score"), (F.col("score") >= threshold).alias(out))
@@ -80,16 +80,14 @@ def with_list_scores(df: DataFrame, lists: dict[str, tuple[str, DataFrame, float
     return df
 
 
-def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id", unicode: bool | None = None) -> DataFrame:
+def key_index(contacts: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """``(row_id, source, raw, key)``: one row per contact and distinct company key.
 
     The columns of one contact sit side by side, so duplicate keys go away
-    inside the row; nothing is shuffled.  ``unicode=False`` is for columns known
-    to be ASCII; by default the columns are looked at.
+    inside the row; nothing is shuffled.
     """
-    unicode = tx.needs_unicode(contacts, columns) if unicode is None else unicode
     cells = F.array(*[
-        F.struct(F.lit(i).alias("nth"), F.lit(c).alias("source"), F.col(c).alias("raw"), tx.match_key(c, unicode=unicode).alias("key"))
+        F.struct(F.lit(i).alias("nth"), F.lit(c).alias("source"), F.col(c).alias("raw"), tx.match_key(c).alias("key"))
         for i, c in enumerate(columns)
     ])
     filled = F.filter(cells, lambda e: tx.strip(e["raw"]) != "")
@@ -106,7 +104,7 @@ def match_targets(targets: DataFrame, contacts: DataFrame, columns: list[str], t
     Returns target columns, ``match_type``, ``source``, ``raw`` and ``row_id``.
     """
     index = key_index(contacts, columns, row_id)
-    wanted = targets.withColumn("_tkey", tx.match_key(target, unicode=tx.needs_unicode(targets, [target])))
+    wanted = targets.withColumn("_tkey", tx.match_key(target))
     wanted = wanted.filter(F.col(target).isNotNull())
     place = F.col(row_id) * len(columns) + F.col("nth")
     counts = cut_lineage(index.groupBy("key").agg(F.min(place).alias("pos"), F.count(F.lit(1)).alias("n")))

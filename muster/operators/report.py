@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from muster import fixed_values as fv
 from muster.functions import text as tx
 from muster.functions.classify import messages, segment_rank
+from muster.plans.storage import cut_lineage
 
 
 def roll_up_small(df: DataFrame, group: str, groups: list[str], min_rows: int = 10,
@@ -103,10 +104,35 @@ def variants(df: DataFrame, key: str, name: str, row_id: str = "row_id", preview
     )
 
 
-def top_values(df: DataFrame, column: str, n: int = 20, blank: str = "(blank)") -> DataFrame:
-    """Most frequent values; null shows as ``blank``."""
+def heavy_buckets(named: DataFrame, n: int) -> DataFrame:
+    """The ``bucket`` numbers that can hold one of the ``n`` most frequent ``value``.
+
+    ``named`` holds ``value`` and ``bucket``, a function of the value.  The rows
+    of a bucket bound the count of each of its values, and such sums merge, so
+    they are all that moves.  Values in the ``n`` fullest buckets are counted
+    exactly: the ``n``-th largest of these counts (0 if there are fewer) is one
+    that every value sought must reach, and so must its bucket.
+    """
+    sums = cut_lineage(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")))
+    fullest = sums.orderBy(F.desc("rows"), "bucket").limit(n).select("bucket")
+    counts = named.join(F.broadcast(fullest), "bucket", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    least = counts.orderBy(F.desc("n")).limit(n).agg(F.when(F.count(F.lit(1)) == n, F.min("n")).otherwise(0).alias("n"))
+    return sums.filter(F.col("rows") >= least.scalar()).select("bucket")
+
+
+def top_values(df: DataFrame, column: str, n: int = 20, blank: str = "(blank)", buckets: int = 1 << 16) -> DataFrame:
+    """Most frequent values, counted exactly; null shows as ``blank``.
+
+    A first pass sums rows per hash bucket, and only values of buckets full
+    enough to matter are grouped, so the shuffles carry bucket sums and few
+    values instead of every distinct one.  The column is read three times.  If
+    all values are about as frequent, no bucket can be ruled out and the last
+    pass is the plain count.  At most ``buckets`` numbers are broadcast.
+    """
     value = F.coalesce(F.col(column), F.lit(blank)).alias("value")
-    return df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
+    named = df.select(value).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+    found = named.join(F.broadcast(heavy_buckets(named, n)), "bucket", "left_semi")
+    return found.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:

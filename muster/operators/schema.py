@@ -55,8 +55,7 @@ def map_exact(headers: DataFrame, targets: list[str]) -> DataFrame:
     clean = lambda s: " ".join(unicodedata.normalize("NFKD", s).split()).lower()
     wanted = values(spark, [(t, t.lower(), clean(t)) for t in targets], "target", "low", "clean")
     texts = headers.select("header").distinct()
-    unicode = tx.needs_unicode(texts, ["header"])
-    texts = texts.select("header", F.lower("header").alias("low"), tx.nfkd_lower("header", unicode).alias("clean"))
+    texts = texts.select("header", F.lower("header").alias("low"), tx.nfkd_lower("header").alias("clean"))
     same = texts.join(wanted.drop("clean"), "low").select("header", "target", F.lit(0).alias("level"))
     close = texts.join(wanted.drop("low"), "clean").select("header", "target", F.lit(1).alias("level"))
     found = headers.join(same.unionByName(close), "header")

@@ -1,11 +1,15 @@
 """Literal truth tables of the classifiers."""
 
+import random
 import unicodedata
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from muster.functions import classify as cl
 from muster.functions import text as tx
+from muster.operators import report
 
 
 def column(spark, values, fn):
@@ -114,6 +118,48 @@ def test_unicode_forms(spark):
     assert column(spark, values, tx.nfkd_lower) == [" ".join(unicodedata.normalize("NFKD", v).lower().split()) for v in values]
 
 
+def test_unicode_forms_equal_the_standard_library(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    marks = [c for c in points if unicodedata.combining(chr(c))]
+    draw = random.Random(7)
+    texts = [chr(c) for c in points]
+    texts += ["".join(map(chr, draw.choices(points, k=6))) for _ in range(5000)]
+    # Marks in any order, behind letters that take them and Hangul that composes.
+    texts += [draw.choice("aeoÅ한\u1100") + "".join(map(chr, draw.choices(marks, k=5))) + "\u1161\u11a8" for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        out = df.select("t", tx.unicode_form("t", form).alias("o"))
+        assert [r for r in out.collect() if r.o != (None if r.t is None else unicodedata.normalize(form, r.t))] == []
+    with pytest.raises(ValueError):
+        tx.unicode_form("t", "NFX")
+
+
+def test_normalised_keys_need_no_python_workers(spark, capsys):
+    df = spark.createDataFrame([("Café ＡＢ", "ﬁnance")], "a string, b string").cache()
+    df.select(tx.nfkc_lower("a"), tx.nfkd_lower("b"), tx.match_key("a")).explain()
+    assert "Python" not in capsys.readouterr().out.split("Scan")[0]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_top_values_equal_a_full_count(spark, buckets):
+    draw = random.Random(3)
+    skewed = [str(int(draw.paretovariate(0.7))) for _ in range(8000)] + [None] * 90
+    cases = [skewed, [str(i % 50) for i in range(500)], ["a", "b", "b", ""], []]
+    for rows in cases:
+        df = spark.createDataFrame([(v,) for v in rows], "v string")
+        counts = Counter("(blank)" if v is None else v for v in rows)
+        want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:20]
+        assert [tuple(r) for r in report.top_values(df, "v", 20, buckets=buckets).collect()] == want
+
+
+def test_top_values_group_few_of_many_distinct_values(spark):
+    rare = spark.range(200_000).select(F.concat(F.lit("rare "), "id").alias("value"))
+    often = spark.range(60_000).select(F.concat(F.lit("often "), F.col("id") % 30).alias("value"))
+    named = rare.union(often).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(1 << 12)).cast("int"))
+    kept = report.heavy_buckets(named, 20)
+    assert named.join(kept, "bucket", "left_semi").distinct().count() < 200_000 / 50
+
+
 def test_phrase_counting_equals_counting_one_by_one(spark):
     import re
 

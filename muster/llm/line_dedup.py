@@ -12,17 +12,21 @@ by fingerprint and need no texts.
 Defined results: null texts have no lines and stay null; lines of fewer than
 ``least_words`` words (5) are never judged and stay; rows with a null id stay
 as they are; rows with equal ids share their numbering, so an equal line at an
-equal place in both is no earlier line; other columns pass through.
+equal place in both is no earlier line; empty tables give empty tables; other
+columns, whatever their names, pass through.  Lines are cut once per document
+and looked up by ``(doc, line)``, so the work is linear in the length of a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature, verified
-from muster.llm.storage import stored
+from muster.llm.storage import column, free_name, stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
 BINS = 1 << 20
@@ -101,13 +105,13 @@ def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), lea
         return bit_counts(a["bits"] ^ b["bits"]) <= 64 * free * (1 - free) + 2
 
     found = stored(candidates(listed_tokens(named, ratio, least_words), near, alike, ratio, SHARED), "line_candidates")
-    line = F.split("text", "\n")[F.col("line")]
+    lines = named.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
 
     def sets(block: Block):
         words = block.spans(NOT_SPACE)
         return words.row, words.hash
 
-    links = verified(found.filter(F.col("kind") != SAME), named, line, sets, ratio)
+    links = verified(found.filter(F.col("kind") != SAME), lines, ["doc", "line"], sets, ratio)
     here, there = F.struct("doc", "line"), F.struct(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
     later = links.select(F.greatest(here, there).alias("x")).select("x.doc", "x.line")
     return found.filter(F.col("kind") == SAME).select("doc", "line").union(later).distinct()
@@ -117,23 +121,37 @@ def _removed(documents: DataFrame, **options) -> DataFrame:
     return later_lines(documents, **options).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
 
 
+@F.pandas_udf(StringType())
+def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers; null where either is null."""
+
+    def left(t, numbers):
+        if t is None or numbers is None:
+            return None
+        lines = np.array(t.split("\n"), object)
+        keep = np.ones(len(lines), bool)
+        keep[np.asarray(numbers, int)] = False
+        return "\n".join(lines[keep])
+
+    return pd.Series([left(t, n) for t, n in zip(text, gone)], dtype=object)
+
+
 def drop_later_lines(documents: DataFrame, *, drop_emptied: bool = False, **options) -> DataFrame:
     """The documents without lines that match an earlier one; ``n_chars`` follows the text if there is one.
 
     ``drop_emptied`` leaves out documents of which no word is left.
     """
-    gone = _removed(documents, **options)
-    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col("doc"), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_text", text)
+    doc, gone, left = (free_name(documents, n) for n in ("_doc", "_gone", "_left"))
+    removed = _removed(documents, **options).toDF(doc, gone)
+    joined = documents.join(removed, F.col("doc_id").cast("long") == F.col(doc), "left")
+    whole = F.col(gone).isNull()
+    out = joined.withColumn(left, F.when(whole, F.col("text").cast("string")).otherwise(without_lines(F.when(~whole, F.col("text").cast("string")), F.col(gone))))
     if drop_emptied:
-        out = out.filter(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col("_text")}
+        out = out.filter(whole | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col(left)}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(documents.schema["n_chars"].dataType)
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in documents.columns])
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, column(c)).alias(c) for c in documents.columns])
 
 
 def line_report(documents: DataFrame, **options) -> DataFrame:
@@ -144,7 +162,7 @@ def line_report(documents: DataFrame, **options) -> DataFrame:
     joined = named.join(_removed(documents, **options), "doc", "left").select("doc", "text", "_gone").unionByName(
         texts.filter("doc is null").withColumn("_gone", F.lit(None).cast("array<int>")))
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without_lines(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone")))
     return joined.select(F.col("doc").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
                          F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).cast("long").alias("n_removed"),
                          F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))

@@ -21,7 +21,9 @@ probability 0.85, fewer than 38 of 64 do with 2e-7.  Pairs with a set of at most
 Defined results: null, empty and wordless texts have no set and stand alone; a
 text with fewer words than a shingle is one shingle of all its words; a null id
 stands alone and is kept; rows with equal ids are one node, kept or not
-together; other columns are ignored by ``near_duplicates``.
+together; empty tables give empty tables; long texts are read whole; other
+columns, whatever their names, are ignored by ``near_duplicates`` and pass
+through ``keep_first``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from muster.llm.components import component_of
 from muster.llm.setjoin import (CountSketch, PAIR, ROWS, STAR, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature,
                                 verified)
-from muster.llm.storage import stored
+from muster.llm.storage import free_name, stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
 K, LEAST = 24, 8
@@ -155,7 +157,13 @@ def estimated(found: DataFrame, reps: DataFrame, ratio: tuple[int, int], k: int
 
 
 def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``: linked where ``ratio[1] * common >= ratio[0] * union``."""
+    """``(doc_id, n_shingles, component_id, kept)``: linked where ``ratio[1] * common >= ratio[0] * union``.
+
+    A ratio below 80 in 100 is refused: the lengths of sketches and the filters
+    on them (``K``, ``LEAST``, ``AGREE``) would lose links there.
+    """
+    if ratio[0] * 100 < 80 * ratio[1] or ratio[0] > ratio[1]:
+        raise ValueError("near duplicates are found at ratios from 80 in 100 to 1")
     made = stored(sketches(documents, size), "sketches")
     sets = made.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "print_a", "print_b"]
@@ -187,8 +195,8 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
     # One list of twos is evidence enough.
     shared = F.when(F.col("n") > K, 1).otherwise(SHARED)
     found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio, shared), "candidates"), reps, ratio), "found")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
-    links = verified(found, texts, F.col("text"), lambda block: shingles(block, size), ratio)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("unit")).filter("doc is not null")
+    links = verified(found, texts, ["doc"], lambda block: shingles(block, size), ratio)
     # Rows of one id are one node.
     twice = sets.join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     labels = component_of(links.select(F.col("doc").alias("a"), F.col("other_doc").alias("b")).union(twice))
@@ -199,5 +207,6 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
     """The documents that are the first of their component, all columns as they were."""
-    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(documents, "_gone")
+    gone = near_duplicates(documents, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -187,14 +187,20 @@ def features(stats) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
-    """Statistics and label of at most ``rows`` documents, as pandas."""
+    """Statistics and label of at most ``rows`` documents, as pandas.
+
+    Rows of one id share its label; of a repeated id so many go in that the
+    bound holds, in an order that depends on the texts alone.
+    """
     wanted = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("_quality")).dropna()
         .groupBy("doc_id").agg(F.avg("_quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # At most ``rows`` ids: small enough to send to every task.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
-    return with_stats(texts, keep_text=False).toPandas().sort_values("doc_id", kind="stable")
+    stats = with_stats(texts, keep_text=False)
+    drawn = stats.orderBy(F.xxhash64("doc_id"), "doc_id", *[c for c in stats.columns if c != "doc_id"]).limit(rows)
+    return drawn.toPandas().sort_values("doc_id", kind="stable")
 
 
 def rules_from(documents: DataFrame, labels: DataFrame, **options) -> list[list[Condition]]:

@@ -191,16 +191,16 @@ def _cells(found: DataFrame) -> DataFrame:
         *hub, "i", "j", F.col("hub_doc").alias("doc"), F.col("hub_line").alias("line"), F.lit(-1).alias("part"), F.lit(STAR).alias("kind")))
 
 
-def verified(found: DataFrame, texts: DataFrame, unit: Column, sets: Callable, ratio: tuple[int, int]) -> DataFrame:
+def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable, ratio: tuple[int, int]) -> DataFrame:
     """Links whose whole sets reach the threshold.
 
-    ``texts`` is ``(doc, text)``; ``unit`` cuts the unit out of ``text`` (it may
-    use ``line``); ``sets(block)`` gives the row and hash of all set elements of
-    a block of units.  In a star, units linked to the hub need no other link;
+    ``units`` holds the text ``unit`` by ``key`` (``doc``, with ``line`` where
+    units are lines); ``sets(block)`` gives the row and hash of all set elements
+    of a block of units.  In a star, units linked to the hub need no other link;
     the others are compared with every unit of the cell.
     """
     order = ["hub_doc", "hub_line", "i", "j"]
-    cells = _cells(found).join(texts, "doc").select(*order, "doc", "line", "part", "kind", unit.alias("unit"))
+    cells = _cells(found).join(units, key).select(*order, "doc", "line", "part", "kind", "unit")
 
     def settle(batches: Iterator[pa.RecordBatch]):
         held = None

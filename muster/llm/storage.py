@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _local: list[str] = []
 
@@ -23,6 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table and read it back: later steps start from the copy, which outlives executors."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.storage import stored
-from muster.llm.words import NOT_SPACE, U64, Block, Spans, blocks, int64, mix, per_row, span_hashes, windows
+from muster.llm.words import NOT_SPACE, U64, Block, Spans, blocks, int64, mix, per_row, span_hashes, window_hashes, windows
 
 ROUNDS = 3
 LEAST_WORDS = 3
@@ -193,7 +193,7 @@ def repeats(documents: DataFrame, *, size: int = 20, with_text: bool = False) ->
                 doc = batch.column(0).slice(block.first, block.n).to_numpy()[words.row[at]]
                 order = np.lexsort((doc, h))
                 lead = order[np.append(True, h[order][1:] != h[order][:-1])] if len(h) else order
-                second = span_hashes(mix(words.hash + U64(0x632BE59BD9B4E019)), at[lead], at[lead] + size)
+                second = window_hashes(mix(words.hash + U64(0x632BE59BD9B4E019)), at[lead], size)
                 yield pa.RecordBatch.from_arrays([int64(h[lead]), pa.array((second >> U64(33)).astype(np.int32)), pa.array(doc[lead])], names=["h", "g", "doc"])
 
     firsts = joined.mapInArrow(ask, WINDOWS).groupBy("h", "g").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("firsts"))

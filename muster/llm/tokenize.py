@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from muster.llm.words import LOWER, Block, U64, _letters, span_hashes
+from muster.llm.words import LOWER, Block, byte_hashes
 
 TABLE_PIECES = 2_000_000
 _kind = np.full(256, 5, np.uint8)
@@ -78,7 +78,7 @@ class WordTokens:
         begin[lo[full]] = mark[lo[full]]
         end[hi[full] - 1] = mark[hi[full] - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        return data, starts, ends, np.searchsorted(block.offsets, starts, "right") - 1, span_hashes(_letters[data], starts, ends)
+        return data, starts, ends, np.searchsorted(block.offsets, starts, "right") - 1, byte_hashes(data, starts, ends)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a line, and how many each row has."""

@@ -16,10 +16,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
-MULTIPLIER = 0x9E3779B97F4A7C15 | 5
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-_letters = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_powers = {m: np.ones(1, U64) for m in (MULTIPLIER, INVERSE)}
+ODD = U64(0x9E3779B97F4A7C15)
+#: What is left of 8 bytes, read as one number, if only the first 0 to 8 count.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 #: Bytes of ``[^\x20\x09-\x0D]``.
 NOT_SPACE = np.ones(256, bool)
@@ -34,16 +33,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(multiplier: int, n: int) -> np.ndarray:
-    """At least ``n`` powers of an odd number modulo 2^64."""
-    have = _powers[multiplier]
-    if len(have) < n:
-        full = np.full(max(n, BLOCK_BYTES + 1), multiplier, U64)
-        full[0] = 1
-        have = _powers[multiplier] = np.cumprod(full, dtype=U64)
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits over all bits (a bijection)."""
     x = x ^ (x >> U64(30))
@@ -53,12 +42,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _summed(values: np.ndarray, nth: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One hash per run of ``counts`` values, each mixed with its place ``nth`` in the run."""
+    keys = mix((np.arange(int(counts.max(initial=0))).astype(U64) + U64(1)) * ODD)
+    sums = np.append(U64(0), np.cumsum(mix(values + keys[nth]), dtype=U64))
+    ends = np.cumsum(counts)
+    return mix(sums[ends] - sums[ends - counts] + lengths.astype(U64) * ODD)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every span; equal spans hash alike wherever they stand."""
-    n = len(values)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(MULTIPLIER, n)[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(U64))
+    """Hash of ``values[start:end]`` for every span; equal spans hash alike wherever they stand.
+
+    Each value is mixed with its place before they are added, so no pattern of
+    values cancels out as it can in a polynomial modulo 2^64.  The work is the
+    length of all spans: for overlapping ones see ``window_hashes``.
+    """
+    counts = ends - starts
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _summed(values[np.repeat(starts, counts) + nth], nth, counts, counts)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for spans of bytes, eight bytes at a time."""
+    lengths = ends - starts
+    counts = (lengths + 7) >> 3
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(starts, counts) + 8 * nth
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    return _summed(eights[at] & _FIRST_BYTES[np.minimum(np.repeat(ends, counts) - at, 8)], nth, counts, lengths)
+
+
+def window_hashes(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``values[i:i + size]`` for every ``i`` in ``at``, out of hashes of 1, 2, 4 ... neighbours."""
+    out, level, width, done = None, values, 1, 0
+    while True:
+        if size & width:
+            here = level[at + done]
+            out = here if out is None else mix(out * ODD + here)
+            done += width
+        if done == size:
+            return out
+        level = mix(level[:-width] * ODD + level[width:])
+        width *= 2
 
 
 @dataclass
@@ -96,7 +121,7 @@ class Block:
         end[hi[full] - 1] = mark[hi[full] - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         row = np.searchsorted(self.offsets, starts, "right") - 1
-        return Spans(starts, ends, row, span_hashes(_letters[data], starts, ends) if hashes else np.zeros(0, U64))
+        return Spans(starts, ends, row, byte_hashes(data, starts, ends) if hashes else np.zeros(0, U64))
 
     def text(self, start: int, end: int) -> str:
         return self.data[start:end].tobytes().decode("utf-8", "replace")
@@ -131,7 +156,7 @@ def windows(words: Spans, size: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     at = np.flatnonzero(words.row[:n] == words.row[size - 1:])
-    return at, span_hashes(words.hash, at, at + size)
+    return at, window_hashes(words.hash, at, size)
 
 
 def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,91 @@ def test_words_of_a_column():
     assert len(list(words.blocks(pa.array(texts), 2))) > 2
 
 
+def thue_morse(n):
+    """A word of two letters and its complement, which a polynomial modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_tell_patterned_sequences_apart():
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer("".join(thue_morse(1024)).encode(), np.uint8)
+    a, b = words.byte_hashes(letters, np.array([0, 1024]), np.array([1024, 2048]))
+    assert a != b
+    pair = rng.integers(1, 2**63, 2).astype(np.uint64)
+    values = pair[letters - ord("a")]
+    a, b = words.span_hashes(values, np.array([0, 1024]), np.array([1024, 2048]))
+    assert a != b
+    assert len(set(words.window_hashes(values, np.array([0, 1024]), 1024).tolist())) == 2
+    # Equal spans hash alike wherever they stand, all others apart.
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3960, 3000)
+    ends = starts + rng.integers(0, 40, 3000)
+    seen = {}
+    for h, s, e in zip(words.byte_hashes(data, starts, ends).tolist(), starts, ends):
+        assert seen.setdefault(h, data[s:e].tobytes()) == data[s:e].tobytes()
+    assert len(seen) == len({data[s:e].tobytes() for s, e in zip(starts, ends)})
+    for size in (1, 2, 5, 20, 31):
+        at = np.arange(len(data) - size + 1)
+        got = words.window_hashes(data.astype(np.uint64), at, size)
+        assert len(set(got.tolist())) == len({data[i:i + size].tobytes() for i in at})
+        assert len(set(zip(got.tolist(), (data[i:i + size].tobytes() for i in at)))) == len(set(got.tolist()))
+
+
+def test_patterned_words_are_different_words(spark):
+    one, two = thue_morse(1024)
+    start = " ".join(f"v{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{start} {one}"), (2, f"{start} {two}"), (3, f"x {one}"), (4, f"x {two}")], "doc_id long, text string")
+    assert rows_of(substring_dedup.repeats(df), "doc_id", "n_removed") == [(i, 0) for i in (1, 2, 3, 4)]
+    assert all(near for _, near in rows_of(near_dedup.near_duplicates(df.filter("doc_id > 2")), "doc_id", "kept"))
+    items = spark.createDataFrame([("a", one)], "item_id string, text string")
+    assert [r[0] for r in rows_of(decontaminate.remove_contaminated(df, items), "doc_id")] == [2, 4]
+    from muster.llm import tokenize
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+    plain = Tokenizer.from_file(vocabulary())
+    (block,) = words.blocks(pa.array([one, two]))
+    ids, counts = tokenize.encoder(vocabulary()).encode(block)
+    assert ids.tolist() == [i for t in (one, two) for i in plain.encode(t, add_special_tokens=False).ids] and len(counts) == 2
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    names = ["doc", "_gone", "_GONE", "_text", "_doc", "_left", "line", "a.b", "n`n", "id", "component"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names if n != "_GONE")
+    extra = tuple(f"own {n}" for n in names if n != "_GONE")
+    line, other = prose(30, 31), prose(30, 32)
+    rows = [(1, f"{line}\n{other}", 9, *extra), (2, f"{line}\nshort one", 9, *extra), (3, None, None, *extra), (4, line, 9, *extra)]
+    df = spark.createDataFrame(rows, schema)
+    left = {r[0]: tuple(r) for r in line_dedup.drop_later_lines(df, drop_emptied=True).collect()}
+    assert left == {1: rows[0], 2: (2, "short one", 9, *extra), 3: rows[2]}
+    kept = near_dedup.keep_first(df, size=5)
+    # The fourth text is the second but for its last two words.
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} == set(rows[:3])
+    assert {tuple(r) for r in near_dedup.keep_first(df.filter("doc_id <> 2").union(spark.createDataFrame([(9, line, 9, *extra)], schema))).collect()} == {rows[0], rows[2], rows[3]}
+
+
+def test_near_duplicates_refuse_ratios_their_sketches_do_not_serve(docs):
+    for ratio in ((50, 100), (101, 100)):
+        with pytest.raises(ValueError):
+            near_dedup.near_duplicates(docs, ratio=ratio)
+
+
+def test_labelled_sample_is_bounded_for_repeated_ids(spark):
+    df = spark.range(300).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1.0)], "doc_id long, quality double")
+    assert len(quality.labelled_sample(df, labels, rows=10)) == 10
+
+
+def test_a_document_of_many_lines_takes_time_in_proportion(spark):
+    lines = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(32_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(f"{x} end" for x in lines))], "doc_id long, text string")
+    begin = time.time()
+    out = dict(rows_of(line_dedup.line_report(df), "doc_id", "n_removed"))
+    assert out == {1: 0, 2: 32_000}
+    # The cost of 121 s was quadratic.
+    assert time.time() - begin < 60
+
+
 def test_leaks(spark, docs, none):
     items = [("a", prose(25, 3)), ("b", "one"), ("c", None), ("d", "..."), ("e", " ".join(BASE.split()[5:30])), ("e", " ".join(BASE.split()[5:30])), (None, prose(12, 9)),
              ("f", "w1 w1 w1")]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature, verified
+from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, packed, row_sums, signature, verified
 from muster.llm.storage import column, free_name, stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
@@ -56,25 +56,29 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
 
     def tokens(batch):
         for block in blocks(batch.column(0)):
-            yield distinct_in_rows(*line_words(block, least)[:2])[1]
+            # Repeats within a line count as well: any order that all lines share is complete.
+            yield line_words(block, least)[1]
 
     counts = counter.collect(documents.select("text"), tokens)
     sent = documents.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    # What other tokens of a bin add on average does not make a token hot.
+    usual = int(counts.mean())
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(1)):
                 unit, value, row, number = line_words(block, least)
-                unit, value = distinct_in_rows(unit, value)
-                n = np.bincount(unit, minlength=len(row)).astype(np.int64)
                 seen = sent.value[counter.bin_of(value)]
                 order = np.lexsort((value, seen, unit))
+                unit, value, seen = unit[order], value[order], seen[order]
+                new = np.append(True, (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])) if len(unit) else np.zeros(0, bool)
+                unit, value, seen = unit[new], value[new], seen[new]
+                n = np.bincount(unit, minlength=len(row)).astype(np.int64)
                 rank = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
-                first = rank < (n - -(-ratio[0] * n // ratio[1]) + SHARED)[unit]
-                chosen, place = order[first], rank[first]
+                chosen = np.flatnonzero(rank < (n - -(-ratio[0] * n // ratio[1]) + SHARED)[unit])
                 bits, mark = signature(unit, value, len(row)), row_sums(unit, mix(value), len(row))
-                at, key = dealt(value[chosen], seen[chosen], mark[unit[chosen]])
-                of, place = unit[chosen][at], place[at]
+                at, key = dealt(value[chosen], np.maximum(1, seen[chosen] - usual), mark[unit[chosen]])
+                of, place = unit[chosen][at], rank[chosen][at]
                 yield pa.RecordBatch.from_arrays([
                     int64(key), int64(bits[of]), packed((mark[of] >> U64(32)).astype(np.uint32).view(np.int32), number[of]),
                     batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), packed(n[of], place)],

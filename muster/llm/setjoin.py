@@ -107,7 +107,8 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype(np.int32)), pa.array(key[2]), pa.array(key[3].astype(np.int32)),
                                                pa.array(key[4].astype(np.int32)), pa.array(np.full(key.shape[1], kind, np.int32)), pa.array(count)], names=_names(EVIDENCE))
 
-        order = np.lexsort((c["line"], c["doc"], c["bits"], c["print"], c["n"], c["key"]))
+        sized = (c["n"].astype(np.int64) << 32) | c["print"].view(np.uint32)
+        order = np.lexsort((c["line"], c["doc"], c["bits"], sized, c["key"]))
         c = {k: v[order] for k, v in c.items()}
 
         def starts(*names: str) -> np.ndarray:
@@ -119,7 +120,8 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         # Equal units are told by the earliest of them.
         lead = starts("n", "print", "bits")
         first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        again = np.flatnonzero((c["doc"] != c["doc"][first]) | (c["line"] != c["line"][first]))
+        # They share all lists; that of their first value tells it.
+        again = np.flatnonzero((c["place"] == 0) & ((c["doc"] != c["doc"][first]) | (c["line"] != c["line"][first])))
         yield out(first[again], again, SAME)
         c = {k: v[lead] for k, v in c.items()}
         group = np.cumsum(starts()) - 1

@@ -4,7 +4,8 @@ A line's tokens are its distinct words, ordered by rarity: by the count sketch
 over all lines, then by hash.  Two lines at Jaccard ``t`` must share two of
 their first ``n - ceil(t * n) + 2`` tokens, so only these are listed, and pairs
 that meet in one list only are dropped.  Pairs of
-a list pass length, position and signature filters, whole token sets decide,
+a list pass length, position and signature filters (bit maps of 64 bits, more
+for long lines, whose map would be too full), whole token sets decide,
 and the later line of a match goes.  Every line is judged on the input: it goes
 if any earlier line, kept or not, matches it.  Lines with equal token sets meet
 by fingerprint and need no texts.
@@ -19,19 +20,24 @@ and looked up by ``(doc, line)``, so the work is linear in the length of a text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from muster.llm.setjoin import ROWS, SAME, CountSketch, bit_counts, candidates, dealt, packed, row_sums, signature, verified
+from muster.llm.setjoin import ROWS, SAME, CountSketch, Part, bit_counts, candidates, dealt, packed, row_sums, verified, wide_signature
 from muster.llm.storage import column, free_name, stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
 BINS = 1 << 20
 #: Listed tokens that two matching lines share at least.
 SHARED = 2
+#: Lines of more tokens have two and four bit maps.
+TWO, FOUR = 72, 144
+LISTED = f"{ROWS}, wide_1 long, wide_2 long, wide_3 long"
 
 
 def line_words(block: Block, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +56,23 @@ def line_words(block: Block, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return new[unit[keep]], words.hash[keep], row[long_enough], number[long_enough]
 
 
+def maps_of(n: np.ndarray) -> np.ndarray:
+    """How many bit maps lines of ``n`` tokens have."""
+    return np.where(n > FOUR, 4, np.where(n > TWO, 2, 1))
+
+
+def map_sums(a: Part, b: Part, told: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that ``told(x, y)`` leaves of the maps of two lines, on as many maps as both have; and how many those are."""
+    maps = np.minimum(maps_of(a["n"]), maps_of(b["n"]))
+    total = bit_counts(told(a["bits"], b["bits"]))
+    # The long lines that the folded maps do not tell apart are few.
+    for many, folds in ((2, ((0, 2), (1, 3))), (4, ((0,), (1,), (2,), (3,)))):
+        at = np.flatnonzero(maps == many)
+        x, y = a.of(at), b.of(at)
+        total[at] = sum(bit_counts(told(np.bitwise_or.reduce([x[f"wide_{k}"] for k in fold]), np.bitwise_or.reduce([y[f"wide_{k}"] for k in fold]))) for fold in folds)
+    return total, maps
+
+
 def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins: int = BINS) -> DataFrame:
     """Rows of the inverted lists: the rarest tokens of every line."""
     counter = CountSketch(bins)
@@ -76,37 +99,43 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
                 n = np.bincount(unit, minlength=len(row)).astype(np.int64)
                 rank = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
                 chosen = np.flatnonzero(rank < (n - -(-ratio[0] * n // ratio[1]) + SHARED)[unit])
-                bits, mark = signature(unit, value, len(row)), row_sums(unit, mix(value), len(row))
+                bits, mark = wide_signature(unit, value, maps_of(n)), row_sums(unit, mix(value), len(row))
                 at, key = dealt(value[chosen], np.maximum(1, seen[chosen] - usual), mark[unit[chosen]])
                 of, place = unit[chosen][at], rank[chosen][at]
                 yield pa.RecordBatch.from_arrays([
-                    int64(key), int64(bits[of]), packed((mark[of] >> U64(32)).astype(np.uint32).view(np.int32), number[of]),
-                    batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), packed(n[of], place)],
-                    names=[f.split()[0] for f in ROWS.split(", ")])
+                    int64(key), int64(bits[0][of]), packed((mark[of] >> U64(32)).astype(np.uint32).view(np.int32), number[of]),
+                    batch.column(0).slice(block.first, block.n).take(pa.array(row[of])), packed(n[of], place),
+                    *(int64(more[of]) for more in bits[1:])], names=[f.split()[0] for f in LISTED.split(", ")])
 
-    return documents.select("doc", "text").mapInArrow(run, ROWS)
+    return documents.select("doc", "text").mapInArrow(run, LISTED)
 
 
 def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), least_words: int = 5) -> DataFrame:
     """``(doc, line)`` of every line that has an earlier match; lines count from 0."""
     named = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
 
-    def bound(a: dict, b: dict) -> np.ndarray:
-        """Most tokens both can share, by size and signature."""
-        return np.minimum(a["n"] - bit_counts(a["bits"] & ~b["bits"]), b["n"] - bit_counts(b["bits"] & ~a["bits"]))
+    def reaches(a: Part, b: Part, common: np.ndarray) -> np.ndarray:
+        return (ratio[0] + ratio[1]) * common.astype(np.int64) >= ratio[0] * (a["n"].astype(np.int64) + b["n"])
 
-    def reaches(a: dict, b: dict, common: np.ndarray, r: tuple[int, int]) -> np.ndarray:
-        return (r[0] + r[1]) * common.astype(np.int64) >= r[0] * (a["n"].astype(np.int64) + b["n"])
+    def lacking(a: Part, b: Part) -> np.ndarray:
+        """How many tokens of ``a`` are not in ``b``, at least."""
+        return map_sums(a, b, lambda x, y: x & ~y)[0]
 
-    def near(a: dict, b: dict) -> np.ndarray:
+    def near(a: Part, b: Part) -> np.ndarray:
         ahead = np.minimum(a["place"], b["place"])
         behind = np.minimum(a["n"] - a["place"], b["n"] - b["place"])
-        return reaches(a, b, np.minimum(bound(a, b), ahead + behind), ratio)
-
-    def alike(a: dict, b: dict) -> np.ndarray:
+        folded = np.minimum(a["n"] - bit_counts(a["bits"] & ~b["bits"]), b["n"] - bit_counts(b["bits"] & ~a["bits"]))
+        ok = reaches(a, b, np.minimum(folded, ahead + behind))
+        left = np.flatnonzero(ok)
+        x, y = a.of(left), b.of(left)
+        ok[left] = reaches(x, y, np.minimum(x["n"] - lacking(x, y), y["n"] - lacking(y, x)))
+        return ok
+
+    def alike(a: Part, b: Part) -> np.ndarray:
         """Signatures clearly nearer than those of unrelated lines, or too full to tell."""
-        free = np.exp(-(a["n"] + b["n"]) / 128)
-        return bit_counts(a["bits"] ^ b["bits"]) <= 64 * free * (1 - free) + 2
+        differing, maps = map_sums(a, b, lambda x, y: x ^ y)
+        free = np.exp(-(a["n"] + b["n"]) / (128 * maps))
+        return differing <= 64 * maps * free * (1 - free) + 2
 
     found = stored(candidates(listed_tokens(named, ratio, least_words), near, alike, ratio, SHARED), "line_candidates")
     lines = named.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "unit"))

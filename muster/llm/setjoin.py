@@ -69,12 +69,42 @@ def signature(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def wide_signature(row: np.ndarray, values: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Bit maps of the values of every row, in four lines: a row has 1, 2 or 4 of them.
+
+    Four maps fold to two (0 or 2, 1 or 3) and two to one, and what is folded
+    equals the map of a row that never had more.
+    """
+    n = len(maps)
+    drawn = mix(values)
+    out = np.zeros(4 * n, U64)
+    np.bitwise_or.at(out, ((drawn & U64(3)).astype(np.int64) % maps[row]) * n + row, U64(1) << (drawn >> U64(58)))
+    return out.reshape(4, n)
+
+
+class Part(dict):
+    """Columns of some rows, taken as they are asked for."""
+
+    def __init__(self, columns: dict, at: np.ndarray):
+        super().__init__()
+        self.columns, self.at = columns, at
+
+    def __missing__(self, name: str) -> np.ndarray:
+        self[name] = taken = self.columns[name][self.at]
+        return taken
+
+    def of(self, which: np.ndarray) -> Part:
+        return Part(self.columns, self.at[which])
+
+
 def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int, int], shared: int | Column = 1) -> DataFrame:
     """Stars, pairs and equal units of all lists.
 
-    ``near(a, b)`` and ``star(a, b)`` take two dicts of arrays (n, place, bits)
+    ``near(a, b)`` and ``star(a, b)`` take two ``Part``s of arrays (n, place, bits)
     and tell which pairs may reach the threshold or belong to one star; ``rows``
-    may have a column ``more_bits`` for them.
+    may have further columns for them.  With columns ``wide_1`` to ``wide_3``,
+    ``bits`` is the first of four maps: it is called ``wide_0``, and ``bits`` is
+    all four folded.
     ``ratio`` bounds the sizes: ``ratio[1] * smaller >= ratio[0] * larger``.
     Pairs outside stars have to meet in ``shared`` lists, which may depend on
     ``n``, the size of the later unit.
@@ -92,8 +122,12 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             c[high], c[low] = (c[pair] >> 32).astype(np.int32), c[pair].astype(np.int32)
             del c[pair]
 
-        def part(at: np.ndarray) -> dict:
-            return {k: c[k][at] for k in ("n", "place", "bits", "more_bits") if k in c}
+        if "wide_1" in c:
+            c["wide_0"] = c["bits"]
+            c["bits"] = c["wide_0"] | c["wide_1"] | c["wide_2"] | c["wide_3"]
+
+        def part(at: np.ndarray) -> Part:
+            return Part(c, at)
 
         def out(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
             """``a`` the earlier unit; equal rows of several lists once."""

@@ -378,6 +378,36 @@ def edited(base, rate, seed):
     return " ".join(w if rng.random() > rate else f"z{seed}x{k}" for k, w in enumerate(base.split()))
 
 
+def test_long_lines_are_compared_by_several_maps(spark):
+    rng = np.random.default_rng(5)
+    sizes = [60, 72, 73, 80, 130, 144, 145, 160, 300, 900]
+    lines = []
+    for n in sizes:
+        words = [f"w{x}" for x in rng.integers(0, 3000, n)]
+        for changed in (0.05, 0.09, 0.1, 0.11, 0.12, 0.3):
+            other = [f"v{rng.integers(1 << 40)}" if rng.random() < changed else w for w in words]
+            lines += [" ".join(words), " ".join(other[: len(other) - int(rng.integers(0, n // 8))])]
+    order = rng.permutation(len(lines))
+    texts = ["\n".join(lines[k] for k in order[i::12]) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    units = [(i, k, set(line.split())) for i, text in enumerate(texts) for k, line in enumerate(text.split("\n"))]
+    want = {(d, k) for at, (d, k, own) in enumerate(units) if any(100 * len(own & a) >= 80 * len(own | a) for _, _, a in units[:at])}
+    assert {tuple(r) for r in line_dedup.later_lines(docs).collect()} == want and len(want) < len(units)
+
+
+def test_maps_never_tell_more_differing_tokens_than_there_are():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n, m = (int(x) for x in rng.integers(5, 320, 2))
+        shared = int(rng.integers(0, min(n, m) + 1))
+        drawn = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        sizes = np.array([n, m])
+        maps = setjoin.wide_signature(np.repeat([0, 1], sizes), np.concatenate([drawn[:n], drawn[:shared], drawn[n:]]), line_dedup.maps_of(sizes)).view(np.int64)
+        columns = {"n": sizes, "bits": np.bitwise_or.reduce(maps)} | {f"wide_{k}": line for k, line in enumerate(maps)}
+        least, _ = line_dedup.map_sums(setjoin.Part(columns, np.array([0])), setjoin.Part(columns, np.array([1])), lambda x, y: x & ~y)
+        assert least[0] <= n - shared
+
+
 def test_near_duplicates(spark, docs, none):
     expected = components_of([x for x in TEXTS if x[0] is not None], 2)
     out = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}

@@ -8,7 +8,10 @@ twos, in hash order: one value of a frequent shingle is held by a share of all
 documents, two of them side by side by hardly any but near copies.  A smaller
 set lists its rarest values (by a count sketch), as many as any partner must
 share; sets that can link with both kinds list both.  Within a list, large sets are
-compared by two bits of the smallest value in each of 64 bins.  The sketch of
+compared by two bits of the smallest value in each of 64 bins; sets of at most
+``MAPPED`` shingles also by a bit map of the whole set, which bounds what two
+sets can share, so that documents with a long passage in common and little else
+leave no pair.  The sketch of
 the union estimates the similarity of pairs, and the exact Jaccard of the whole
 sets decides.  Links are closed to components.
 
@@ -33,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.components import component_of
-from muster.llm.setjoin import (CountSketch, PAIR, ROWS, STAR, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature,
-                                verified)
+from muster.llm.setjoin import (CountSketch, PAIR, Part, ROWS, STAR, bit_counts, candidates, dealt, distinct_in_rows, packed, row_sums, signature,
+                                verified, wide_signature)
 from muster.llm.storage import free_name, stored
 from muster.llm.words import Block, NOT_SPACE, U64, blocks, int64, mix, per_row, span_hashes, windows
 
@@ -44,8 +47,12 @@ AGREE = 38
 #: Listed single values that two similar sets share at least (equal sets aside, sets of four shingles are the smallest that can be linked).
 SHARED = 2
 BINS = 1 << 16
-LISTED = f"{ROWS}, more_bits long"
-SKETCHES = "doc_id long, n_shingles long, print_a long, print_b long, minima long, minima_too long, sketch array<long>"
+#: Larger sets fill a map of 256 bits too far to tell them apart.
+MAPPED = 192
+MAPS = [f"map_{i}" for i in range(4)]
+_MAPS = ", ".join(f"{m} long" for m in MAPS)
+LISTED = f"{ROWS}, more_bits long, {_MAPS}"
+SKETCHES = f"doc_id long, n_shingles long, print_a long, print_b long, minima long, minima_too long, {_MAPS}, sketch array<long>"
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +84,12 @@ def sketches(documents: DataFrame, size: int = 2, k: int = K) -> DataFrame:
                 count = per_row(row, block.n)
                 place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                 low = place < k
+                mapped = (count <= MAPPED)[row]
+                maps = wide_signature(row[mapped], value[mapped], np.full(block.n, 4))
                 offsets = np.append(0, np.cumsum(np.minimum(count, k))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(block.first, block.n), int64(count), int64(row_sums(row, mix(value), block.n)),
-                    int64(row_sums(row, mix(value * U64(3)), block.n)), *map(int64, bin_minima(row, value, block.n)), pa.ListArray.from_arrays(pa.array(offsets), int64(value[low]))],
+                    int64(row_sums(row, mix(value * U64(3)), block.n)), *map(int64, bin_minima(row, value, block.n)), *map(int64, maps), pa.ListArray.from_arrays(pa.array(offsets), int64(value[low]))],
                     names=[f.split()[0] for f in SKETCHES.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCHES)
@@ -138,10 +147,10 @@ def listed_values(reps: DataFrame, ratio: tuple[int, int], k: int = K) -> DataFr
             mark = (batch.column(3).to_numpy()[at] >> 32).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 int64(key), int64(bits), packed(mark, np.zeros(len(at), np.int32)), batch.column(0).take(pa.array(at)),
-                packed(n[at], kept[at]), int64(too)],
+                packed(n[at], kept[at]), int64(too), *(batch.column(m).take(pa.array(at)) for m in MAPS)],
                 names=[f.split()[0] for f in LISTED.split(", ")])
 
-    return reps.select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too").mapInArrow(run, LISTED)
+    return reps.select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too", *MAPS).mapInArrow(run, LISTED)
 
 
 def estimated(found: DataFrame, reps: DataFrame, ratio: tuple[int, int], k: int = K, least: int = LEAST) -> DataFrame:
@@ -169,26 +178,35 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
     same = ["n_shingles", "print_a", "print_b"]
     classes = stored(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     # The first document of a class carries its sketch on.
-    reps = stored(sets.join(classes, same).filter("doc_id = rep").dropDuplicates(["doc_id", *same]).select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too"), "reps")
+    reps = stored(sets.join(classes, same).filter("doc_id = rep").dropDuplicates(["doc_id", *same]).select("doc_id", "n_shingles", "sketch", "print_a", "minima", "minima_too", *MAPS), "reps")
 
-    def agree(a: dict, b: dict) -> np.ndarray:
+    def agree(a: Part, b: Part) -> np.ndarray:
         return 64 - bit_counts((a["bits"] ^ b["bits"]) | (a["more_bits"] ^ b["more_bits"])) >= AGREE
 
-    def common(a: dict, b: dict) -> np.ndarray:
+    def common(a: Part, b: Part) -> np.ndarray:
         # Values of one set that fall on the same bit may hide shared ones.
         return bit_counts(a["bits"] & b["bits"]) + np.minimum(a["place"] - bit_counts(a["bits"]), b["place"] - bit_counts(b["bits"]))
 
-    def large(a: dict, b: dict) -> np.ndarray:
+    def large(a: Part, b: Part) -> np.ndarray:
         """Both are in lists of twos, with bin minima as their bits."""
         return np.minimum(a["n"], b["n"]) > K
 
-    def near(a: dict, b: dict) -> np.ndarray:
+    def by_maps(a: Part, b: Part) -> np.ndarray:
+        """Whether the shingles that one map has and the other lacks leave enough in common."""
+        a_only, b_only = (sum(bit_counts(x[m] & ~y[m]) for m in MAPS) for x, y in ((a, b), (b, a)))
+        most = np.minimum(a["n"] - a_only, b["n"] - b_only)
+        return (ratio[0] + ratio[1]) * most >= ratio[0] * (a["n"].astype(np.int64) + b["n"])
+
+    def near(a: Part, b: Part) -> np.ndarray:
         fewer = np.minimum(a["n"], b["n"]).astype(np.int64)
         need = np.clip(fewer * ratio[0] // ratio[1] - K * (ratio[1] - ratio[0]) // ratio[0], 1, LEAST)
         fits = ratio[1] * fewer >= ratio[0] * np.maximum(a["n"], b["n"])
-        return fits & np.where(large(a, b), agree(a, b), common(a, b) >= need)
+        ok = fits & np.where(large(a, b), agree(a, b), common(a, b) >= need)
+        mapped = np.flatnonzero(ok & (np.maximum(a["n"], b["n"]) <= MAPPED))
+        ok[mapped] = by_maps(a.of(mapped), b.of(mapped))
+        return ok
 
-    def star(a: dict, b: dict) -> np.ndarray:
+    def star(a: Part, b: Part) -> np.ndarray:
         alike = bit_counts(a["bits"] & b["bits"]) * 2 >= np.minimum(bit_counts(a["bits"]), bit_counts(b["bits"]))
         return np.where(large(a, b), agree(a, b), alike) & (2 * np.minimum(a["n"], b["n"]).astype(np.int64) >= np.maximum(a["n"], b["n"]))
 

@@ -422,6 +422,19 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_maps_of_sets_lose_no_link(spark):
+    # Families that share a passage: some of their pairs reach the threshold, most do not.
+    rng = np.random.default_rng(8)
+    group = []
+    for size in (8, 22, 26, 40, 90, 180, 200, 260):
+        passage = [f"p{size}x{i}" for i in range(size)]
+        for extra in (0.0, 0.05, 0.1, 0.11, 0.12, 0.13, 0.2, 0.6, 1.0):
+            words = passage + [f"e{rng.integers(1 << 40)}" for _ in range(int(extra * size))]
+            group += [(len(group), " ".join(words)), (len(group) + 1, edited(" ".join(words), 0.03, len(group) + 1))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(group, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(group, 2)
+
+
 def test_large_stars_are_cut_in_cells(spark, monkeypatch):
     base = " ".join(f"u{i}" for i in range(200))
     group = [(i, edited(base, 0.02 + 0.1 * (i % 5) / 5, i)) for i in range(1, 61)]

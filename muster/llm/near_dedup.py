@@ -214,7 +214,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 2, ratio: tuple[int, in
     shared = F.when(F.col("n") > K, 1).otherwise(SHARED)
     found = stored(estimated(stored(candidates(listed_values(reps, ratio), near, star, ratio, shared), "candidates"), reps, ratio), "found")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("unit")).filter("doc is not null")
-    links = verified(found, texts, ["doc"], lambda block: shingles(block, size), ratio)
+    links = verified(found, texts, ["doc"], lambda block: shingles(block, size), ratio, forest=True)
     # Rows of one id are one node.
     twice = sets.join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     labels = component_of(links.select(F.col("doc").alias("a"), F.col("other_doc").alias("b")).union(twice))

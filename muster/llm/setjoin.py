@@ -227,16 +227,20 @@ def _cells(found: DataFrame) -> DataFrame:
         *hub, "i", "j", F.col("hub_doc").alias("doc"), F.col("hub_line").alias("line"), F.lit(-1).alias("part"), F.lit(STAR).alias("kind")))
 
 
-def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable, ratio: tuple[int, int]) -> DataFrame:
+def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable, ratio: tuple[int, int], forest: bool = False) -> DataFrame:
     """Links whose whole sets reach the threshold.
 
+    With ``forest`` a cell gives no link between units that its other links
+    connect: enough for components, and never more links than units.
+
     ``units`` holds the text ``unit`` by ``key`` (``doc``, with ``line`` where
     units are lines); ``sets(block)`` gives the row and hash of all set elements
     of a block of units.  In a star, units linked to the hub need no other link;
     the others are compared with every unit of the cell.
     """
     order = ["hub_doc", "hub_line", "i", "j"]
-    cells = _cells(found).join(units, key).select(*order, "doc", "line", "part", "kind", "unit")
+    # Both sides grow with the input, so neither is broadcast where it happens to be small.
+    cells = _cells(found).hint("merge").join(units, key).select(*order, "doc", "line", "part", "kind", "unit")
 
     def settle(batches: Iterator[pa.RecordBatch]):
         held = None
@@ -251,17 +255,17 @@ def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable,
                 same &= table.column(name).to_numpy() == last[name]
             cut = int(np.flatnonzero(same)[0])
             if cut:
-                yield _settled(table.slice(0, cut), order, sets, ratio)
+                yield _settled(table.slice(0, cut), order, sets, ratio, forest)
             held = table.slice(cut)
         if held is not None:
-            yield _settled(held, order, sets, ratio)
+            yield _settled(held, order, sets, ratio, forest)
 
     sent = cells.repartition(*order).sortWithinPartitions(*order, "part")
     return sent.mapInArrow(settle, LINKS).dropDuplicates()
 
 
-def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int, int]) -> pa.RecordBatch:
-    """All links of whole cells, given in order."""
+def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int, int], forest: bool) -> pa.RecordBatch:
+    """The links of whole cells, given in order."""
     keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in order])
     new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
     starts = np.append(np.flatnonzero(new), table.num_rows)
@@ -303,12 +307,19 @@ def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int
         found.append((at, np.full(len(at), hub)))
         # Only stars compare among themselves.
         loose = lo + np.flatnonzero(~linked & inside & (kind[lo:hi] == STAR))
+        # Units that links connect have one label.
+        label = np.arange(lo, hi)
+        label[linked] = hub
         for u in loose.tolist():
             close = against(u, lo, hi) & inside & (kind[lo:hi] == STAR)
             close[u - lo] = False
             if crossing[lo]:
                 close &= part[lo:hi] != part[u]
             at = lo + np.flatnonzero(close)
+            if forest:
+                joined, first = np.unique(label[at - lo], return_index=True)
+                at = at[first[joined != label[u - lo]]]
+                label[np.isin(label, joined)] = label[u - lo]
             found.append((at, np.full(len(at), u)))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)

@@ -289,9 +289,9 @@ COUNTS_SQL = """
 
 def match_summary(spark, sf):
     emails = rel.contacts(spark, sf).select("row_id", "email")
-    people = cascade(spark, sf).join(emails, "row_id", "left")
-    counts = rp.distinct_by_id(people.withColumnRenamed("target", "company"), "company", ["email"])
-    return mt.with_match_counts(rel.target_companies(spark, sf).select("target_id", "company"), counts, "company")
+    targets = rel.target_companies(spark, sf).select("target_id", "company")
+    counts = mt.match_people(targets, cascade_contacts(spark, sf), COMPANY_COLUMNS, emails, ["email"])
+    return mt.with_match_counts(targets, counts, "company")
 
 
 @query("join_counts_back", with_ctes("SELECT target_id, company, number_of_matches FROM summary", CONTACTS_SQL, TARGETS_SQL, CASCADE_SQL, COUNTS_SQL))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from muster.functions import text as tx
 from muster.operators.dedupe import distinct_names
 from muster.operators.fuzzy_join import best_match, best_match_any
+from muster.operators.report import distinct_by_id
 from muster.operators.skew import key_counts, lookup_join, spread
 from muster.plans.storage import cut_lineage
 
@@ -138,6 +139,20 @@ def match_targets(targets: DataFrame, contacts: DataFrame, columns: list[str], t
     return lookup_join(rows, pairs, "key", row_id, how="inner", counts=counts).drop("key")
 
 
+def match_people(targets: DataFrame, contacts: DataFrame, columns: list[str], people: DataFrame, ids: list[str],
+                 target: str = "company", row_id: str = "row_id", **options) -> DataFrame:
+    """``(target, contacts)``: how many distinct people ``match_targets`` finds for every target name.
+
+    All targets of a key have the same contacts, so people are told apart once
+    per key and the work is linear: the pairs of targets and contacts are never made.
+    """
+    index = cut_lineage(key_index(spread(contacts), columns, row_id))
+    counts = known_keys(index, columns, row_id)
+    pairs = cut_lineage(matched_targets(targets.select(target).distinct(), counts, target, **options).select(target, "key"))
+    found = index.select("key", row_id).join(pairs.select("key").distinct(), "key", "left_semi").join(people, row_id, "left")
+    return pairs.join(distinct_by_id(found, "key", ids), "key").drop("key")
+
+
 def with_match_counts(targets: DataFrame, counts: DataFrame, key: str, n: str = "contacts",
                       out: str = "number_of_matches") -> DataFrame:
     """Targets with their number of matches, 0 where there are none."""

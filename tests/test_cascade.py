@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from muster.operators import match
 
@@ -33,3 +35,17 @@ def test_contacts_meet_their_rows_before_their_targets(spark):
 def test_row_back_joins_no_expanded_rows(spark, sf_dir):
     joins = [line for line in optimized(entry.queries()["join_row_back"](spark, sf_dir)).splitlines() if " Join " in f" {line.strip(' :+-')} "]
     assert "_salt" in joins[0]
+
+
+def test_people_are_told_apart_once_per_key(spark):
+    targets, contacts, people = tables(spark)
+    pairs = match.match_targets(targets, contacts, ["company", "employer"], "target").join(people, "row_id", "left")
+    want = {tuple(r) for r in pairs.groupBy("target").agg(F.countDistinct("email")).collect()}
+    got = match.match_people(targets, contacts, ["company", "employer"], people, ["email"], "target")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert ("Silent Trust", 0) in want and ("Nordea Bank", 3) in want
+
+
+def test_counts_need_no_pairs_of_targets_and_contacts(spark, sf_dir):
+    for name in ("join_no_match", "join_counts_back"):
+        assert "_salt" not in optimized(entry.queries()[name](spark, sf_dir))

@@ -14,6 +14,7 @@ from muster.operators import select as sl
 from muster.operators.position import shuffled, sorted_by, with_position
 from muster.plans import relations as rel
 from muster.plans.relations import CONTACTS_SQL, MEMBERS_SQL, sql_text, with_ctes
+from muster.plans.storage import cut_lineage
 
 SCORED_SQL = f"""
   labelled AS (SELECT *, {q.canonical_seniority('seniority')} AS label, {q.proposed('company')} AS standard FROM contacts),
@@ -187,7 +188,9 @@ def srt_multi(spark, sf):
 def srt_business_rank(spark, sf):
     df = cl.with_segment(rel.contacts(spark, sf), "title", "seniority", "company")
     ranked = df.withColumn("rank", cl.segment_rank(F.col("org_type"), F.col("segment")).cast("bigint"))
-    return ranked.orderBy(
+    # A sort reads its rows twice, once for the borders of its ranges.
+    kept = cut_lineage(ranked.select("row_id", "org_type", "segment", "company", "rank", "lastname", "firstname"))
+    return kept.orderBy(
         "org_type", "rank", F.asc_nulls_last("company"), F.asc_nulls_last("lastname"), F.asc_nulls_last("firstname"), "row_id"
     ).select("row_id", "org_type", "segment", "company", "rank")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from muster import fixed_values as fv
 from muster.functions import text as tx
 from muster.functions.similarity import best_partial, length_compatible, text_literal, token_sort_ratio
+from muster.operators.skew import spread
 
 
 def first_match(rules: list[tuple[Column, object]], default=None) -> Column:
@@ -118,10 +119,11 @@ def with_segment(df: DataFrame, title: str, seniority: str, company: str,
     """Add organisation type and segment.
 
     The expanded title is a column of its own so that the many rules read it
-    instead of each computing it again.
+    instead of each computing it again.  The rows are spread first: their bytes
+    are few for so many rules.
     """
     return (
-        df.withColumn(org_out, org_type(company))
+        spread(df).withColumn(org_out, org_type(company))
         .withColumn("_expanded", tx.expand_title(title))
         .withColumn(out, segment_of(F.col("_expanded"), seniority, F.col(org_out)))
         .drop("_expanded")

@@ -5,6 +5,7 @@ import collections
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from muster.functions import classify as cl
 from muster.operators import match
 
 TARGETS = [(1, "Nordea Bank"), (2, "NORDEA bank"), (3, "Citra Capitol Markets"), (4, "Nobody"), (5, None), (6, ""), (7, "Nordea Bank"), (8, "Silent Trust")]
@@ -49,3 +50,16 @@ def test_people_are_told_apart_once_per_key(spark):
 def test_counts_need_no_pairs_of_targets_and_contacts(spark, sf_dir):
     for name in ("join_no_match", "join_counts_back"):
         assert "_salt" not in optimized(entry.queries()[name](spark, sf_dir))
+
+
+def test_segments_are_found_by_many_tasks(spark):
+    df = spark.range(400).selectExpr("id AS row_id", "'IT Manager' AS title", "'Head' AS seniority", "'Acme' AS company").coalesce(1)
+    out = cl.with_segment(df, "title", "seniority", "company")
+    per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in per_task) < 200
+    assert out.filter("segment = 'Technology'").count() == 400
+
+
+def test_the_sort_by_rank_reads_finished_rows(spark, sf_dir):
+    plan = optimized(entry.queries()["srt_business_rank"](spark, sf_dir))
+    assert "Sort" in plan and "rlike" not in plan.lower()

@@ -144,7 +144,7 @@ def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), lea
         words = block.spans(NOT_SPACE)
         return words.row, words.hash
 
-    links = verified(found.filter(F.col("kind") != SAME), lines, ["doc", "line"], sets, ratio)
+    links = verified(found.filter(F.col("kind") != SAME), lines, ["doc", "line"], sets, ratio, later=True)
     here, there = F.struct("doc", "line"), F.struct(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
     later = links.select(F.greatest(here, there).alias("x")).select("x.doc", "x.line")
     return found.filter(F.col("kind") == SAME).select("doc", "line").union(later).distinct()

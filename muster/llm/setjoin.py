@@ -227,11 +227,14 @@ def _cells(found: DataFrame) -> DataFrame:
         *hub, "i", "j", F.col("hub_doc").alias("doc"), F.col("hub_line").alias("line"), F.lit(-1).alias("part"), F.lit(STAR).alias("kind")))
 
 
-def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable, ratio: tuple[int, int], forest: bool = False) -> DataFrame:
+def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable, ratio: tuple[int, int], forest: bool = False,
+             later: bool = False) -> DataFrame:
     """Links whose whole sets reach the threshold.
 
     With ``forest`` a cell gives no link between units that its other links
-    connect: enough for components, and never more links than units.
+    connect: enough for components, and never more links than units.  With
+    ``later`` it gives a unit no second link to an earlier unit (by ``doc`` and
+    ``line``): enough to tell which have one, and never more links than units.
 
     ``units`` holds the text ``unit`` by ``key`` (``doc``, with ``line`` where
     units are lines); ``sets(block)`` gives the row and hash of all set elements
@@ -255,16 +258,16 @@ def verified(found: DataFrame, units: DataFrame, key: list[str], sets: Callable,
                 same &= table.column(name).to_numpy() == last[name]
             cut = int(np.flatnonzero(same)[0])
             if cut:
-                yield _settled(table.slice(0, cut), order, sets, ratio, forest)
+                yield _settled(table.slice(0, cut), order, sets, ratio, forest, later)
             held = table.slice(cut)
         if held is not None:
-            yield _settled(held, order, sets, ratio, forest)
+            yield _settled(held, order, sets, ratio, forest, later)
 
     sent = cells.repartition(*order).sortWithinPartitions(*order, "part")
     return sent.mapInArrow(settle, LINKS).dropDuplicates()
 
 
-def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int, int], forest: bool) -> pa.RecordBatch:
+def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int, int], forest: bool, later: bool) -> pa.RecordBatch:
     """The links of whole cells, given in order."""
     keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in order])
     new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
@@ -303,13 +306,17 @@ def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int
             continue
         hub = lo + int(np.flatnonzero(~inside)[0])
         linked = against(hub, lo, hi)
-        at = lo + np.flatnonzero(linked & inside)
-        found.append((at, np.full(len(at), hub)))
+        # Every chunk has a cell of its own, which is where the hub's links are given.
+        if not crossing[lo]:
+            at = lo + np.flatnonzero(linked & inside)
+            found.append((at, np.full(len(at), hub)))
         # Only stars compare among themselves.
         loose = lo + np.flatnonzero(~linked & inside & (kind[lo:hi] == STAR))
         # Units that links connect have one label.
         label = np.arange(lo, hi)
         label[linked] = hub
+        # The hub is the earliest unit.
+        told = linked.copy()
         for u in loose.tolist():
             close = against(u, lo, hi) & inside & (kind[lo:hi] == STAR)
             close[u - lo] = False
@@ -320,6 +327,13 @@ def _settled(table: pa.Table, order: list[str], sets: Callable, ratio: tuple[int
                 joined, first = np.unique(label[at - lo], return_index=True)
                 at = at[first[joined != label[u - lo]]]
                 label[np.isin(label, joined)] = label[u - lo]
+            if later:
+                before = close & ((doc[lo:hi] < doc[u]) | ((doc[lo:hi] == doc[u]) & (line[lo:hi] < line[u])))
+                new = close & ~before & ~told
+                if not told[u - lo] and before.any():
+                    new[np.argmax(before)] = told[u - lo] = True
+                told |= new & ~before
+                at = lo + np.flatnonzero(new)
             found.append((at, np.full(len(at), u)))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)

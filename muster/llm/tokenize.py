@@ -5,7 +5,8 @@ a border between ASCII letters, digits and punctuation (apostrophes and
 non-ASCII bytes aside), so texts are cut there with numpy, every distinct piece
 is encoded once by the tokenizer, and ids are put together from a table of
 pieces.  The table lives in the Python worker, only saves time, and is emptied
-when it holds ``TABLE_PIECES`` pieces.  Texts that hold one of the vocabulary's
+when it holds ``TABLE_PIECES`` pieces; it is arrays sorted by hash, about 40
+bytes a piece.  Texts that hold one of the vocabulary's
 special strings are encoded whole.
 """
 
@@ -44,26 +45,33 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.n = self.end = 0
-        self.begin, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.end, self.ids = 0, np.zeros(1 << 14, np.uint32)
 
     def encode_one(self, text: str) -> list[int]:
         if text.isalpha() and text.lower() == text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else self.bytes.pre_tokenize_str(text)[0][0])]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, text in zip(keys, texts):
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand in the table or would, and whether they are there."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        return place, known
+
+    def _learn(self, place: np.ndarray, keys: np.ndarray, texts: list[str]) -> None:
+        """Encode pieces and enter them before the given places; ``keys`` are in order."""
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        for k, text in enumerate(texts):
             ids = self.encode_one(text)
-            if self.n == len(self.begin):
-                self.begin, self.size = np.resize(self.begin, 2 * self.n), np.resize(self.size, 2 * self.n)
             while self.end + len(ids) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.begin[self.n], self.size[self.n] = self.end, len(ids)
+            begin[k], size[k] = self.end, len(ids)
             self.ids[self.end:self.end + len(ids)] = ids
-            self.place[key] = self.n
-            self.n, self.end = self.n + 1, self.end + len(ids)
+            self.end += len(ids)
+        self.keys, self.begin, self.size = (np.insert(old, place, new) for old, new in ((self.keys, keys), (self.begin, begin), (self.size, size)))
 
     def pieces(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = LOWER[block.data]
@@ -82,19 +90,19 @@ class WordTokens:
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a line, and how many each row has."""
-        if self.n > TABLE_PIECES:
+        if len(self.keys) > TABLE_PIECES:
             self.clear()
         data, starts, ends, row, key = self.pieces(block)
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-        known = [self.place.get(k, -1) for k in unique.tolist()]
-        new = [i for i, p in enumerate(known) if p < 0]
-        if new:
+        place, known = self._places(unique)
+        new = np.flatnonzero(~known)
+        if len(new):
             at = first[new]
             raw = data.tobytes()
-            self._learn(unique[new].tolist(), [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            known = [self.place[k] for k in unique.tolist()]
-        place = np.array(known, np.int64)[back] if len(back) else np.zeros(0, np.int64)
-        size = self.size[place]
+            self._learn(place[new], unique[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            place, _ = self._places(unique)
+        place = place[back]
+        size = self.size[place].astype(np.int64)
         total = np.cumsum(size)
         ids = self.ids[np.repeat(self.begin[place] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
         counts = np.bincount(row, size, block.n).astype(np.int64)

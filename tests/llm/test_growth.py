@@ -1,8 +1,10 @@
 """What the operators hold and move grows with the input only."""
 
+import numpy as np
 import pyarrow as pa
 
-from muster.llm import setjoin, words
+from muster.llm import setjoin, tokenize, words
+from muster.llm.queries import vocabulary
 
 
 def near_lines(groups, each):
@@ -48,3 +50,18 @@ def test_hub_links_are_given_once_per_line(spark, monkeypatch):
 
     links = setjoin._settled(table, ["hub_doc", "hub_line", "i", "j"], sets, (80, 100), False, True)
     assert sorted(links.column(0).to_pylist()) == list(range(1, 60)) and len(by_cell) > 30
+
+
+def test_the_table_of_pieces_is_arrays():
+    encode = tokenize.WordTokens(vocabulary())
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(map(chr, 97 + rng.integers(0, 26, 6))) for _ in range(400)) + " the of café 12 x1" for _ in range(50)]
+    for turn in range(2):
+        for block in words.blocks(pa.array(texts), 20_000):
+            ids, counts = encode.encode(block)
+            ends = np.cumsum(counts)
+            for r in range(block.n):
+                assert ids[ends[r] - counts[r]:ends[r]].tolist() == encode.tokenizer.encode(texts[block.first + r], add_special_tokens=False).ids
+    held = [v for v in vars(encode).values() if isinstance(v, (np.ndarray, dict))]
+    assert all(isinstance(v, np.ndarray) for v in held) and sum(v.nbytes for v in held) < 64 * len(encode.keys) + (1 << 17)
+    assert (encode.keys[1:] > encode.keys[:-1]).all() and len(encode.keys) > 15_000

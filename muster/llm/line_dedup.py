@@ -14,8 +14,9 @@ Defined results: null texts have no lines and stay null; lines of fewer than
 ``least_words`` words (5) are never judged and stay; rows with a null id stay
 as they are; rows with equal ids share their numbering, so an equal line at an
 equal place in both is no earlier line; empty tables give empty tables; other
-columns, whatever their names, pass through.  Lines are cut once per document
-and looked up by ``(doc, line)``, so the work is linear in the length of a text.
+columns, whatever their names, pass through.  Lines are cut once per document,
+and only those that are compared move, looked up by ``(doc, line)``, so the work
+is linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from muster.llm.setjoin import ROWS, SAME, CountSketch, Part, bit_counts, candidates, dealt, packed, row_sums, verified, wide_signature
+from muster.llm.setjoin import ROWS, SAME, CountSketch, Part, bit_counts, candidates, dealt, order_by, packed, row_sums, verified, wide_signature
 from muster.llm.storage import column, free_name, stored
 from muster.llm.words import NOT_LF, NOT_SPACE, U64, Block, blocks, int64, mix
 
@@ -92,7 +93,7 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
             for block in blocks(batch.column(1)):
                 unit, value, row, number = line_words(block, least)
                 seen = sent.value[counter.bin_of(value)]
-                order = np.lexsort((value, seen, unit))
+                order = order_by(unit, seen, value)
                 unit, value, seen = unit[order], value[order], seen[order]
                 new = np.append(True, (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])) if len(unit) else np.zeros(0, bool)
                 unit, value, seen = unit[new], value[new], seen[new]
@@ -110,6 +111,24 @@ def listed_tokens(documents: DataFrame, ratio: tuple[int, int], least: int, bins
     return documents.select("doc", "text").mapInArrow(run, LISTED)
 
 
+def compared_lines(named: DataFrame, compared: DataFrame) -> DataFrame:
+    """``(doc, line, unit)`` of the lines in ``compared``: no other line is moved."""
+    wanted = compared.select("doc", "line").union(compared.select("hub_doc", "hub_line")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, numbers in zip(*(column.to_pylist() for column in batch.columns)):
+                units = text.split(b"\n") if text is not None else []
+                # Another row of the same id may have fewer lines.
+                rows += [(doc, line, units[line]) for line in numbers if line < len(units)]
+            doc, line, unit = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(unit, pa.binary()).view(pa.string())], names=["doc", "line", "unit"])
+
+    # Both grow with the input; the texts move by document, as they do for the result.
+    return named.join(wanted.hint("merge"), "doc").select("doc", F.col("text").cast("binary"), "lines").mapInArrow(cut, "doc long, line int, unit string")
+
+
 def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), least_words: int = 5) -> DataFrame:
     """``(doc, line)`` of every line that has an earlier match; lines count from 0."""
     named = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
@@ -138,13 +157,13 @@ def later_lines(documents: DataFrame, *, ratio: tuple[int, int] = (80, 100), lea
         return differing <= 64 * maps * free * (1 - free) + 2
 
     found = stored(candidates(listed_tokens(named, ratio, least_words), near, alike, ratio, SHARED), "line_candidates")
-    lines = named.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
 
     def sets(block: Block):
         words = block.spans(NOT_SPACE)
         return words.row, words.hash
 
-    links = verified(found.filter(F.col("kind") != SAME), lines, ["doc", "line"], sets, ratio, later=True)
+    compared = found.filter(F.col("kind") != SAME)
+    links = verified(compared, compared_lines(named, compared), ["doc", "line"], sets, ratio, later=True)
     here, there = F.struct("doc", "line"), F.struct(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
     later = links.select(F.greatest(here, there).alias("x")).select("x.doc", "x.line")
     return found.filter(F.col("kind") == SAME).select("doc", "line").union(later).distinct()

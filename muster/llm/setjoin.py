@@ -62,6 +62,34 @@ def bit_counts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(U64)).astype(np.int64)
 
 
+def order_by(*keys: np.ndarray) -> np.ndarray:
+    """Places of the rows in the order of ``keys``, which are not negative, the first counting most; equal rows keep their order.
+
+    Numpy sorts numbers several times faster than places.  So leading bits of the
+    keys and the place share one number, and only rows that these bits do not
+    tell apart are compared by the whole keys.
+    """
+    n = len(keys[0])
+    width = n.bit_length()
+    lead, free = np.zeros(n, U64), 64 - width
+    for key in keys:
+        bits = int(key.max(initial=0)).bit_length()
+        taken = min(bits, free)
+        if taken:
+            lead = (lead << U64(taken)) | (key.astype(U64) >> U64(bits - taken))
+            free -= taken
+        if taken < bits:
+            break
+    lead = np.sort((lead << U64(width)) | np.arange(n, dtype=U64))
+    order = (lead & U64((1 << width) - 1)).astype(np.int64)
+    lead >>= U64(width)
+    same = lead[1:] == lead[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if n else order
+    rows = order[tied]
+    order[tied] = rows[np.lexsort([key[rows] for key in keys[::-1]])]
+    return order
+
+
 def signature(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit map of the values of every row."""
     out = np.zeros(n, U64)
@@ -141,8 +169,18 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype(np.int32)), pa.array(key[2]), pa.array(key[3].astype(np.int32)),
                                                pa.array(key[4].astype(np.int32)), pa.array(np.full(key.shape[1], kind, np.int32)), pa.array(count)], names=_names(EVIDENCE))
 
-        sized = (c["n"].astype(np.int64) << 32) | c["print"].view(np.uint32)
-        order = np.lexsort((c["line"], c["doc"], c["bits"], sized, c["key"]))
+        # Most of the sorting is by list; rows alone in theirs need no more of it.
+        order = order_by(c["key"])
+        key = c["key"][order]
+        group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        met = np.bincount(group)[group] > 1
+        order, group = order[met], group[met]
+        if not len(order):
+            return
+        # Signed numbers in the order of unsigned ones.
+        doc = c["doc"][order].view(U64) ^ (U64(1) << U64(63))
+        place = order_by(group, c["n"][order], c["print"][order].view(np.uint32), c["bits"][order].view(U64), doc, c["line"][order])
+        order = order[place]
         c = {k: v[order] for k, v in c.items()}
 
         def starts(*names: str) -> np.ndarray:
@@ -166,10 +204,12 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         n = len(c["key"])
         group = np.cumsum(starts()) - 1
         # The hub: earliest (doc, line) of the list.
-        by_unit = np.lexsort((c["line"], c["doc"], group))
-        hub = by_unit[np.flatnonzero(np.append(True, group[by_unit][1:] != group[by_unit][:-1]))][group]
+        every, begins = np.arange(n), np.flatnonzero(starts())
+        earliest = c["doc"] == np.minimum.reduceat(c["doc"], begins)[group]
+        line = np.where(earliest, c["line"], np.iinfo(np.int32).max)
+        earliest &= line == np.minimum.reduceat(line, begins)[group]
+        hub = np.minimum.reduceat(np.where(earliest, every, n), begins)[group]
 
-        every = np.arange(n)
         other = (c["doc"] != c["doc"][hub]) | (c["line"] != c["line"][hub])
         in_star = other & star(part(hub), part(every))
         yield out(hub[in_star], every[in_star], STAR)

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from muster.llm import (components, decontaminate, html_text, licenses, line_dedup, near_dedup, packing, quality, setjoin, shards,
                         substring_dedup, token_counts, words)
 from muster.llm.queries import END_OF_TEXT, vocabulary
-from muster.llm.storage import stored
+from muster.llm.storage import CLEANED, stored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, key long, n long"
@@ -495,3 +495,33 @@ def test_texts_that_hold_the_separator_are_counted(spark):
     for block in (token_counts.BLOCK_IDS, 3):
         streams = token_counts.write_streams(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), vocabulary(), END_OF_TEXT, block_ids=block)
         assert rows_of(token_counts.count_tokens(streams, END_OF_TEXT), "doc_id", "n_tokens", "complete") == expected
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    setting, before = spark.conf.get(CLEANED, None), shuffled()
+    kept = stored(spark.range(1000).repartition("id").selectExpr("id % 7 as k").groupBy("k").count(), "cleaned")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(CLEANED, None) == setting
+    assert sum(r[1] for r in kept.collect()) == 1000
+
+
+def test_only_compared_lines_are_cut(spark):
+    texts = [(1, "a\n\nb\u00e9\nc"), (1, "x\ny"), (2, None), (3, "z"), (-4, "k\nl")]
+    found = [(-4, 1, 1, 0), (-4, 1, 1, 2), (1, 2, 1, 3)]
+    out = line_dedup.compared_lines(spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(found, "hub_doc long, hub_line int, doc long, line int"))
+    assert sorted(map(tuple, out.collect())) == [(-4, 1, "l"), (1, 0, "a"), (1, 0, "x"), (1, 2, "b\u00e9"), (1, 3, "c")]
+
+
+def test_order_by_is_the_order_of_the_whole_keys():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 500):
+        for high in (1, 3, 1 << 20, 1 << 63):
+            keys = [rng.integers(0, high, n, dtype=np.uint64), rng.integers(0, 4, n).astype(np.int32), rng.integers(0, 1 << 63, n), np.repeat(rng.integers(0, 9, n), 1)]
+            for some in (keys, keys[::-1], keys[:1], keys[1:2]):
+                assert (setjoin.order_by(*some) == np.lexsort(some[::-1])).all()

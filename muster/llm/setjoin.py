@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from muster.llm.words import U64, blocks, int64, mix
 
 HOT = 1 << 20
-PAIRS_AT_ONCE = 1 << 21
+#: A pair takes about 120 bytes while it is judged.
+PAIRS_AT_ONCE = 1 << 19
 #: A chunk of a star holds about so many set elements, and at most so many units.
 ELEMENTS, CELL = 1 << 20, 2048
 #: Two numbers of 32 bits share a long, random fields come first: the rows are many and move in less space.
@@ -154,6 +155,11 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
             c["wide_0"] = c["bits"]
             c["bits"] = c["wide_0"] | c["wide_1"] | c["wide_2"] | c["wide_3"]
 
+        def take(which: np.ndarray) -> None:
+            """One column after the other, so that only one is there twice."""
+            for name in c:
+                c[name] = c[name][which]
+
         def part(at: np.ndarray) -> Part:
             return Part(c, at)
 
@@ -181,7 +187,8 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         doc = c["doc"][order].view(U64) ^ (U64(1) << U64(63))
         place = order_by(group, c["n"][order], c["print"][order].view(np.uint32), c["bits"][order].view(U64), doc, c["line"][order])
         order = order[place]
-        c = {k: v[order] for k, v in c.items()}
+        take(order)
+        del order, place, doc, key, group, met
 
         def starts(*names: str) -> np.ndarray:
             new = np.append(True, c["key"][1:] != c["key"][:-1])
@@ -195,12 +202,12 @@ def candidates(rows: DataFrame, near: Callable, star: Callable, ratio: tuple[int
         # They share all lists; that of their first value tells it.
         again = np.flatnonzero((c["place"] == 0) & ((c["doc"] != c["doc"][first]) | (c["line"] != c["line"][first])))
         yield out(first[again], again, SAME)
-        c = {k: v[lead] for k, v in c.items()}
+        take(lead)
         group = np.cumsum(starts()) - 1
         alone = np.bincount(group)[group] == 1
         if alone.all():
             return
-        c = {k: v[~alone] for k, v in c.items()}
+        take(~alone)
         n = len(c["key"])
         group = np.cumsum(starts()) - 1
         # The hub: earliest (doc, line) of the list.

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from muster.llm import setjoin, tokenize, words
 from muster.llm.queries import vocabulary
 
@@ -65,3 +66,43 @@ def test_the_table_of_pieces_is_arrays():
     held = [v for v in vars(encode).values() if isinstance(v, (np.ndarray, dict))]
     assert all(isinstance(v, np.ndarray) for v in held) and sum(v.nbytes for v in held) < 64 * len(encode.keys) + (1 << 17)
     assert (encode.keys[1:] > encode.keys[:-1]).all() and len(encode.keys) > 15_000
+
+
+def test_stages_bound_the_batches_that_go_to_python(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(name)
+    spark.conf.unset(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        docs = spark.createDataFrame([(1, "one line of some words", "en", "s", 22)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert corpus_pipeline.line_dedup_stage(spark, docs, "").count() == 1
+        texts = spark.range(0, 10_000, 1, 1).selectExpr("id", "repeat('x', 2000) as text")
+        found = [r[0] for r in texts.mapInArrow(sizes, "size long").collect()]
+        assert max(found) < 8 << 20 and sum(found) > 20_000_000
+        # A size that the session names stays.
+        spark.conf.set(name, "1000000")
+        corpus_pipeline.line_dedup_stage(spark, docs, "")
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
+
+
+def test_few_pairs_of_a_list_are_judged_at_once(spark):
+    n = 1500
+    rows = spark.createDataFrame([(7, i, i << 32, i, 10 << 32) for i in range(n)], setjoin.ROWS)
+
+    def near(a, b):
+        assert len(a["n"]) <= 1 << 19
+        return np.abs(a["doc"] - b["doc"]) == 1
+
+    def star(a, b):
+        return np.zeros(len(b["n"]), bool)
+
+    found = setjoin.candidates(rows, near, star, (80, 100)).collect()
+    assert sorted((r["hub_doc"], r["doc"], r["kind"]) for r in found) == [(i, i + 1, setjoin.PAIR) for i in range(n - 1)]

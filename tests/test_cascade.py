@@ -66,7 +66,7 @@ def test_the_sort_by_rank_reads_finished_rows(spark, sf_dir):
     assert "Sort" in plan and "rlike" not in plan.lower()
 
 
-@pytest.mark.parametrize("name", ["join_exact_then_fuzzy"])
+@pytest.mark.parametrize("name", ["join_exact_then_fuzzy", "join_row_back"])
 def test_rows_of_many_targets_take_few_bytes(spark, tmp_path, name):
     spark.range(1500).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(60000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
